@@ -35,7 +35,7 @@ from barlume.llm.common import map_texts, texts_of
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 NONE = np.iinfo(np.int32).max
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 150_000
 
 
 def default_path() -> str:
@@ -230,4 +230,4 @@ def encode_decode(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
 
         return work
 
-    return map_texts(docs.select("doc_id", "text"), make, SCHEMA)
+    return map_texts(docs.select("doc_id", "text"), make, SCHEMA, chars=2_500_000)

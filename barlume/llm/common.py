@@ -20,7 +20,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
 #: Texts are gathered up to so many characters before a vectorised pass.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

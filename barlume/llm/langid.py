@@ -36,7 +36,7 @@ SAMPLE_PER_LANGUAGE, SAMPLE_WORDS = 300, 40_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 EDGE = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_STRETCH, _LIFT, _FLOOR, _KEPT_WORDS, _BATCH = 64, 16.0, 1e-5, 400_000, 50_000
+_STRETCH, _LIFT, _FLOOR, _KEPT_WORDS, _BATCH = 64, 16.0, 1e-5, 200_000, 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

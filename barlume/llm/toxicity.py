@@ -66,7 +66,7 @@ def _features(words: dict[str, int], texts: list[str]) -> np.ndarray:
                 for i in at:
                     row[i] += 1
         row[-3], row[-2], row[-1] = np.log1p(hits), min(1.0, hits / 2), np.log1p(100 * hits / max(10, len(found)))
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
     np.log1p(out[:, : len(words)], out=out[:, : len(words)])
     return out
