@@ -9,7 +9,9 @@ connected component.
 2. Candidates. Shingles are ordered by an estimate of how many documents hold
    them, rare ones first (two hash rows of counters of a fixed size, filled
    from all documents; any estimate gives a valid order), and by hash. Linked
-   sets of n shingles share one of the first n - ceil(s n) + 1.
+   sets of n shingles share one of the first n - ceil(s n) + 1, and at the
+   first that they share what is left of both still holds the overlap that
+   they need (positional filter).
 3. Search, in two rounds. First each set is tried against a few neighbours
    from its inverted lists: the one before it by size and the smallest id of
    each of two size bins. Then, exactly, against all others of its lists that
@@ -84,19 +86,34 @@ def count_shingles(docs: DataFrame, words: int) -> np.ndarray:
     size = (2 << ROW_BITS) // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << ROW_BITS), np.int32)
+        table = np.zeros((2, 1 << ROW_BITS), np.int64)
+        held: list[np.ndarray] = []
+
+        def pour() -> None:
+            for row, at in zip(table, _cells(np.concatenate(held)), strict=True):
+                row += np.bincount(at, minlength=len(row))
+            held.clear()
+
+        size_held = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for row, at in zip(table, _cells(shingles(text, words)), strict=True):
-                    np.add.at(row, at, 1)
+                held.append(shingles(text, words))
+                size_held += len(held[-1])
+                if size_held > 1_000_000:
+                    pour()
+                    size_held = 0
+        if held:
+            pour()
         if table.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "data": [x.tobytes() for x in table.reshape(PARTS, size)]})
+            kind = np.uint16 if table.max() < 1 << 16 else np.uint32
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "data": [x.astype(kind).tobytes() for x in table.reshape(PARTS, size)]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(data.as_buffer(), np.int32).astype(np.int64)
+                raw = data.as_buffer()
+                total[part] = total.get(part, 0) + np.frombuffer(raw, np.uint16 if raw.size == 2 * size else np.uint32).astype(np.int64)
         for part, sums in total.items():
             logs = np.floor(np.log2(np.maximum(1, sums))).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": [logs.tobytes()]})
@@ -243,23 +260,26 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
     # inverted lists of prefix shingles that two sets or more hold, with the neighbours for the first round
     size = F.log(F.col("n")) / float(np.log(den / num))
-    lists = reps.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    # of the two first shingles in common, what follows in either set must still hold the overlap that is needed
+    fits = f"{num + den} * least(n - place, {{0}}n - {{0}}place) >= {num} * (n + {{0}}n) AND {den} * least(n, {{0}}n) >= {num} * greatest(n, {{0}}n)"
+    lists = reps.select("n_shingles", "doc_id", F.posexplode("prefix").alias("place", "shingle")).select("shingle", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "place")
     ordered = Window.partitionBy("shingle").orderBy("n", "rep")
-    lists = lists.withColumns({"before": F.lag(F.struct("rep", "n")).over(ordered), "after": F.lead("rep").over(ordered)}).filter("before IS NOT NULL OR after IS NOT NULL").drop("after")
+    mine = F.struct("rep", "n", "place")
+    lists = lists.withColumns({"before": F.lag(mine).over(ordered), "after": F.lead("rep").over(ordered)}).filter("before IS NOT NULL OR after IS NOT NULL").drop("after")
     for name, bin_ in (("even", F.floor(size)), ("odd", F.floor(size + 0.5))):
-        lists = lists.withColumn(name, F.min(F.struct("rep", "n")).over(Window.partitionBy("shingle", bin_)))
+        lists = lists.withColumn(name, F.min(mine).over(Window.partitionBy("shingle", bin_)))
     lists = scratch.put(lists, "lists")
-    near = lists.select("rep", "n", F.explode(F.array("before", "even", "odd")).alias("o")).filter(f"o.rep <> rep AND {den} * least(n, o.n) >= {num} * greatest(n, o.n)")
+    near = lists.select("rep", "n", "place", F.explode(F.array("before", "even", "odd")).alias("o")).filter("o.rep <> rep AND " + fits.format("o."))
     tried = scratch.put(near.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct(), "tried")
     links = scratch.put(verify(docs, tried, classes, words, num, den), "links")
     joined = connected_components(links, scratch, "first")
 
     # all pairs in a list across the components found so far
-    sets = lists.select("shingle", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sets = lists.select("shingle", "rep", "n", "place").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     bucket = Window.partitionBy("shingle")
     mixed = scratch.put(sets.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket)}).filter("lo <> hi").drop("lo", "hi"), "mixed")
-    other = mixed.select("shingle", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    across = mixed.join(other, (mixed["shingle"] == other["shingle"]) & F.expr(f"rep < b AND root <> root_b AND {den} * least(n, m) >= {num} * greatest(n, m)"))
+    other = mixed.select(F.col("shingle").alias("o_shingle"), F.col("rep").alias("b"), F.col("n").alias("o_n"), F.col("place").alias("o_place"), F.col("root").alias("o_root"))
+    across = mixed.join(other, F.expr("shingle = o_shingle AND rep < b AND root <> o_root AND " + fits.format("o_")))
     rest = scratch.put(across.select(F.col("rep").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     more = scratch.put(verify(docs, rest, classes, words, num, den), "more")
     star = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
