@@ -66,21 +66,23 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, size: float,
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: float = 1.0, temperature: float = 0.5, default_weight: float = 0.0, seed: int = 1) -> DataFrame:
     """The copies of the documents: all their columns, then copies, replica (from 1) and shuffle_key, in shuffled order.
 
-    ``size`` is the mixture's expected number of rows as a multiple of the input's.
+    ``size`` is the mixture's expected number of rows as a multiple of the
+    input's. Own columns of those three names are replaced.
     """
-    columns = docs.columns
     table, sources = rates(docs.select("source"), weights, size, temperature, default_weight)
+    # the document goes along as one value, so its columns cannot clash with these
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     if sources <= MAX_BROADCAST_SOURCES:
-        table = F.broadcast(table.withColumnRenamed("source", "__source"))
-        rated = docs.join(table, F.col("source").eqNullSafe(F.col("__source")))
+        rated = held.join(F.broadcast(table), F.col("doc.source").eqNullSafe(F.col("source")))
     else:
-        salted = table.select(F.col("source").alias("__source"), "mean", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        rated = docs.join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("__salt")))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = held.join(salted, F.col("doc.source").eqNullSafe(F.col("source")) & (F.pmod(F.xxhash64("doc.doc_id"), F.lit(SALTS)) == F.col("salt")))
+    doc = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))
     u = hashed(F.lit(str(seed)), doc) / F.lit(float(1 << 52))
-    copied = rated.withColumn("copies", poisson_inverse(u, F.col("mean")).cast("long")).filter("copies > 0").select(*columns, "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("replica"))
+    copied = rated.select("doc", poisson_inverse(u, F.col("mean")).cast("long").alias("copies")).filter("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     keyed = copied.withColumn("shuffle_key", hashed(F.lit(str(seed)), doc, F.col("replica").cast("string")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("copies", "replica", "shuffle_key")]
+    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*kept, "copies", "replica", "shuffle_key")
 
 
 def mix_sql(table: str = "documents", size: float = 1.0, temperature: float = 0.5, seed: int = 1) -> str:
@@ -92,8 +94,8 @@ means AS (SELECT source, pow(n::DOUBLE, {temperature!r}::DOUBLE) / sum(pow(n::DO
 steps AS (SELECT source, mean, k, -mean + coalesce(sum(CASE WHEN k > 0 THEN ln(mean / k) END) OVER (PARTITION BY source ORDER BY k), 0) AS lp
           FROM means, unnest(range(0, CAST(ceil(mean + 12 * sqrt(mean) + 40) AS BIGINT) + 1)) AS r(k)),
 cdf AS (SELECT source, k, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
-drawn AS (SELECT *, {draw(f"'{seed}:' || doc_id")} / {float(1 << 52)!r}::DOUBLE AS u FROM {table}),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) AS copies
+drawn AS (SELECT *, row_number() OVER () AS r, {draw(f"'{seed}:' || coalesce(doc_id::VARCHAR, '')")} / {float(1 << 52)!r}::DOUBLE AS u FROM {table}),
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, r, count(*) AS copies
             FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= d.u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, copies, replica, {draw(f"'{seed}:' || doc_id || ':' || replica")} AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, copies, replica, {draw(f"'{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || replica")} AS shuffle_key
 FROM counted, unnest(range(1, copies + 1)) AS r(replica)"""
