@@ -35,6 +35,18 @@ from barlume.llm.common import map_texts, texts_of
 TOKENIZER = "word_bpe_49k.json"
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 NONE = np.iinfo(np.int32).max
+# Code points of Unicode 17 that the regex module takes for letters or numbers and the library does not.
+YOUNG = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD),
+    (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+# Small letters of capitals younger than this Python.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _KEPT_WORDS = 150_000
 
 
@@ -91,8 +103,12 @@ class Encoder:
         keys = spec.first << 20 | spec.second
         self._order = np.argsort(keys, kind="stable")
         self._keys = keys[self._order]
-        # \s of the file's pattern is the Unicode property
-        self._find = regex.compile(spec.pattern.replace(r"\s", r"\p{White_Space}")).findall
+        # \s of the file's pattern is the Unicode property; the library does not know Unicode 17
+        pattern = spec.pattern.replace(r"\s", r"\p{White_Space}")
+        self._find = regex.compile(pattern).findall
+        young = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in YOUNG)
+        self._young = regex.compile(f"[{young}{''.join(map(chr, LOWER))}]").search
+        self._find_young = regex.compile(pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{young}]]").replace(r"[\p{L}]", f"[\\p{{L}}--[{young}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{young}]]"), regex.V1).findall
         self._spaces = regex.compile(r"\p{White_Space}+").sub
         self._parts = regex.compile("(" + "|".join(map(regex.escape, spec.special)) + ")").split if spec.special else None
         self._forget()
@@ -106,7 +122,10 @@ class Encoder:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # lower case by code point: no final sigma
-        return self._find(self._spaces(" ", text).replace("Σ", "σ").lower())
+        text = self._spaces(" ", text).replace("Σ", "σ").lower()
+        if text.isascii() or not self._young(text):
+            return self._find(text)
+        return self._find_young(text.translate(LOWER))
 
     def words(self, text: str) -> list[str]:
         if self._parts is None or "<|" not in text:
