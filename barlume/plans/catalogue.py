@@ -21,6 +21,7 @@ from barlume.plans.tables import options as chain_table
 from barlume.sources.bars import resample
 from barlume.sources.contract import breaches, keep_last
 from barlume.sources.lake import merged, without_qualify
+from barlume.sources.providers import option_chain
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -494,7 +495,17 @@ enter(
   x AS (SELECT symbol, i, 0.0::DOUBLE AS s_x FROM d c WHERE i = 1 UNION ALL SELECT c.symbol, c.i, {wilder_sql('x', 'c.dx', 14, 15)} FROM x p JOIN d c ON c.symbol = p.symbol AND c.i = p.i + 1)
   SELECT d.symbol, d.timestamp, {r('CASE WHEN d.i >= 28 THEN s_x END', '"ADX_14"')} FROM d JOIN x ON d.symbol = x.symbol AND d.i = x.i""",
 )
-enter("parabolic_sar", indicator(("sar", {})))
+_NEXT = "p.stop + p.pace * (p.peak - p.stop)"
+enter(
+    "parabolic_sar", indicator(("sar", {})),
+    f"""WITH RECURSIVE {BARS}, num AS (SELECT *, row_number() OVER ({W_SQL}) AS i, {lagged('low')} AS l1, coalesce({lagged('low', 2)}, {lagged('low')}) AS l2, {lagged('high')} AS h1, coalesce({lagged('high', 2)}, {lagged('high')}) AS h2 FROM bars),
+  rec AS (SELECT symbol, i, low AS stop, high AS peak, 0.02::DOUBLE AS pace, true AS up FROM num WHERE i = 1 UNION ALL
+    SELECT symbol, i, CASE WHEN turned THEN peak0 ELSE stop0 END, CASE WHEN turned THEN CASE WHEN up0 THEN low ELSE high END WHEN up0 THEN greatest(peak0, high) ELSE least(peak0, low) END,
+      CASE WHEN turned THEN 0.02::DOUBLE WHEN CASE WHEN up0 THEN high > peak0 ELSE low < peak0 END THEN least(0.2::DOUBLE, pace0 + 0.02::DOUBLE) ELSE pace0 END, up0 <> turned
+    FROM (SELECT *, CASE WHEN up0 THEN low < stop0 ELSE high > stop0 END AS turned FROM (SELECT c.symbol, c.i, c.high, c.low, p.peak AS peak0, p.pace AS pace0, p.up AS up0,
+      CASE WHEN p.up THEN least({_NEXT}, c.l1, c.l2) ELSE greatest({_NEXT}, c.h1, c.h2) END AS stop0 FROM rec p JOIN num c ON c.symbol = p.symbol AND c.i = p.i + 1)))
+  SELECT n.symbol, n.timestamp, {r('stop', '"SAR"')} FROM num n JOIN rec ON n.symbol = rec.symbol AND n.i = rec.i""",
+)
 enter("adosc", indicator(("adosc", {})), rec_panel(
     "ad AS f, ad AS s", "p.f + 0.5::DOUBLE * (c.ad - p.f), p.s + 2 / 11.0::DOUBLE * (c.ad - p.s)", r("f - s", '"ADOSC"'), "").replace(
     NUMBERED, f"num AS (SELECT *, row_number() OVER ({W_SQL}) AS i, sum(coalesce((2 * close - low - high) / nullif(high - low, 0), 0) * volume) OVER {RUN} AS ad FROM bars)"))
@@ -739,6 +750,59 @@ def chain_near_money(spark, sf_dir):
     return near.orderBy(F.abs(F.col("strike") - SPOT), "strike", "option_type", "contract").limit(5).select("contract", "strike", "option_type", "mid", "years")
 
 
+# What is left of joins, unions and tallies
+
+
+@query(f"SELECT symbol, count(*) FILTER (WHERE d <> before) AS flips FROM (SELECT symbol, supertrend_dir AS d, lag(supertrend_dir) OVER (PARTITION BY symbol ORDER BY timestamp) AS before FROM ({_SQL['supertrend']})) GROUP BY symbol")
+def direction_flips(spark, sf_dir):
+    df = combine(daily(spark, sf_dir), [("supertrend", {})])
+    flip = F.col("supertrend_dir") != F.lag("supertrend_dir").over(W.ordered())
+    return df.withColumn("flip", flip).groupBy("symbol").agg(F.count_if("flip").alias("flips"))
+
+
+@query(panel_sql(f"{r('(high - low) / nullif(close, 0)', 'hl')}, {r(f'close / nullif({full("avg", "close", 50)}, 0) - 1', 'trend')}, {r('close * volume', 'dollar')}"))
+def derived_features(spark, sf_dir):
+    close = F.col("close")
+    df = combine(daily(spark, sf_dir), [("sma", {"window": 50})])
+    return df.select("symbol", "timestamp", F.try_divide(F.col("high") - F.col("low"), close).alias("hl"), (F.try_divide(close, F.col("sma_50")) - 1).alias("trend"), (close * F.col("volume")).alias("dollar"))
+
+
+@query(f"WITH {BARS}, s AS (SELECT symbol, timestamp, 1.0::DOUBLE AS signal FROM bars WHERE volume >= 100){', j AS (SELECT b.symbol, b.timestamp, b.close, s.signal FROM bars b LEFT JOIN s USING (symbol, timestamp))'}{ledger_sql('j')} SELECT symbol, timestamp, {r('position', 'position')}, {r('strat', 'strat')} FROM led")
+def signal_reindex(spark, sf_dir):
+    """A sparse signal put on the bars' own index: no row means flat."""
+    bars = daily(spark, sf_dir)
+    sparse = bars.filter("volume >= 100").select("symbol", "timestamp", F.lit(1.0).alias("signal"))
+    return B.backtest(bars.join(sparse, ["symbol", "timestamp"], "left")).select("symbol", "timestamp", "position", "strat")
+
+
+@query(f"SELECT * FROM ({_SQL['sweep_sma']}) ORDER BY sharpe DESC, symbol, fast, slow LIMIT 5")
+def sweep_top(spark, sf_dir):
+    trials = rounded(sweeps.sweep_sma(daily(spark, sf_dir), _FASTS, _SLOWS))
+    return trials.orderBy(F.desc("sharpe"), "symbol", "fast", "slow").limit(5)
+
+
+@query(f"WITH {HOURS}, f AS (SELECT symbol, timestamp, close AS iv, min(close) OVER {frame(48)} AS lo, max(close) OVER {frame(48)} AS hi FROM bars) SELECT symbol, timestamp, {r('(iv - lo) / nullif(hi - lo, 0)', 'iv_rank')} FROM f")
+def iv_rank(spark, sf_dir):
+    return options.iv_rank(hourly(spark, sf_dir).select("symbol", "timestamp", F.col("close").alias("iv")), 48).select("symbol", "timestamp", "iv_rank")
+
+
+@query(f"WITH {CHAIN} SELECT contract, {r('strike', 'strike')}, option_type, '2024-01-19' AS expiry, CASE WHEN option_type = 'put' THEN days END AS days FROM chain")
+def chain_union(spark, sf_dir):
+    """Calls and puts as one chain; a column that one leg lacks is null there."""
+    legs = chain_table(spark, sf_dir).select("contract", "strike", "option_type", "days")
+    calls, puts = (legs.filter(F.col("option_type") == kind).drop("option_type") for kind in ("call", "put"))
+    return option_chain(calls.drop("days"), puts, "2024-01-19")
+
+
+@query(f"WITH {CHAIN}{PRICED}, iv AS ({IV}) ".replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT contract, {r('price', 'mid')}, {r('iv.iv', 'iv')} FROM pr JOIN iv USING (contract) ORDER BY abs(strike - {SPOT}::DOUBLE), strike, option_type, contract LIMIT 20")
+def chain_overlay(spark, sf_dir):
+    """The twenty contracts nearest to the spot with mid price and implied volatility."""
+    chain = _prices(spark, sf_dir).withColumns({"bid": F.col("price"), "ask": F.col("price")})
+    iv = lambda kind: options.implied_vol("mid", SPOT, "strike", "years", RATE, kind)
+    near = chain.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).orderBy(F.abs(F.col("strike") - SPOT), "strike", "option_type", "contract").limit(20)
+    return near.select("contract", "mid", _either(iv("call"), iv("put")).alias("iv"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The golden-cross strategy of every symbol, the ten best by Sharpe ratio."""
     return rounded(B.run_strategy(daily(spark, sf_dir), GOLDEN).stats.orderBy(F.desc("sharpe"), "symbol").limit(10))

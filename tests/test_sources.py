@@ -89,3 +89,12 @@ def test_resample(spark):
     assert S.resample(bars, "M").count() == 1
     with pytest.raises(ValueError):
         S.resample(bars, "fortnight")
+
+
+def test_data_source(spark):
+    from barlume.sources import datasource
+
+    datasource.register(spark)
+    df = spark.read.format("bars").option("symbols", "A,B").option("days", "30").load()
+    assert df.count() == 60 and df.rdd.getNumPartitions() == 2
+    assert C.validate(C.normalize(df)).select("symbol").distinct().count() == 2
