@@ -27,28 +27,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Where ``spark.checkpoint.dir`` is unset (local tests) a temporary folder is
-    made and put into the session's settings.
+    Where ``spark.checkpoint.dir`` is unset, a folder under the warehouse on a
+    cluster, and a temporary one in local mode (tests).
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not at:
-        at = tempfile.mkdtemp(prefix="barlume-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        at = tempfile.mkdtemp(prefix="barlume-shared-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_barlume"
+        _OWN[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
-    ``drop`` removes those that no later plan reads; the caller names them.
+    ``drop`` removes those that no later plan reads; the caller names them. The
+    rest, which lazy results may still read, goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        path = self._path(self.root)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _path(self, at: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
@@ -58,10 +70,9 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path = self._path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_remainder(column: str, modulus: int) -> Column:
