@@ -71,7 +71,7 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     vocabulary = sorted({t for c in counts.values() for t in c})
     terms = lambda text: F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    # one row a term of the templates: bounded by the parameter
+    # one row a term of the templates: their number is bounded by the parameter
     n = docs.count()
     found = docs.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("t")).groupBy("t").count().collect()
     df = {t: 0 for t in vocabulary} | {r["t"]: r["count"] for r in found}
@@ -80,30 +80,23 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     vectors = {name: {t: k * idf[t] for t, k in c.items()} for name, c in counts.items()}
     needed = F.array(*map(F.lit, _needed(vectors, df, threshold)))
 
-    def weights(unit: Column) -> Column:
-        """(term, weight) of a unit's distinct terms."""
-        found = terms(unit)
-        weigh = lambda t: F.size(F.filter(found, lambda y: y == t)) * F.coalesce(F.element_at(_map(idf), t), F.lit(rare))
-        return F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("t"), weigh(t).alias("w")))
-
-    def match(pairs: Column) -> Column:
-        """The best template of a unit: its cosine, and its place among the names, negated so that the first wins a tie."""
-        norm = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"] * p["w"]))
-
-        def cosine(i: int, vector: dict[str, float]) -> Column:
-            length = math.sqrt(sum(w * w for w in vector.values()))
-            dot = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"] * F.coalesce(F.element_at(_map(vector), p["t"]), F.lit(0.0)))
-            return F.struct(F.round(dot / F.lit(length) / norm, 6).alias("similarity"), F.lit(-i).alias("order"))
-
-        return F.array_max(F.array(*(cosine(i, v) for i, v in enumerate(vectors.values()))))
-
-    lines = F.array_union(F.split("text", "\n"), F.array("text"))
-    # the test on the whole text spares nearly all rows the one on lines
-    units = F.when(F.arrays_overlap(terms(F.col("text")), needed), F.filter(lines, lambda u: F.arrays_overlap(terms(u), needed))).otherwise(F.array().cast("array<string>"))
-    names = F.array(*(F.lit(name.strip()) for name in vectors))
-    best = docs.select("doc_id", "path", F.transform(units, weights).alias("units")).select("doc_id", "path", F.array_max(F.transform("units", match)).alias("best"))
-    good = F.col("best.similarity") >= threshold
-    return best.select("doc_id", "path", F.when(good, F.element_at(names, 1 - F.col("best.order"))).alias("own"), F.when(good, F.col("best.similarity")).alias("similarity"))
+    # a row is known by its id, its path and its text's hash: rows alike in all three are judged as one
+    keys = ["doc_id", "path", "digest"]
+    keyed = docs.select("doc_id", "path", F.xxhash64("text").alias("digest"), "text")
+    hits = keyed.filter(F.arrays_overlap(terms(F.col("text")), needed)).dropDuplicates(keys)
+    units = hits.select(*keys, F.posexplode(F.array_union(F.split("text", "\n"), F.array("text"))).alias("unit", "line"))
+    units = units.select(*keys, "unit", terms(F.col("line")).alias("terms")).filter(F.arrays_overlap("terms", needed))
+    counted = units.select(*keys, "unit", F.explode("terms").alias("t")).groupBy(*keys, "unit", "t").agg(F.count("*").alias("tf"))
+    weighed = counted.withColumn("w", F.col("tf") * F.coalesce(F.element_at(_map(idf), F.col("t")), F.lit(rare)))
+    lengths = [math.sqrt(sum(w * w for w in v.values())) for v in vectors.values()]
+    dots = [F.sum(F.col("w") * F.coalesce(F.element_at(_map(v), F.col("t")), F.lit(0.0))).alias(f"dot{i}") for i, v in enumerate(vectors.values())]
+    vector = weighed.groupBy(*keys, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
+    # of equal cosines the first name wins
+    each = [F.struct(F.round(F.col(f"dot{i}") / F.lit(length) / F.col("norm"), 6).alias("similarity"), F.lit(-i).alias("order"), F.lit(name.strip()).alias("own")) for i, (name, length) in enumerate(zip(vectors, lengths, strict=True))]
+    best = vector.groupBy(*keys).agg(F.max(F.array_max(F.array(*each))).alias("best")).filter(F.col("best.similarity") >= threshold)
+    found = best.select(*(F.col(k).alias(f"own_{k}") for k in keys), "best.own", "best.similarity")
+    alike = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys]
+    return keyed.drop("text").join(found, alike, "left").select("doc_id", "path", "own", "similarity")
 
 
 def _parents(directory: Column) -> Column:
