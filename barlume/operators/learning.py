@@ -16,6 +16,7 @@ from barlume.functions import windows as W
 from barlume.functions.scalar import no_nan
 from barlume.operators.indicators import Spec, combine, lookup
 
+# The usual feature set.
 DEFAULT_FEATURES: list[Spec] = [
     ("ret", {"periods": 1}), ("ret", {"periods": 5}), ("ret", {"periods": 20}), ("rsi", {"window": 14}),
     ("zscore", {"window": 20}), ("atr", {"window": 14}), ("sma", {"window": 50}), ("std", {"window": 20}),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from barlume.functions import windows as W
 from barlume.operators.indicators import combine
 
-#: What a scan shows, in this order.
-DISPLAY = ("close", "rsi_14", "z20", "mom20", "mom60", "gap", "pct_from_high", "rs", "rs_mom60", "rs_pct_from_high", "atr_14", "dollar_vol")
+# What a scan shows, in this order.
+DISPLAY = ("close", "rsi14", "z20", "mom20", "mom60", "gap", "pct_from_high", "rs", "rs_mom60", "rs_pct_from_high", "atr14", "dollar_vol")
 YEAR, LEAST = 252, 20
 MIN_DOLLAR_VOLUME = 5e7
 
@@ -50,7 +50,8 @@ def features(panel: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
     if benchmark is not None:
         more["rs_mom60"] = W.change("rs", 60)
         more["rs_pct_from_high"] = F.try_divide(F.col("rs"), W.full(F.max, "rs", YEAR, least=LEAST)) - 1
-    return combine(df.withColumns(more), [("rsi", {"window": 14}), ("atr", {"window": 14})])
+    found = combine(df.withColumns(more), [("rsi", {"window": 14}), ("atr", {"window": 14})])
+    return found.withColumnsRenamed({"rsi_14": "rsi14", "atr_14": "atr14"})
 
 
 def latest_snapshot(panel: DataFrame, benchmark: str | DataFrame | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def _liquid(least: float) -> Column:
 @setup
 def swing_pullback(columns: list[str], min_dollar_vol: float = MIN_DOLLAR_VOLUME) -> Column:
     """Above the long average, short over middle average, strength cooled to 40 to 55."""
-    return W.true((F.col("close") > F.col("sma200")) & (F.col("sma20") > F.col("sma50")) & F.col("rsi_14").between(40, 55) & _liquid(min_dollar_vol))
+    return W.true((F.col("close") > F.col("sma200")) & (F.col("sma20") > F.col("sma50")) & F.col("rsi14").between(40, 55) & _liquid(min_dollar_vol))
 
 
 @setup

@@ -30,6 +30,8 @@ def above(a: Column, b: Column) -> Column:
 
 @dataclass
 class ComboParams:
+    """Settings of the combo strategy. The defaults."""
+
     fast: int = 20
     slow: int = 100
     rsi_window: int = 14

@@ -586,7 +586,7 @@ _ATR = recursive_sql("feats", "tr AS y", ema_step("y", "c.tr", "1 / 14.0::DOUBLE
 SNAP = f"""WITH RECURSIVE {BARS}, {WITH_RSI}, {_ATR}, b AS (SELECT timestamp, close AS bench0 FROM bars WHERE symbol = '{BENCHMARK}'),
   j AS (SELECT f.*, y AS atr_14, bench0 FROM feats f JOIN rec2 ON f.symbol = rec2.symbol AND f.i = rec2.i LEFT JOIN b USING (timestamp)),
   l AS (SELECT *, close / nullif(last_value(bench0 IGNORE NULLS) OVER {RUN}, 0) AS rs FROM j),
-  sf AS (SELECT *, {_SNAP_COLUMNS}, rs / nullif({lagged('rs', 60)}, 0) - 1 AS rs_mom60, rs / nullif({full('max', 'rs', 252, 20)}, 0) - 1 AS rs_pct_from_high FROM l),
+  sf AS (SELECT *, rsi_14 AS rsi14, atr_14 AS atr14, {_SNAP_COLUMNS}, rs / nullif({lagged('rs', 60)}, 0) - 1 AS rs_mom60, rs / nullif({full('max', 'rs', 252, 20)}, 0) - 1 AS rs_pct_from_high FROM l),
   snap AS (SELECT * FROM sf QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) = 1)"""
 _DISPLAY_SQL = ", ".join(r(c, c) for c in scanners.DISPLAY)
 
