@@ -47,7 +47,7 @@ YOUNG = (
 # Small letters of capitals younger than this Python.
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-_KEPT_WORDS = 150_000
+_KEPT_WORDS = 120_000
 
 
 def default_path() -> str:
@@ -249,4 +249,4 @@ def encode_decode(docs: DataFrame, spec: Spec | None = None) -> DataFrame:
 
         return work
 
-    return map_texts(docs.select("doc_id", "text"), make, SCHEMA, chars=2_500_000)
+    return map_texts(docs.select("doc_id", "text"), make, SCHEMA, chars=2_000_000)

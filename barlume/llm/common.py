@@ -20,7 +20,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
 #: Texts are gathered up to so many characters before a vectorised pass.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +128,8 @@ def map_texts(
         work = make()
         for chunk in chunks(batches, text_column, chars):
             yield from work(chunk).to_batches()
+            del chunk
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -140,5 +142,7 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bo
         for chunk in chunks(batches, text_column):
             keep = pa.array(judge(texts_of(chunk.column(text_column))), pa.bool_())
             yield from chunk.filter(keep).to_batches()
+            del chunk
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

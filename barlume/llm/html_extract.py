@@ -88,7 +88,7 @@ def extract(pages: DataFrame, chain: crf.Chain | None = None) -> DataFrame:
 
         return work
 
-    return map_texts(pages.select("page_id", "url", "html"), make, SCHEMA, text_column="html", chars=4_000_000)
+    return map_texts(pages.select("page_id", "url", "html"), make, SCHEMA, text_column="html")
 
 
 assert len(TAGS) < len(ANCESTORS) <= 64

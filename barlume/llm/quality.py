@@ -46,7 +46,7 @@ class Lines:
 
     def __init__(self, texts: list[str]) -> None:
         joined = "\n".join(texts) + "\n"
-        code = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), _TABLE)
+        code = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), _TABLE).astype(np.uint16)
         stops = np.flatnonzero(code == 10)
         starts = np.concatenate(([0], stops[:-1] + 1))
         text_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1])) if texts else np.zeros(0, np.int64)
@@ -54,8 +54,8 @@ class Lines:
         self.n_docs = len(texts)
 
         def per_line(mask: np.ndarray) -> np.ndarray:
-            total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
-            return total[stops] - total[starts]
+            total = np.concatenate((np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)))
+            return (total[stops] - total[starts]).astype(np.int64)
 
         solid = ~_SPACE[code]
         self.chars = per_line(solid)
@@ -177,7 +177,7 @@ def quality_rules(docs: DataFrame, chain: crf.Chain) -> DataFrame:
 
         return work
 
-    return map_texts(docs.select("doc_id", "text"), make, SCHEMA, chars=4_000_000)
+    return map_texts(docs.select("doc_id", "text"), make, SCHEMA)
 
 
 def keep_good(docs: DataFrame, chain: crf.Chain) -> DataFrame:
