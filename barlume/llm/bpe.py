@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from dataclasses import dataclass
 from itertools import chain
@@ -109,7 +110,12 @@ class Encoder:
         young = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in YOUNG)
         self._young = regex.compile(f"[{young}{''.join(map(chr, LOWER))}]").search
         self._find_young = regex.compile(pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{young}]]").replace(r"[\p{L}]", f"[\\p{{L}}--[{young}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{young}]]"), regex.V1).findall
-        self._spaces = regex.compile(r"\p{White_Space}+").sub
+        # most texts are Latin-1: there the classes are short lists, which the standard module searches faster
+        kind = lambda c: unicodedata.category(c)[0]
+        latin = [chr(i) for i in range(256)]
+        letters, numbers = ("".join(re.escape(c) for c in latin if kind(c) == k) for k in "LN")
+        spaces = "".join(re.escape(c) for c in latin if regex.fullmatch(r"\p{White_Space}", c))
+        self._find_latin = re.compile(spec.pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")).findall
         self._parts = regex.compile("(" + "|".join(map(regex.escape, spec.special)) + ")").split if spec.special else None
         self._forget()
 
@@ -119,13 +125,17 @@ class Encoder:
         self._lengths = np.ones(len(self.spec.special), np.int64)
 
     def _plain(self, text: str) -> list[str]:
+        """The words; white space is in none of them, so its runs need no shortening."""
+        try:
+            text.encode("latin-1")
+            return self._find_latin(text.lower())
+        except UnicodeEncodeError:
+            pass
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # lower case by code point: no final sigma
-        text = self._spaces(" ", text).replace("Σ", "σ").lower()
-        if text.isascii() or not self._young(text):
-            return self._find(text)
-        return self._find_young(text.translate(LOWER))
+        text = text.replace("Σ", "σ").lower()
+        return self._find_young(text.translate(LOWER)) if self._young(text) else self._find(text)
 
     def words(self, text: str) -> list[str]:
         if self._parts is None or "<|" not in text:
