@@ -17,6 +17,9 @@ template can reach nothing but the conversation.
 backslash is doubled, and where a control string begins a backslash is put
 after its first character, as after a text whose end could run into one.
 
+A conversation is rendered and read back turn by turn and written in parts, so
+a very long one is never held whole.
+
 Edge cases: a null text or role is empty; turns go by number, those without
 one first, ties by role and text; repeated rows are turns of their own; rows
 without conv_id are one conversation; an empty table gives none.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from operator import itemgetter
@@ -43,9 +46,9 @@ TEMPLATE = (
     "{% else %}[ROLE]{{ m.role | guard }}[TURN]{{ m.text | guard }}[/ROLE]{% endif %}"
     "{% endfor %}"
 )
-SCHEMA = "conv_id long, formatted string, spans array<struct<start: long, stop: long>>"
+SCHEMA = "conv_id long, part int, formatted string, spans array<struct<start: long, stop: long>>"
 READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-MAX_TEMPLATE, MAX_DEPTH = 100_000, 40
+MAX_TEMPLATE, MAX_DEPTH, PART_CHARS = 100_000, 40, 1_000_000
 
 
 class TemplateError(ValueError):
@@ -344,7 +347,7 @@ def fold(node: object, guard: Guard) -> object:
 
 
 Env = dict[str, object]
-Pieces = list[tuple[str, bool]]
+Pieces = Iterator[tuple[str, bool]]
 
 
 def _value(node: object, guard: Guard) -> Callable[[Env], object]:
@@ -375,125 +378,192 @@ def _value(node: object, guard: Guard) -> Callable[[Env], object]:
     return lambda env: f(a(env), b(env))
 
 
-def _render(node: object, guard: Guard) -> Callable[[Env, Pieces, bool], None]:
+def _render(node: object, guard: Guard) -> Callable[[Env, bool], Pieces]:
+    """A closure that yields the node's pieces."""
     if isinstance(node, tuple):
         parts = [_render(x, guard) for x in node]
 
-        def block(env: Env, out: Pieces, masked: bool) -> None:
+        def block(env: Env, masked: bool) -> Pieces:
             for part in parts:
-                part(env, out, masked)
+                yield from part(env, masked)
 
         return parts[0] if len(parts) == 1 else block
     if isinstance(node, Show):
         value = _value(node.value, guard)
-        return lambda env, out, masked: out.append((_text(value(env)), masked))
+        return lambda env, masked: iter(((_text(value(env)), masked),))
     if isinstance(node, If):
         test, then, other = _value(node.test, guard), _render(node.then, guard), _render(node.other, guard)
-        return lambda env, out, masked: then(env, out, masked) if test(env) else other(env, out, masked)
+        return lambda env, masked: then(env, masked) if test(env) else other(env, masked)
     if isinstance(node, Generation):
         body = _render(node.body, guard)
 
-        def generation(env: Env, out: Pieces, masked: bool) -> None:
-            out.append(("", False))  # so that two spans in a row stay two
-            body(env, out, True)
+        def generation(env: Env, masked: bool) -> Pieces:
+            yield "", False  # so that two spans in a row stay two
+            yield from body(env, True)
 
         return generation
     name, over, body = node.name, _value(node.over, guard), _render(node.body, guard)
 
-    def loop(env: Env, out: Pieces, masked: bool) -> None:
+    def loop(env: Env, masked: bool) -> Pieces:
         rows = over(env)
-        if not isinstance(rows, list):
+        if not isinstance(rows, list | Iterator):
             raise TemplateError("a loop needs a list")
-        for i, x in enumerate(rows):
-            body(env | {name: x, "loop": {"index": i + 1, "first": i == 0, "last": i == len(rows) - 1}}, out, masked)
+        rows, end = iter(rows), object()
+        now, i = next(rows, end), 0
+        while now is not end:
+            after = next(rows, end)
+            yield from body(env | {name: now, "loop": {"index": i + 1, "first": i == 0, "last": after is end}}, masked)
+            now, i = after, i + 1
 
     return loop
 
 
+def _mentions(node: object, looped: bool = False) -> list[bool]:
+    """For each mention of ``messages``: whether it is the list of a loop that stands in no other."""
+    if isinstance(node, For):
+        over = [not looped] if node.over == Name("messages") else _mentions(node.over, True)
+        return over + _mentions(node.body, True)
+    if isinstance(node, Name):
+        return [False] * (node.name == "messages")
+    parts = node if isinstance(node, tuple) else vars(node).values() if hasattr(node, "__dataclass_fields__") else ()
+    return [m for x in parts for m in _mentions(x, looped)]
+
+
 class Template:
     """A compiled template."""
 
     def __init__(self, source: str = TEMPLATE, control: tuple[str, ...] = CONTROL) -> None:
         self.guard = Guard(control)
         self.tree = fold(parse(source), self.guard)
+        self.streams = _mentions(self.tree) == [True]  # the turns can come one by one
         self._run = _render(self.tree, self.guard)
 
-    def render(self, messages: list[dict[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-        """The formatted conversation and the spans under the loss mask, in code points."""
-        pieces: Pieces = []
-        self._run({"messages": messages}, pieces, False)
+    def parts(self, messages: Iterable[dict[str, str]], chars: int = PART_CHARS) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        """The formatted conversation in parts of about so many code points, each with its spans under the loss mask.
+
+        Parts end outside spans. Turns are taken one by one where the template
+        goes through them once, so no more than a part and a turn is held.
+        """
+        texts: list[str] = []
         spans: list[tuple[int, int]] = []
         at, open_ = 0, False
-        for text, masked in pieces:
-            if masked:
-                spans[-1:] = [(spans[-1][0], at + len(text))] if open_ else [*spans[-1:], (at, at + len(text))]
+        for text, masked in self._run({"messages": iter(messages) if self.streams else list(messages)}, False):
+            if at >= chars and not masked:
+                yield "".join(texts), spans
+                texts, spans, at = [], [], 0
+            if masked and open_:
+                spans[-1] = (spans[-1][0], at + len(text))
+            elif masked:
+                spans.append((at, at + len(text)))
             open_ = masked
+            texts.append(text)
             at += len(text)
-        return "".join(text for text, _ in pieces), spans
+        yield "".join(texts), spans
+
+    def render(self, messages: list[dict[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+        """The whole formatted conversation and its spans."""
+        (out,) = self.parts(messages, 1 << 62)
+        return out
 
 
 _TURN = re.compile(r"\[INST\](?P<user>.*?)\[/INST\]|<s>(?P<assistant>.*?)</s>|\[ROLE\](?P<role>.*?)\[TURN\](?P<text>.*?)\[/ROLE\]", re.S)
 
 
-def read_turns(formatted: str, guard: Guard) -> Iterator[tuple[str, str]]:
-    """(role, text) of each turn, read back from what the default template made."""
+def read_turns(formatted: str, guard: Guard, more: bool = False) -> Iterator[tuple[str, str, int]]:
+    """(role, text, where it ends) of each turn, read back from what the default template made; with ``more`` the last may be cut."""
     at = 0
     while at < len(formatted):
         m = _TURN.match(formatted, at)
         if not m:
+            if more:
+                return
             raise ValueError(f"no turn at {at}")
-        kind = m.lastgroup
-        yield (guard.undo(m["role"]), guard.undo(m["text"])) if kind == "text" else (kind, guard.undo(m[kind]))
-        at = m.end()
+        at, kind = m.end(), m.lastgroup
+        yield (guard.undo(m["role"]), guard.undo(m["text"]), at) if kind == "text" else (kind, guard.undo(m[kind]), at)
 
 
 # On tables
 
 
-def format_conversations(rows: DataFrame, template: str = TEMPLATE, control: tuple[str, ...] = CONTROL) -> DataFrame:
-    """One row per conversation: conv_id, formatted text, spans under the loss mask."""
+def format_conversations(rows: DataFrame, template: str = TEMPLATE, control: tuple[str, ...] = CONTROL, part_chars: int = PART_CHARS) -> DataFrame:
+    """(conv_id, part, formatted, spans): each conversation in parts, nearly always one; spans are under the loss mask.
+
+    A conversation's parts are consecutive rows of one partition, in order.
+    """
     compiled = (template, control)
     Template(*compiled)  # errors show before the job
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Template(*compiled)
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        ids, texts, spans, size = [], [], [], 0
-        out = lambda: pa.RecordBatch.from_pydict({"conv_id": pa.array(ids, pa.int64()), "formatted": pa.array(texts, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))})
+        held: list[tuple] = []
+        size = 0
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+        def out() -> pa.RecordBatch:
+            ids, parts, texts, spans = zip(*held, strict=True)
+            return pa.RecordBatch.from_pydict({"conv_id": pa.array(ids, pa.int64()), "part": pa.array(parts, pa.int32()), "formatted": pa.array(texts, pa.string()), "spans": pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], kind)})
+
         for conv, turns in groupby(stream, key=itemgetter(0)):
-            text, marked = made.render([{"role": role or "", "text": said or ""} for _, _, role, said in turns])
-            ids.append(conv)
-            texts.append(text)
-            spans.append([{"start": a, "stop": b} for a, b in marked])
-            size += len(text)
-            if size > 4_000_000:
-                yield out()
-                ids, texts, spans, size = [], [], [], 0
-        if ids:
+            said = ({"role": role or "", "text": text or ""} for _, _, role, text in turns)
+            for k, (text, marked) in enumerate(made.parts(said, part_chars)):
+                held.append((conv, k, text, marked))
+                size += len(text)
+                if size > 4 * PART_CHARS:
+                    yield out()
+                    held, size = [], 0
+        if held:
             yield out()
 
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)
 
 
+class _Reader:
+    """Reads a conversation back, part by part."""
+
+    def __init__(self, guard: Guard) -> None:
+        self.guard, self.rest = guard, ""
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.chars = self.size = 0
+
+    def add(self, text: str, spans: list[dict]) -> None:
+        for span in spans:
+            said = self.guard.undo(text[span["start"] : span["stop"]])
+            self.loss.update(said.encode())
+            self.chars += len(said)
+        self.size += len(text)
+        self.rest += text
+        at = 0
+        for role, said, at in read_turns(self.rest, self.guard, more=True):
+            self.turns.update(f"{role}\n{said}\n".encode())
+            self.n += 1
+        self.rest = self.rest[at:]
+
+    def row(self) -> tuple:
+        if self.rest:
+            raise ValueError("the last turn does not end")
+        return self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations hold: counts and digests of turns and of the text under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guard = Guard(CONTROL)
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                turns = list(read_turns(text, guard))
-                digest, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
-                for role, said in turns:
-                    digest.update(f"{role}\n{said}\n".encode())
-                for span in spans:
-                    said = guard.undo(text[span["start"] : span["stop"]])
-                    loss.update(said.encode())
-                    chars += len(said)
-                for k, v in zip(out, (len(turns), digest.hexdigest(), chars, loss.hexdigest(), len(text)), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"conv_id": batch.column(0)} | out)
-
-    return formatted.mapInArrow(run, READ_SCHEMA)
+        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        held: list[tuple] = []
+        names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+        out = lambda: pa.RecordBatch.from_pydict({n: pa.array(v, pa.string() if n.endswith("256") else pa.int64()) for n, v in zip(names, zip(*held, strict=True), strict=True)})
+        for conv, parts in groupby(stream, key=itemgetter(0)):
+            reader = _Reader(guard)
+            for _, _, text, spans in parts:
+                reader.add(text, spans)
+            held.append((conv, *reader.row()))
+            if len(held) >= 10_000:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    return formatted.select("conv_id", "part", "formatted", "spans").mapInArrow(run, READ_SCHEMA)

@@ -61,7 +61,13 @@ texts = st.lists(pieces, max_size=12).map("".join)
 def test_chat_round_trip(turns):
     template = chat.Template()
     text, spans = template.render([{"role": r, "text": t} for r, t in turns])
-    assert list(chat.read_turns(text, template.guard)) == turns
+    assert [(r, t) for r, t, _ in chat.read_turns(text, template.guard)] == turns
+    reader = chat._Reader(template.guard)
+    for part, marked in template.parts(({"role": r, "text": t} for r, t in turns), 5):
+        reader.add(part, [{"start": a, "stop": b} for a, b in marked])
+    loss = "".join(t for r, t in turns if r == "assistant")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert reader.row() == (len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), len(text))
     assert [template.guard.undo(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
@@ -76,11 +82,18 @@ def test_chat_table(spark):
     assert found[2]["turns_sha256"] == sha("\n\n") and found[2]["n_turns"] == 1
     assert found[3]["n_turns"] == 2 and found[4]["n_turns"] == 2 and None in found and len(found) == 6
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+    long = spark.createDataFrame([(5, k, "user" if k % 2 else "assistant", f"[INST] {k}") for k in range(3000)], "conv_id long, turn long, role string, text string")
+    cut = chat.format_conversations(long, part_chars=1000)
+    assert cut.count() > 20
+    assert chat.read_back(cut).collect() == chat.read_back(chat.format_conversations(long)).collect()
 
 
 def test_template_language():
     t = chat.Template("{% for m in messages %}{% if loop.first %}<{% endif %}{{ m['role'] | upper }}:{{ m.text | trim if m.text else 'none' }}{% if not loop.last %};{% else %}>{% endif %}{% endfor %}")
     assert t.render([{"role": "a", "text": " x "}, {"role": "b", "text": ""}])[0] == "<A:x;B:none>"
+    assert not t.streams or t.render([])[0] == ""
+    assert chat.Template().streams and not chat.Template("{% for a in messages %}{% for b in messages %}{{ b.text }}{% endfor %}{% endfor %}").streams
+    assert chat.Template("{% for a in messages %}{% for b in messages %}{{ b.text }}{% endfor %}{% endfor %}").render([{"text": "x"}, {"text": "y"}])[0] == "xyxy"
     folded = chat.Template("a{{ 'b' + 'c' }}{% if 1 == 1 %}d{% else %}{{ x }}{% endif %}").tree
     assert folded == (chat.Show(chat.Const("abcd")),)
     for bad in ("{{ x() }}", "{% set x = 1 %}", "{% if x %}", "{{ x | eval }}", "{{ 'a' < 1 }}", "{% for x y %}{% endfor %}", "{{ " + "(" * 60 + "1" + ")" * 60 + " }}"):
