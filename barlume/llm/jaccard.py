@@ -13,11 +13,11 @@ connected component.
    first that they share what is left of both still holds the overlap that
    they need (positional filter).
 3. Search, in two rounds. First each set is tried against a few neighbours
-   from its inverted lists: the one before it by size and the smallest id of
-   each of two size bins. Then, exactly, against all others of its lists that
-   aren't yet in its component. Links between members of one component change
-   no result, so nothing is lost, and large groups of near copies aren't
-   paired out.
+   from its inverted lists: the one before it by size and, of two size bins,
+   the one whose own lists are longest, which is near to most others. Then,
+   exactly, against all others of its lists that aren't yet in its component.
+   Links between members of one component change no result, so nothing is
+   lost, and large groups of near copies aren't paired out.
 4. A search takes one probe and its candidates, in blocks of 256: inverted
    lists of the probe's shingles; DivideSkip sets the longest lists apart,
    heap-merges the short ones with skips (MergeSkip), probes the long ones by
@@ -265,11 +265,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     lists = reps.select("n_shingles", "doc_id", F.posexplode("prefix").alias("place", "shingle")).select("shingle", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "place")
     ordered = Window.partitionBy("shingle").orderBy("n", "rep")
     mine = F.struct("rep", "n", "place")
-    lists = lists.withColumns({"before": F.lag(mine).over(ordered), "after": F.lead("rep").over(ordered)}).filter("before IS NOT NULL OR after IS NOT NULL").drop("after")
-    for name, bin_ in (("even", F.floor(size)), ("odd", F.floor(size + 0.5))):
-        lists = lists.withColumn(name, F.min(mine).over(Window.partitionBy("shingle", bin_)))
+    lists = lists.withColumns({"before": F.lag(mine).over(ordered), "held": F.count("*").over(Window.partitionBy("shingle"))}).filter("held > 1")
     lists = scratch.put(lists, "lists")
-    near = lists.select("rep", "n", "place", F.explode(F.array("before", "even", "odd")).alias("o")).filter("o.rep <> rep AND " + fits.format("o."))
+    # sets whose prefixes lie in long lists are near to many: the best ones to try first
+    central = lists.groupBy("rep").agg(F.sum("held").alias("central"))
+    ranked = lists.join(central, "rep").withColumn("mine", F.struct("central", F.negative("rep").alias("order"), "rep", "n", "place"))
+    for name, bin_ in (("even", F.floor(size)), ("odd", F.floor(size + 0.5))):
+        ranked = ranked.withColumn(name, F.max("mine").over(Window.partitionBy("shingle", bin_)))
+    others = F.array("before", *(F.struct(*(F.col(f"{x}.{y}").alias(y) for y in ("rep", "n", "place"))) for x in ("even", "odd")))
+    near = ranked.select("rep", "n", "place", F.explode(others).alias("o")).filter("o.rep <> rep AND " + fits.format("o."))
     tried = scratch.put(near.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct(), "tried")
     links = scratch.put(verify(docs, tried, classes, words, num, den), "links")
     joined = connected_components(links, scratch, "first")
