@@ -72,12 +72,9 @@ def panel_sql(columns: str, source: str = "bars", extra: str = "") -> str:
     return f"WITH {BARS}{extra} SELECT symbol, timestamp, {columns} FROM {source}"
 
 
-def added(name: str, value: Column | dict[str, Column]) -> Query:
-    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        columns = value if isinstance(value, dict) else {name: value}
-        return daily(spark, sf_dir).withColumns(columns).select("symbol", "timestamp", *columns)
-
-    return f
+def added(name: str, value: Callable[[], Column]) -> Query:
+    """The daily bars' keys and one more column, built once a session is there."""
+    return lambda spark, sf_dir: daily(spark, sf_dir).withColumn(name, value()).select("symbol", "timestamp", name)
 
 
 def indicator(*specs: tuple[str, dict]) -> Query:
@@ -153,9 +150,9 @@ def lagged(x: str, k: int = 1) -> str:
 
 RET = f"close / nullif({lagged('close')}, 0) - 1"
 enter("simple_return", indicator(("ret", {"periods": 1}), ("ret", {"periods": 5})), panel_sql(f"{r(RET, 'ret_1')}, {r(f'close / nullif({lagged("close", 5)}, 0) - 1', 'ret_5')}"))
-enter("log_return", added("log_ret", W.log_change("close")), panel_sql(r(f"ln(close) - ln({lagged('close')})", "log_ret")))
+enter("log_return", added("log_ret", lambda: W.log_change("close")), panel_sql(r(f"ln(close) - ln({lagged('close')})", "log_ret")))
 AHEAD = "lead(close, 5) OVER (PARTITION BY symbol ORDER BY timestamp) / nullif(close, 0) - 1"
-enter("forward_return", added("fwd_5", W.forward_change("close", 5)), panel_sql(r(AHEAD, "fwd_5")))
+enter("forward_return", added("fwd_5", lambda: W.forward_change("close", 5)), panel_sql(r(AHEAD, "fwd_5")))
 RUN = f"({W_SQL} ROWS UNBOUNDED PRECEDING)"
 RETURNS = f", rets AS (SELECT *, {RET} AS ret FROM bars), eq AS (SELECT *, product(1 + coalesce(ret, 0)) OVER {RUN} AS equity FROM rets)"
 
@@ -194,9 +191,9 @@ _ENGULF = """CASE WHEN close > open AND bc < bo AND close >= bo AND open <= bc A
 enter("candle_engulfing", indicator(("cdlengulfing", {})), panel_sql(_ENGULF, "f", f", f AS (SELECT *, {lagged('open')} AS bo, {lagged('close')} AS bc FROM bars)"))
 enter("candle_doji", indicator(("cdldoji", {})), panel_sql('CASE WHEN high > low AND abs(close - open) <= 0.1::DOUBLE * (high - low) THEN 100 ELSE 0 END AS "CDLDOJI"'))
 enter("hl_range", indicator(("hl_range", {"window": 20})), panel_sql(r(full("avg", "hl", 20), "hl_range_20"), "f", ", f AS (SELECT *, (high - low) / nullif(close, 0) AS hl FROM bars)"))
-enter("dollar_volume", added("dollar_vol", W.full(F.avg, F.col("close") * F.col("volume"), 20)), panel_sql(r(full("avg", "dv", 20), "dollar_vol"), "f", ", f AS (SELECT *, close * volume AS dv FROM bars)"))
-enter("gap", added("gap", F.try_divide(F.col("open"), F.lag("close").over(W.ordered())) - 1), panel_sql(r(f"open / nullif({lagged('close')}, 0) - 1", "gap")))
-enter("pct_from_high", added("pct_from_high", F.try_divide(F.col("close"), W.full(F.max, "close", 252, least=20)) - 1), panel_sql(r(f"close / nullif({full('max', 'close', 252, 20)}, 0) - 1", "pct_from_high")))
+enter("dollar_volume", added("dollar_vol", lambda: W.full(F.avg, F.col("close") * F.col("volume"), 20)), panel_sql(r(full("avg", "dv", 20), "dollar_vol"), "f", ", f AS (SELECT *, close * volume AS dv FROM bars)"))
+enter("gap", added("gap", lambda: F.try_divide(F.col("open"), F.lag("close").over(W.ordered())) - 1), panel_sql(r(f"open / nullif({lagged('close')}, 0) - 1", "gap")))
+enter("pct_from_high", added("pct_from_high", lambda: F.try_divide(F.col("close"), W.full(F.max, "close", 252, least=20)) - 1), panel_sql(r(f"close / nullif({full('max', 'close', 252, 20)}, 0) - 1", "pct_from_high")))
 _MDD = "list_reduce(list_prepend({'peak': 0.0::DOUBLE, 'worst': 0.0::DOUBLE}, list_transform(xs, lambda x: {'peak': x, 'worst': 0.0::DOUBLE})), lambda a, b: {'peak': greatest(a.peak, b.peak), 'worst': least(a.worst, b.peak / greatest(a.peak, b.peak) - 1)}).worst"
 enter("rolling_drawdown", indicator(("rolling_mdd", {"window": 20})), panel_sql(r(f"CASE WHEN len(xs) = 20 THEN {_MDD} END", "rolling_mdd_20"), "f", f", f AS (SELECT *, list(close) OVER {frame(20)} AS xs FROM bars)"))
 
