@@ -44,27 +44,35 @@ def greeks(s, k, t, r, sigma, option_type: str = "call", q=0.0) -> dict[str, Col
     }
 
 
-def implied_vol(price, s, k, t, r, option_type: str = "call", q=0.0) -> Column:
-    """The volatility in [1e-6, 5] that gives the price, by bisection folded over 23 steps; null outside the no-arbitrage bounds."""
+def implied_vol(price, s, k, t, r, option_type: str | Column = "call", q=0.0) -> Column:
+    """The volatility in [1e-6, 5] that gives the price, by bisection folded over 23 steps; null outside the no-arbitrage bounds.
+
+    ``option_type`` may be a column of types. Lambda bodies are not compiled,
+    so each value that a step needs twice is bound to a variable once.
+    """
     price, s, k, t, r, q = map(_column, (price, s, k, t, r, q))
+    sign = F.lit(1.0 if option_type == "call" else -1.0) if isinstance(option_type, str) else F.when(option_type == "call", 1.0).otherwise(-1.0)
+    held, paid = s * F.exp(-q * t), k * F.exp(-r * t)
     start = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
 
+    def value(sigma: Column) -> Column:
+        d1, d2 = _d1_d2(s, k, t, r, sigma, q)
+        terms = F.array(F.struct((sign * d1).alias("d"), held.alias("w")), F.struct((sign * d2).alias("d"), (-paid).alias("w")))
+        return sign * F.aggregate(terms, F.lit(0.0), lambda total, x: total + x["w"] * norm_cdf(x["d"]))
+
     def halve(b: Column, _: Column) -> Column:
-        mid = (b["lo"] + b["hi"]) / 2
-        low = bs_price(s, k, t, r, mid, option_type, q) < price
-        return F.struct(F.when(low, mid).otherwise(b["lo"]).alias("lo"), F.when(low, b["hi"]).otherwise(mid).alias("hi"))
+        tried = F.transform(F.array((b["lo"] + b["hi"]) / 2), lambda mid: F.struct(mid.alias("mid"), (value(mid) < price).alias("low")))
+        return F.transform(tried, lambda x: F.struct(F.when(x["low"], x["mid"]).otherwise(b["lo"]).alias("lo"), F.when(x["low"], b["hi"]).otherwise(x["mid"]).alias("hi")))[0]
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda b: (b["lo"] + b["hi"]) / 2)
-    held, paid = s * F.exp(-q * t), k * F.exp(-r * t)
-    least, most = (F.greatest(held - paid, F.lit(0.0)), held) if option_type == "call" else (F.greatest(paid - held, F.lit(0.0)), paid)
+    least, most = F.greatest(sign * (held - paid), F.lit(0.0)), F.when(sign > 0, held).otherwise(paid)
     return F.when((price > least) & (price < most), found)
 
 
 def chain_overlay(chain: DataFrame, spot: float, days: Column, r: float = 0.04, top: int | None = 5) -> DataFrame:
     """The strikes nearest to the spot with mid price, years to expiry and implied volatility."""
     df = chain.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "years": F.greatest(days, F.lit(1)) / 365})
-    iv = F.when(F.col("option_type") == "call", implied_vol("mid", spot, "strike", "years", r)).otherwise(implied_vol("mid", spot, "strike", "years", r, "put"))
-    out = df.withColumn("iv", iv).orderBy(F.abs(F.col("strike") - spot), "strike", "option_type")
+    out = df.withColumn("iv", implied_vol("mid", spot, "strike", "years", r, F.col("option_type"))).orderBy(F.abs(F.col("strike") - spot), "strike", "option_type")
     return out.limit(top) if top else out
 
 

@@ -735,9 +735,7 @@ IV = f"""WITH RECURSIVE {CHAIN}{PRICED}, rec AS (SELECT contract, strike, years,
 
 @query(IV)
 def implied_vol(spark, sf_dir):
-    df = _prices(spark, sf_dir)
-    iv = lambda kind: options.implied_vol("price", SPOT, "strike", "years", RATE, kind)
-    return df.select("contract", _either(iv("call"), iv("put")).alias("iv"))
+    return _prices(spark, sf_dir).select("contract", options.implied_vol("price", SPOT, "strike", "years", RATE, F.col("option_type")).alias("iv"))
 
 
 @query(f"""WITH {CHAIN}{PRICED} SELECT contract, {r('strike', 'strike')}, option_type, {r('price', 'mid')}, {r('greatest(days, 1) / 365.0::DOUBLE', 'years')} FROM pr ORDER BY abs(strike - {SPOT}::DOUBLE), strike, option_type, contract LIMIT 5""")
@@ -795,9 +793,8 @@ def chain_union(spark, sf_dir):
 def chain_overlay(spark, sf_dir):
     """The twenty contracts nearest to the spot with mid price and implied volatility."""
     chain = _prices(spark, sf_dir).withColumns({"bid": F.col("price"), "ask": F.col("price")})
-    iv = lambda kind: options.implied_vol("mid", SPOT, "strike", "years", RATE, kind)
     near = chain.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).orderBy(F.abs(F.col("strike") - SPOT), "strike", "option_type", "contract").limit(20)
-    return near.select("contract", "mid", _either(iv("call"), iv("put")).alias("iv"))
+    return near.select("contract", "mid", options.implied_vol("mid", SPOT, "strike", "years", RATE, F.col("option_type")).alias("iv"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
