@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlume.llm.common import crc_remainder, filter_texts, hash_below, map_texts, texts_of
+from barlume.llm.jaccard import shingles
 
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED, MAX_FEATURES = 3000, 6000, 256
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -88,10 +89,24 @@ def choose_words(positive: list[str], unlabelled: list[str], most: int = MAX_FEA
     return {w: i for i, (_, w) in enumerate(sorted(found)[:most])}
 
 
+def unlike(texts: list[str], keep: int = 8) -> list[str]:
+    """One text of each group of copies and near copies, or a large group would set the features.
+
+    A text goes where half of its smallest shingle hashes have been met before.
+    """
+    seen: set[int] = set()
+    out = []
+    for text in sorted(set(texts)):
+        least = shingles(text, 4)[:keep].tolist()
+        if len(least) < keep or 2 * sum(h in seen for h in least) < keep:
+            out.append(text)
+        seen.update(least)
+    return out
+
+
 def fit_texts(positive: list[str], unlabelled: list[str], prior: float, rounds: int = 600, rate: float = 0.05, penalty: float = 1e-3) -> Model:
     prior = min(0.99, max(1e-4, prior))
-    # copies of a text weigh as one, or a large group of copies would set the features
-    positive, unlabelled = sorted(set(positive)), sorted(set(unlabelled))
+    positive, unlabelled = unlike(positive), unlike(unlabelled)
     words = choose_words(positive, unlabelled)
     bias = float(np.log(prior / (1 - prior)))
     weights = np.zeros(len(words) + 3)
@@ -100,7 +115,7 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float, rounds:
     x_p, x_u = _features(words, positive), _features(words, unlabelled)
     theta = np.append(weights, bias)
     one_p, one_u = np.append(x_p, np.ones((len(x_p), 1)), 1), np.append(x_u, np.ones((len(x_u), 1)), 1)
-    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    mean, square, held = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         s_p, s_u = 1 / (1 + np.exp(-one_p @ theta)), 1 / (1 + np.exp(-one_u @ theta))
         pull = prior * one_p.T @ (s_p - 1) / len(s_p)  # logistic risk of positives as positive
@@ -111,7 +126,9 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float, rounds:
         mean += 0.1 * (slope - mean)
         square += 0.001 * (slope * slope - square)
         theta -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return Model(words, theta[:-1], float(theta[-1]))
+        if 2 * step > rounds:  # steps that climb back make it swing: the mean of the second half is the model
+            held += theta / (rounds - rounds // 2)
+    return Model(words, held[:-1], float(held[-1]))
 
 
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
