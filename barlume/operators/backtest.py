@@ -13,7 +13,7 @@ from barlume.operators.indicators import Spec, combine
 from barlume.operators.rules import Condition, condition
 from barlume.operators.stats import compute_stats
 from barlume.sources.bars import resample
-from barlume.sources.contract import annualization_factor, breaches, resample_factor
+from barlume.sources.contract import annualization_factor, resample_factor
 
 
 @dataclass
@@ -102,4 +102,4 @@ def run_strategy_multi(bars: DataFrame, config: StrategyConfig, timeframe: str =
     return out
 
 
-__all__ = ["Result", "StrategyConfig", "asdict_safe", "backtest", "breaches", "build_signal", "equal_weight", "run_strategy", "run_strategy_multi"]
+__all__ = ["Result", "StrategyConfig", "asdict_safe", "backtest", "build_signal", "equal_weight", "run_strategy", "run_strategy_multi"]
