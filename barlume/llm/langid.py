@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import crc_remainder, hash_below, map_texts, texts_of
+from barlume.llm.common import crc_remainder, map_texts, texts_of
 
 PIECES = "piece_bpe_32k.model"
 SAMPLE_PER_LANGUAGE, SAMPLE_WORDS = 300, 40_000
