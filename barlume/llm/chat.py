@@ -567,3 +567,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield out()
 
     return formatted.select("conv_id", "part", "formatted", "spans").mapInArrow(run, READ_SCHEMA)
+
+
+def read_back_sql(table: str) -> str:
+    """What read_back gives for the default template, in DuckDB SQL. ``table``: a query for conv_id, turn, role, text."""
+
+    def guarded(x: str) -> str:
+        out = f"replace({x}, '\\', '\\\\')"
+        for c in CONTROL:
+            out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+        begins = sorted({c[:i] for c in CONTROL for i in range(1, len(c))})
+        return f"length({out}) + (CASE WHEN {' OR '.join(f"ends_with({x}, '{b}')" for b in begins)} THEN 1 ELSE 0 END)"
+
+    size = f"CASE WHEN role = 'user' THEN 13 + {guarded('text')} WHEN role = 'assistant' THEN 7 + {guarded('text')} ELSE 19 + {guarded('role')} + {guarded('text')} END"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM ({table}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum({size}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""

@@ -304,3 +304,16 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     known = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return known.unionByName(kept.filter("doc_id IS NULL"))
+
+
+def components_sql(table: str = "documents", words: int = 4, num: int = 85, den: int = 100) -> str:
+    """The same result in DuckDB SQL: all pairs that share a shingle, then reachability. For small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {words - 1}, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + {words - 1}), ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM s LEFT JOIN least USING (doc_id)"""

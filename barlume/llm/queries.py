@@ -82,10 +82,16 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 
 
+CHATS = "SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_topk_search, op2_html_extraction, op3_source_mixing, op4_chat_formatting, op5_language_id, op6_bpe, op7_toxicity, op8_license_scan, op9_ngram_jaccard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result; the others are tested against brute force in tests/llm."""
-    return {"op1_topk_search": TOPK_SQL, "op3_source_mixing": mixing.mix_sql(), "op8_license_scan": licenses.scan_sql(PATHS + "documents")}
+    return {
+        "op1_topk_search": TOPK_SQL, "op3_source_mixing": mixing.mix_sql(), "op4_chat_formatting": chat.read_back_sql(CHATS), "op8_license_scan": licenses.scan_sql(PATHS + "documents"),
+        "op9_ngram_jaccard": jaccard.components_sql(),
+    }

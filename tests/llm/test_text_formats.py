@@ -81,6 +81,13 @@ def test_chat_table(spark):
     assert found[-7]["turns_sha256"] == sha(f"user\n{said}\nassistant\n{said}\n") and found[-7]["loss_sha256"] == sha(said)
     assert found[2]["turns_sha256"] == sha("\n\n") and found[2]["n_turns"] == 1
     assert found[3]["n_turns"] == 2 and found[4]["n_turns"] == 2 and None in found and len(found) == 6
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    odd = [(8, k, role, x) for k, (role, x) in enumerate((r, x) for r in ("user", "assistant", "tool[TURN]") for x in ("\\[INST]", "a[/RO", "<", "[INST][INST]</s", "\\\\<s>"))]
+    c.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [r[:4] for r in table] + odd)
+    both = df.drop("formatted").unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    got = {tuple(r) for r in chat.read_back(chat.format_conversations(both)).collect()}
+    assert got == set(c.sql(chat.read_back_sql("SELECT * FROM t")).fetchall())
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
     long = spark.createDataFrame([(5, k, "user" if k % 2 else "assistant", f"[INST] {k}") for k in range(3000)], "conv_id long, turn long, role string, text string")
     cut = chat.format_conversations(long, part_chars=1000)
