@@ -329,8 +329,28 @@ BUNDLES: dict[str, list[Spec]] = {
 UNSUPPORTED = ("ht_dcperiod", "ht_trendmode")
 
 
+# Usual names of functions, of their settings and of their outputs.
+FUNCTIONS: dict[str, tuple[str, dict[str, str], tuple[str, ...]]] = {
+    "SMA": ("sma", {"timeperiod": "window"}, ("real",)), "EMA": ("ewma", {"timeperiod": "span"}, ("real",)), "WMA": ("wma", {"timeperiod": "window"}, ("real",)),
+    "BBANDS": ("bbands", {}, ("upperband", "middleband", "lowerband")), "SAR": ("sar", {}, ("real",)), "RSI": ("rsi", {"timeperiod": "window"}, ("real",)),
+    "MACD": ("macd", {"fastperiod": "fast", "slowperiod": "slow", "signalperiod": "signal"}, ("macd", "macdsignal", "macdhist")), "STOCH": ("stoch", {}, ("slowk",)),
+    "ADX": ("adx", {}, ("real",)), "CCI": ("cci", {}, ("real",)), "MFI": ("mfi", {}, ("real",)), "OBV": ("obv", {}, ("real",)), "AD": ("ad", {}, ("real",)), "ADOSC": ("adosc", {}, ("real",)),
+    "ATR": ("wilder_atr", {"timeperiod": "window"}, ("real",)), "NATR": ("natr", {}, ("real",)), "TRANGE": ("trange", {}, ("real",)),
+    "CDLENGULFING": ("cdlengulfing", {}, ("integer",)), "CDLDOJI": ("cdldoji", {}, ("integer",)),
+}
+
+
 def by_function(name: str, df: DataFrame, **settings) -> DataFrame:
-    """Any function of the catalogue by its usual upper-case name."""
-    if name.lower() in UNSUPPORTED:
+    """A function of the catalogue by its usual name and settings; its columns are NAME_output, like RSI_real.
+
+    EMA is seeded with the first value, not with an average.
+    """
+    name = name.upper()
+    if name.lower() in UNSUPPORTED or name.startswith(("CDL", "HT_")) and name not in FUNCTIONS:
         raise NotImplementedError(f"{name} is not supported")
-    return make(name, df, **settings)
+    if name not in FUNCTIONS:
+        raise KeyError(f"no function {name}; one of {sorted(FUNCTIONS)}")
+    own, names, outputs = FUNCTIONS[name]
+    settings = {names.get(k, k): v for k, v in settings.items()}
+    found = lookup(own).columns(**settings)
+    return make(own, df, **settings).withColumnsRenamed(dict(zip(found, (f"{name}_{o}" for o in outputs), strict=True)))

@@ -56,6 +56,14 @@ def test_registry(panel):
     with pytest.raises(NotImplementedError):
         I.by_function("HT_DCPERIOD", panel)
 
+    for name, (_, _, outputs) in I.FUNCTIONS.items():
+        assert I.by_function(name, panel).columns[2:] == [f"{name}_{o}" for o in outputs]
+    assert I.by_function("rsi", panel, timeperiod=5).columns[-1] == "RSI_real"
+    with pytest.raises(KeyError):
+        I.by_function("NOTHING", panel)
+    assert "rsi" in I.available_by_group()["momentum"]
+    assert len(I.combine(panel, I.BUNDLES["momentum"]).columns) == len(panel.columns) + 5
+
     @I.register("double", lambda: ("double",))
     def double(keys=("symbol",)):
         from pyspark.sql import functions as F
