@@ -639,9 +639,13 @@ FEATS = f"""WITH RECURSIVE {BARS}, {WITH_RSI}, {_ATR}, fx AS (SELECT f.symbol, f
   FROM (SELECT f.*, y FROM feats f JOIN rec2 ON f.symbol = rec2.symbol AND f.i = rec2.i) f WINDOW w AS (PARTITION BY f.symbol ORDER BY f.timestamp))"""
 
 
-@query(f"{FEATS} SELECT symbol, timestamp, {', '.join(r(c, c) for c in _FEATURES)} FROM fx WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _FEATURES)}")
+_OTHERS = [c for c in _FEATURES if c != "sma_50"]
+
+
+# the trend as a logarithm: prices have one decimal, so the plain ratio meets exact ties in rounding
+@query(f"{FEATS} SELECT symbol, timestamp, {', '.join(r(c, c) for c in _OTHERS)}, {r('ln(1 + sma_50)', 'trend_log')} FROM fx WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _FEATURES)}")
 def feature_matrix(spark, sf_dir):
-    return learning.complete(learning.make_features(daily(spark, sf_dir)), _FEATURES).select("symbol", "timestamp", *_FEATURES)
+    return learning.complete(learning.make_features(daily(spark, sf_dir)), _FEATURES).select("symbol", "timestamp", *_OTHERS, F.ln(1 + F.col("sma_50")).alias("trend_log"))
 
 
 @query(panel_sql(f"CASE WHEN {AHEAD} IS NOT NULL THEN ({AHEAD} > 0)::INT::DOUBLE END AS label"))
