@@ -2,9 +2,9 @@
 
 DataFrame functions only. Units are the lines of a text (headers) and the
 whole text (licence files). A unit's vector is term counts times idf; idf is
-taken from the document frequencies over all documents for the templates'
-terms, and other terms count as in one document. The best template with cosine
-of at least ``threshold`` is a document's own licence (ties: first name).
+taken from the document frequencies of all terms over all documents. The best
+template with cosine of at least ``threshold`` is a document's own licence
+(ties: first name).
 
 Terms that no template can do without are worked out from the idf values: by
 the Cauchy-Schwarz inequality a unit that shares only other terms with a
@@ -71,12 +71,12 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     vocabulary = sorted({t for c in counts.values() for t in c})
     terms = lambda text: F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    # one row a term of the templates: their number is bounded by the parameter
     n = docs.count()
-    found = docs.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("t")).groupBy("t").count().collect()
-    df = {t: 0 for t in vocabulary} | {r["t"]: r["count"] for r in found}
+    stand = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    stand = Scratch(docs.sparkSession, "license-terms").put(stand, "stand")
+    # one row a term of the templates: their number is bounded by the parameter
+    df = {t: 0 for t in vocabulary} | {r["t"]: r["df"] for r in stand.filter(F.col("t").isin(vocabulary)).collect()}
     idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}
-    rare = math.log((1 + n) / 2) + 1
     vectors = {name: {t: k * idf[t] for t, k in c.items()} for name, c in counts.items()}
     needed = F.array(*map(F.lit, _needed(vectors, df, threshold)))
 
@@ -87,7 +87,7 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     units = hits.select(*keys, F.posexplode(F.array_union(F.split("text", "\n"), F.array("text"))).alias("unit", "line"))
     units = units.select(*keys, "unit", terms(F.col("line")).alias("terms")).filter(F.arrays_overlap("terms", needed))
     counted = units.select(*keys, "unit", F.explode("terms").alias("t")).groupBy(*keys, "unit", "t").agg(F.count("*").alias("tf"))
-    weighed = counted.withColumn("w", F.col("tf") * F.coalesce(F.element_at(_map(idf), F.col("t")), F.lit(rare)))
+    weighed = counted.join(stand, "t").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     lengths = [math.sqrt(sum(w * w for w in v.values())) for v in vectors.values()]
     dots = [F.sum(F.col("w") * F.coalesce(F.element_at(_map(v), F.col("t")), F.lit(0.0))).alias(f"dot{i}") for i, v in enumerate(vectors.values())]
     vector = weighed.groupBy(*keys, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
@@ -127,7 +127,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
 
 def scan_sql(table: str, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same scan in DuckDB SQL, relationally, without the shortcuts. ``table``: a query for doc_id, path, text."""
+    """The scan in DuckDB SQL, relationally, without the shortcuts. ``table``: a query for doc_id, path, text.
+
+    It differs in one thing: a term of no template counts as in one document, so a
+    unit with other words than a template's has a lower similarity here.
+    """
     rows = ", ".join("({}, {}, '{}')".format(f"'{name.strip()}'", i, text.replace("'", "''")) for i, (name, text) in enumerate(sorted(templates.items())))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, path, coalesce(text, '') AS text FROM ({table})),

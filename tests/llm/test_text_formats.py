@@ -218,3 +218,15 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
     plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licenses_weigh_every_term(spark):
+    line = "It was then all at once released to us under the MIT License"
+    texts = [line] + [f"it was then all at once to us w{i}" for i in range(199)]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, f"d/{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")).collect()}
+    bags = [licenses.terms_of(t) for t in texts]
+    idf = lambda t: np.log((1 + len(bags)) / (1 + sum(t in b for b in bags))) + 1
+    unit, best = bags[0], licenses.terms_of(licenses.TEMPLATES["MIT"])
+    cosine = sum(idf(t) ** 2 for t in best) / np.sqrt(sum(idf(t) ** 2 for t in best) * sum(idf(t) ** 2 for t in unit))
+    assert found[0]["license"] == "MIT" and abs(found[0]["similarity"] - cosine) < 2e-6
+    assert all(found[i]["license"] is None for i in range(1, 200))
