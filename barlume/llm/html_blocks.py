@@ -3,6 +3,9 @@
 A block is the text between two edges of block-level elements; inline elements
 and line breaks inside it do not end it. Each block carries a bit mask of what
 its ancestors are: their tags, and key words in their class, id and role.
+
+Controls are left out and what stands in for media is marked as hidden where
+their own closing tag ends them; without one, what follows is read as the page's.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:
 _SPLIT = re.compile(r"[^a-z]+")
 
 # Element kinds of the HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom merror mspace semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select button head".split())
+RAW = frozenset("script style textarea title iframe head".split())
+CONTROLS = frozenset("select button".split())
+STAND_INS = frozenset("noscript template svg canvas audio video".split())
 CLOSES = {  # an opening tag ends an open element of these kinds
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
@@ -78,6 +85,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, int, str]] = [("", 0, "")]  # tag, mask of it and its ancestors, nearest block-level tag
     parts: list[str] = []
     linked, links = 0, 0
+    held: list[tuple[int, int, list[str], int]] = []  # open controls and stand-ins: place in the stack, blocks before, text before it and its length in links
 
     def flush() -> None:
         nonlocal linked
@@ -90,6 +98,8 @@ def blocks(page: str | None) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] in ("option", "optgroup") and any(stack[k][0] == "select" for k, _, _, _ in held):
+            return
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if links:
@@ -97,10 +107,26 @@ def blocks(page: str | None) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal links
+        while held and held[-1][0] >= k:  # not ended by their own tags: what they hold stays
+            own, before, kept, n = held.pop()
+            text = " ".join("".join(kept).split())
+            if text:
+                out.insert(before, Block(text, stack[own][1], stack[own][2], min(n, len(text))))
         for tag, _, _ in stack[k:]:
             links -= tag == "a"
         del stack[k:]
 
+    def release(k: int) -> None:
+        nonlocal linked
+        close(k + 1)
+        tag, (_, before, kept, n) = stack[k][0], held.pop()
+        if tag in CONTROLS:
+            del out[before:]
+        for b in out[before:]:
+            b.mask |= _HIDDEN
+        parts[:], linked = kept, n
+        close(k)
+
     at = 0
     while True:
         m = _MARKUP.search(page, at)
@@ -122,7 +148,9 @@ def blocks(page: str | None) -> list[Block]:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag not in INLINE:
                 flush()
-            if k and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[k + 1 :])):
+            if k and (tag in CONTROLS or tag in STAND_INS):
+                release(k)
+            elif k and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[k + 1 :])):
                 close(k)
             continue
         if tag in RAW:
@@ -132,9 +160,23 @@ def blocks(page: str | None) -> list[Block]:
                     at = end.end()
                 elif tag != "head":
                     at = len(page)
-            if tag not in ("script", "style", "button", "select", "svg", "canvas"):
+            if tag not in ("script", "style"):
                 flush()
             continue
+        if tag in CONTROLS or tag in STAND_INS:
+            if tag in CONTROLS:
+                k = next((k for k, _, _, _ in held if stack[k][0] == tag), 0)
+                if k:
+                    flush()
+                    close(k)
+            if tag not in ("button", "select", "svg", "canvas"):
+                flush()
+            if not m[3].rstrip().endswith("/"):
+                held.append((len(stack), len(out), parts[:], linked))
+                parts.clear()
+                linked = 0
+                stack.append((tag, stack[-1][1], stack[-1][2]))
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
@@ -149,9 +191,10 @@ def blocks(page: str | None) -> list[Block]:
             if name == "p" or name in ends or re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", tag):
                 close(k)
                 break
-            if name in SCOPE and name not in ends:
+            if name in SCOPE and name not in ends or name in CONTROLS or name in STAND_INS:
                 break
-        if tag not in VOID:
+        if tag not in VOID and not (m[3].endswith("/") and any(stack[k][0] == "svg" for k, _, _, _ in held)):
             stack.append((tag, stack[-1][1] | _mask(tag, m[3]), tag))
     flush()
+    close(1)
     return out

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from barlume.llm import bpe, chat, html_extract, licenses, mixing
-from barlume.llm.html_blocks import blocks
+from barlume.llm.html_blocks import _HIDDEN, blocks
 from barlume.llm.html_pages import labelled
 from tests.llm.conftest import rows
 
@@ -25,6 +25,27 @@ def test_blocks():
     assert blocks("") == blocks(None) == [] and blocks("<p") != [] and blocks("<style>x") == []
 
 
+def test_blocks_after_unclosed_elements():
+    read = lambda page: [b.text for b in blocks(page)]
+    for tag in "button select video audio svg object canvas noscript math template".split():
+        for page in (f"<article><p>a</p><{tag}><p>b</p></article><p>c</p>", f"<div><{tag}></div><article><p>a</p><p>b</p></article><{tag}></{tag}><p>c</p>"):
+            assert read(page) == ["a", "b", "c"], (tag, page)
+    for tag in "script style title textarea iframe".split():
+        assert read(f"<p>a</p><{tag}><p>b</p>") == ["a"]
+    assert read("<p>a <button>B <i>c</i></button> d <select><option>e<option>f</select> g</p><button>h<p>i</p></button>") == ["a d g"]
+    assert read("<p>a <select><option>b<option>c</p><p>d <button>e</p><p>f</p>") == ["a", "d", "e", "f"]
+    assert read("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><object data=u><p>c</p></object>") == ["a x=2 b", "c"]
+    assert read("<p>a <svg><path d=''/><path d=''/><title>t</title></svg> b") == ["a b"]
+    shown, stand_in = blocks("<p>a</p><video><p>b</p></video>")
+    assert shown.mask & _HIDDEN == 0 != stand_in.mask & _HIDDEN
+
+
+def test_extraction_after_unclosed_elements():
+    for tag in ("button", "video", "object"):
+        page = f"<html><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><article><h1>Title here</h1><{tag}><p>One two three four five six.</p><p>Seven eight nine ten eleven.</p></article><footer>&copy; me</footer>"
+        assert html_extract.main_texts(html_extract.trained(), [page]) == ["Title here\nOne two three four five six.\nSeven eight nine ten eleven."]
+
+
 def test_extraction(spark):
     article = "<article><h1>Title here</h1><p>One &lt;two&gt;.<p>Three, four.</article>"
     page = f"<html><head><title>no</title></head><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><div class=ad>Buy now.</div>{article}<section id=comments><p>Nice.</p></section><footer>&copy; me</footer>"
