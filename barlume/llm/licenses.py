@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along directories.
 
-DataFrame functions only. Units are the lines of a text (headers) and the
-whole text (licence files). A unit's vector is term counts times idf; idf is
+DataFrame functions only. Units are the lines of a text (headers), the whole
+text (licence files) and, for headers wrapped over lines, from each line on as
+many lines as it takes to reach a template's number of terms. A unit's vector is term counts times idf; idf is
 taken from the document frequencies of all terms over all documents. The best
 template with cosine of at least ``threshold`` is a document's own licence
 (ties: first name).
@@ -84,15 +85,25 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     keys = ["doc_id", "path", "digest"]
     keyed = docs.select("doc_id", "path", F.xxhash64("text").alias("digest"), "text")
     hits = keyed.filter(F.arrays_overlap(terms(F.col("text")), needed)).dropDuplicates(keys)
-    units = hits.select(*keys, F.posexplode(F.array_union(F.split("text", "\n"), F.array("text"))).alias("unit", "line"))
-    units = units.select(*keys, "unit", terms(F.col("line")).alias("terms")).filter(F.arrays_overlap("terms", needed))
+    lengths = sorted({sum(c.values()) for c in counts.values()})
+    lines = hits.select(*keys, "text", F.filter(F.transform(F.split("text", "\n"), terms), lambda x: F.size(x) > 0).alias("lines"))
+    # from each line on: no more lines than the longest template has terms; the whole text last
+    ahead = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, lengths[-1]))
+    starts = lines.select(*keys, F.posexplode(F.array_append(ahead, F.array(F.flatten("lines")))).alias("start", "ahead")).filter(F.arrays_overlap(F.flatten("ahead"), needed))
+    reach = F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda k: F.size(F.flatten(F.slice("ahead", 1, k))))
+    starts = starts.select(*keys, "start", "ahead", reach.alias("reach"))
+    below = lambda n: F.size(F.filter("reach", lambda x: x < n))
+    ends = [F.least(F.size("ahead"), below(n) + 1) for n in lengths]
+    runs = F.transform(F.array_distinct(F.array(F.lit(1), *ends)), lambda k: F.flatten(F.slice("ahead", 1, k)))
+    units = starts.select(*keys, "start", F.posexplode(runs).alias("run", "terms")).filter(F.arrays_overlap("terms", needed))
+    units = units.select(*keys, F.struct("start", "run").alias("unit"), "terms")
     counted = units.select(*keys, "unit", F.explode("terms").alias("t")).groupBy(*keys, "unit", "t").agg(F.count("*").alias("tf"))
     weighed = counted.join(stand, "t").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
-    lengths = [math.sqrt(sum(w * w for w in v.values())) for v in vectors.values()]
+    sizes = [math.sqrt(sum(w * w for w in v.values())) for v in vectors.values()]
     dots = [F.sum(F.col("w") * F.coalesce(F.element_at(_map(v), F.col("t")), F.lit(0.0))).alias(f"dot{i}") for i, v in enumerate(vectors.values())]
     vector = weighed.groupBy(*keys, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     # of equal cosines the first name wins
-    each = [F.struct(F.round(F.col(f"dot{i}") / F.lit(length) / F.col("norm"), 6).alias("similarity"), F.lit(-i).alias("order"), F.lit(name.strip()).alias("own")) for i, (name, length) in enumerate(zip(vectors, lengths, strict=True))]
+    each = [F.struct(F.round(F.col(f"dot{i}") / F.lit(length) / F.col("norm"), 6).alias("similarity"), F.lit(-i).alias("order"), F.lit(name.strip()).alias("own")) for i, (name, length) in enumerate(zip(vectors, sizes, strict=True))]
     best = vector.groupBy(*keys).agg(F.max(F.array_max(F.array(*each))).alias("best")).filter(F.col("best.similarity") >= threshold)
     found = best.select(*(F.col(k).alias(f"own_{k}") for k in keys), "best.own", "best.similarity")
     alike = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys]
@@ -129,8 +140,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 def scan_sql(table: str, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The scan in DuckDB SQL, relationally, without the shortcuts. ``table``: a query for doc_id, path, text.
 
-    It differs in one thing: a term of no template counts as in one document, so a
-    unit with other words than a template's has a lower similarity here.
+    It differs in two things: a term of no template counts as in one document, so a
+    unit with other words than a template's has a lower similarity here; and runs of
+    lines are no units.
     """
     rows = ", ".join("({}, {}, '{}')".format(f"'{name.strip()}'", i, text.replace("'", "''")) for i, (name, text) in enumerate(sorted(templates.items())))
     return f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -251,3 +252,11 @@ def test_licenses_weigh_every_term(spark):
     cosine = sum(idf(t) ** 2 for t in best) / np.sqrt(sum(idf(t) ** 2 for t in best) * sum(idf(t) ** 2 for t in unit))
     assert found[0]["license"] == "MIT" and abs(found[0]["similarity"] - cosine) < 2e-6
     assert all(found[i]["license"] is None for i in range(1, 200))
+
+
+def test_licenses_wrapped_over_lines(spark):
+    wrapped = {name: "\n".join(textwrap.wrap(licenses.TEMPLATES[name], 24, initial_indent="# ", subsequent_indent="# ")) for name in ("MIT ", "BSD-3-Clause", "GPL-3.0 ")}
+    prose = "\n".join(f"{a} walked along the {b} river and saw nothing\n" for a, b in zip("abcdefghij", "klmnopqrst", strict=True))
+    table = [(i, f"d/{i}.txt", f"{prose}{w}\n{prose}") for i, w in enumerate(wrapped.values())] + [(i, f"d/{i}.txt", prose) for i in range(3, 30)]
+    found = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(table, "doc_id long, path string, text string")).collect()}
+    assert found == {i: (name.strip(), "own") for i, name in enumerate(wrapped)} | {i: (None, "none") for i in range(3, 30)}
