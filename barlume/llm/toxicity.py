@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from barlume.llm.common import crc_remainder, filter_texts, hash_below, map_texts, texts_of
 from barlume.llm.jaccard import shingles
 
-SAMPLE_POSITIVE, SAMPLE_UNLABELLED, MAX_FEATURES = 3000, 6000, 256
+SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 6000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -51,30 +52,48 @@ def forms(word: str) -> tuple[str, ...]:
     return (word,) if n < 5 else (word, word[:4] + "*") if n == 5 else (word, word[:4] + "*", word[:5] + "*")
 
 
-def _features(words: dict[str, int], texts: list[str]) -> np.ndarray:
-    """log(1 + count) of each feature form, then three squashed measures of the words with any."""
-    out = np.zeros((len(texts), len(words) + 3))
+@dataclass
+class _Rows:
+    """Feature rows, of which few values aren't zero: a row, a column and a value each."""
+
+    n: int
+    width: int
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * weights[self.col], self.n)
+
+    def sums(self, of_rows: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * of_rows[self.row], self.width)
+
+
+def _features(words: dict[str, int], texts: list[str]) -> _Rows:
+    """log(1 + count) of each feature form, then three squashed measures of the words with any, then a one."""
+    row, col, value = [], [], []
     known: dict[str, tuple[int, ...]] = {}
-    for row, text in zip(out, texts, strict=True):
+    k = len(words)
+    for i, text in enumerate(texts):
         found = words_of(text)
-        hits = 0
+        hits, counts = 0, Counter()
         for w in found:
             at = known.get(w)
             if at is None:
                 at = known[w] = tuple(words[f] for f in forms(w) if f in words)
             if at:
                 hits += 1
-                for i in at:
-                    row[i] += 1
-        row[-3], row[-2], row[-1] = np.log1p(hits), min(1.0, hits / 2), np.log1p(100 * hits / max(10, len(found)))
+                counts.update(at)
+        row += [i] * (len(counts) + 4)
+        col += [*counts, k, k + 1, k + 2, k + 3]
+        value += [*map(log1p, counts.values()), log1p(hits), min(1.0, hits / 2), log1p(100 * hits / max(10, len(found))), 1.0]
         if len(known) > 200_000:
             known.clear()
-    np.log1p(out[:, : len(words)], out=out[:, : len(words)])
-    return out
+    return _Rows(len(texts), k + 4, np.array(row, np.int64), np.array(col, np.int64), np.array(value, float))
 
 
-def choose_words(positive: list[str], unlabelled: list[str], most: int = MAX_FEATURES) -> dict[str, int]:
-    """Forms in many more positives than chance brings: lift over 3, and 8 standard errors."""
+def choose_words(positive: list[str], unlabelled: list[str]) -> dict[str, int]:
+    """Forms in many more positives than chance brings: two at least, lift over 3, and 8 standard errors."""
     p, u = Counter(), Counter()
     for texts, counts in ((positive, p), (unlabelled, u)):
         for text in texts:
@@ -84,9 +103,9 @@ def choose_words(positive: list[str], unlabelled: list[str], most: int = MAX_FEA
     for w, c in p.items():
         rate, base = c / n, (u[w] + 1) / (m + 1)
         z = (rate - base) / np.sqrt(base * (1 - min(base, 0.999)) / n)
-        if c >= max(5, 0.015 * n) and rate > 3 * base and z > 8:
+        if c >= 2 and rate > 3 * base and z > 8:
             found.append((-z, w))
-    return {w: i for i, (_, w) in enumerate(sorted(found)[:most])}
+    return {w: i for i, (_, w) in enumerate(sorted(found))}
 
 
 def unlike(texts: list[str], keep: int = 8) -> list[str]:
@@ -114,12 +133,11 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float, rounds:
         return Model(words, weights, bias)
     x_p, x_u = _features(words, positive), _features(words, unlabelled)
     theta = np.append(weights, bias)
-    one_p, one_u = np.append(x_p, np.ones((len(x_p), 1)), 1), np.append(x_u, np.ones((len(x_u), 1)), 1)
     mean, square, held = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        s_p, s_u = 1 / (1 + np.exp(-one_p @ theta)), 1 / (1 + np.exp(-one_u @ theta))
-        pull = prior * one_p.T @ (s_p - 1) / len(s_p)  # logistic risk of positives as positive
-        push = one_u.T @ s_u / len(s_u) - prior * one_p.T @ s_p / len(s_p)  # risk of negatives
+        s_p, s_u = 1 / (1 + np.exp(-x_p.times(theta))), 1 / (1 + np.exp(-x_u.times(theta)))
+        pull = prior * x_p.sums(s_p - 1) / len(s_p)  # logistic risk of positives as positive
+        push = x_u.sums(s_u) / len(s_u) - prior * x_p.sums(s_p) / len(s_p)  # risk of negatives
         risk = -np.log(1 - s_u + 1e-12).mean() + prior * np.log(1 - s_p + 1e-12).mean()
         slope = pull + push if risk >= 0 else -push
         slope[:-1] += penalty * theta[:-1]
@@ -132,7 +150,7 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float, rounds:
 
 
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
-    return 1 / (1 + np.exp(-(_features(model.words, texts) @ model.weights + model.bias)))
+    return 1 / (1 + np.exp(-_features(model.words, texts).times(np.append(model.weights, model.bias))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITIVE, sample_unlabelled: int = SAMPLE_UNLABELLED) -> Model:

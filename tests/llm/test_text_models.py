@@ -110,6 +110,24 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, docs, none):
     assert (toxicity.score_texts(toxicity.fit_texts([], [], 0.1), ["x", ""]) == pytest.approx(0.1))
 
 
+def test_toxicity_of_a_small_source():
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    plain, large, small = [word(6) for _ in range(2000)], [f"zz{word(6)}" for _ in range(10)], [f"yy{word(6)}" for _ in range(300)]
+
+    def text(kind: str) -> str:
+        return " ".join(rng.choices(plain, k=25) + rng.sample({"large": large, "small": small}.get(kind, plain), 3))
+
+    positive = [text("small" if i % 20 == 0 else "large") for i in range(2000)]
+    unlabelled = [text("plain") for _ in range(3000)]
+    words = toxicity.choose_words(positive, unlabelled)
+    assert {f"{w[:4]}*" for w in large} <= set(words)
+    model = toxicity.fit_texts([f"{t} {small[0]}" if i < 20 else t for i, t in enumerate(positive)], unlabelled, 0.2)
+    assert small[0] in model.words
+    assert (toxicity.score_texts(model, [" ".join(rng.choices(plain, k=25) + [small[0], small[0]]) for _ in range(50)]) >= 0.5).mean() > 0.9
+    assert "zzbad" in toxicity.choose_words(["zzbad a", "zzbad b", "c"], unlabelled)
+
+
 def test_word_probability_sums_all_segmentations():
     pieces = sorted(["▁ab", "▁a", "b", "bc", "c", "▁", "abc"])
     prob = np.random.default_rng(1).uniform(0.01, 0.2, (len(pieces) + 1, 2))
