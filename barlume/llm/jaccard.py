@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlume.llm.common import Scratch, map_texts
+from barlume.llm.common import WORD_PATTERN, Scratch, map_texts
 from barlume.llm.graph import connected_components
 
 SIGN_SCHEMA = "doc_id long, n_shingles long, set_key binary, prefix array<long>"
@@ -298,12 +298,34 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without near copies and, of each component, the one with the smallest doc_id.
 
-    All columns stay. Of rows that repeat a doc_id one remains; rows without doc_id all remain.
+    All columns stay. A document is a doc_id with a text: of equal ones one remains,
+    and other texts under the same doc_id, or texts without one, stay or go by
+    their own links. Those without doc_id stand behind the others; of them, all
+    that have no shingles remain.
     """
-    gone = jaccard_components(docs, words, num, den).filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    known = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.filter("doc_id IS NULL"))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    many = scratch.put(ids.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("many")).filter("many OR doc_id IS NULL"), "many")
+    if many.isEmpty():
+        gone = jaccard_components(docs, words, num, den).filter("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+
+    # where a doc_id doesn't tell the text, a hash of both is the key; salted anew until no two documents share one
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(many.filter("doc_id IS NOT NULL").select("doc_id", "many"), "doc_id", "left")
+    salt = 0
+    while True:
+        keyed = rows.withColumn("key", F.when(F.col("doc_id").isNull() | F.col("many"), F.xxhash64(F.lit(salt), "doc_id", "text")).otherwise(F.col("doc_id")))
+        known = scratch.put(keyed.select("key", "doc_id", F.xxhash64("text").alias("digest")).distinct(), f"known{salt}")
+        if known.groupBy("key").count().filter("count > 1").isEmpty():
+            break
+        salt += 1
+    found = jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"), words, num, den).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    members = scratch.put(known.select("key", "doc_id").join(found, "key"), "members")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")).select("best.key")
+    kept = keyed.join(members.join(best, "key", "left_anti").select("key"), "key", "left_anti")
+    bare = F.col("doc_id").isNull() & ~F.col("text").rlike(WORD_PATTERN)
+    return kept.filter(~bare).dropDuplicates(["key"]).unionByName(kept.filter(bare)).select("row.*")
 
 
 def components_sql(table: str = "documents", words: int = 4, num: int = 85, den: int = 100) -> str:

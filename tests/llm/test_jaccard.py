@@ -96,6 +96,19 @@ def test_keep_one(spark, docs, none):
     assert J.keep_one(none).count() == 0 and J.jaccard_components(none).count() == 0
 
 
+def test_keep_one_knows_rows_by_their_texts(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (words(rng, 40) for _ in range(5))
+    table = [
+        (1, a), (2, a + " neu"), (2, b), (3, c), (3, d), (3, d), (4, d + " neu"), (None, e), (None, e), (None, e + " neu"), (None, c), (None, None), (None, ""), (5, None), (6, ""),
+    ]
+    kept = [tuple(r) for r in J.keep_one(spark.createDataFrame(table, "doc_id long, text string")).collect()]
+    e_kept = [t for i, t in kept if i is None and t]
+    assert len(e_kept) == 1 and e_kept[0] in (e, e + " neu")
+    want = [(1, a), (2, b), (3, c), (3, d), (None, None), (None, ""), (5, None), (6, "")]
+    assert sorted(map(str, kept)) == sorted(map(str, [*want, (None, e_kept[0])]))
+
+
 @given(st.lists(st.sets(st.integers(0, 8)), min_size=1, max_size=9), st.integers(1, 6))
 @settings(max_examples=300, deadline=None)
 def test_divide_skip_counts(lists, t):
