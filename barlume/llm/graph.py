@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlume.llm.common import Scratch
@@ -13,16 +13,25 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str, most: in
 
     ``links`` has columns a and b. Each round ties the neighbours of a node to
     the smallest of them, first the larger ones, then the smaller ones; the
-    number of rounds grows with the logarithm of a chain's length. Rounds are
+    number of rounds grows with the logarithm of a chain's length. The smallest
+    neighbour comes from an aggregate that is combined before the shuffle, and is
+    joined back, so the many links of a hub needn't stand in one task. Rounds are
     written to the shared folder, so a lost executor costs one round at most.
+
+    Edge cases: repeated links, links of a node with itself and links in both
+    directions count once or not at all; rows with a null in a or b tie nothing;
+    without links the result is empty.
     """
     edges = scratch.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}0")
     before = None
-    at = Window.partitionBy("u")
     for k in range(1, most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(at))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.withColumn("m", F.min("v").over(at)).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # each larger neighbour u of v goes to the smallest of v and its neighbours
+        large = edges.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.least("v", "m").alias("v"))
+        large = large.distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = scratch.put(small.filter("u <> v").distinct(), f"{name}{k}")
         scratch.drop(f"{name}{k - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -28,25 +28,22 @@ def shingle_set(text: str | None, k: int) -> set[tuple[str, ...]]:
 
 
 def components(table: list[tuple], k: int, num: int, den: int) -> dict:
-    sets = {}
-    for i, text, *_ in table:
-        if i is not None:
-            sets.setdefault(i, shingle_set(text, k))
-    parent = {i: i for i in sets}
+    """{doc_id: (shingles of its first row, component)} by comparing all rows with all."""
+    sets = [(i, shingle_set(text, k)) for i, text, *_ in table if i is not None]
+    parent = {i: i for i, _ in sets}
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    ids = sorted(sets)
-    for x, a in enumerate(ids):
-        for b in ids[:x]:
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
-                p, q = find(a), find(b)
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            both = len(a & b)
+            if i != j and a and b and den * both >= num * (len(a) + len(b) - both):
+                p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(a), find(i)) for i, a in reversed(sets)}
 
 
 @pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 1, 2)])
@@ -86,6 +83,39 @@ def test_sql_says_the_same():
     assert found == components(table, 4, 85, 100)
 
 
+def test_a_doc_id_with_several_texts_links_by_all_of_them(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (words(rng, 40) for _ in range(5))
+    tables = [
+        [(1, a), (5, a), (1, b), (7, b)],
+        [(9, a), (9, b), (8, b), (8, c), (7, c), (7, d), (6, d), (6, e), (5, e), (4, None), (4, a), (3, "x"), (3, None), (3, "x y"), (None, a), (None, e)],
+    ]
+    for table in tables:
+        want = components(table, 4, 85, 100)
+        found = J.jaccard_components(spark.createDataFrame(table, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] is not None) == sorted((i, len(shingle_set(t, 4)), want[i][1]) for i, t in table if i is not None)
+        c_ = duckdb.connect()
+        c_.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        c_.executemany("INSERT INTO documents VALUES (?, ?)", table)
+        assert Counter(map(tuple, found)) == Counter((i, n, None if i is None else comp) for i, n, comp in c_.sql(J.components_sql()).fetchall())
+        kept = J.keep_one(spark.createDataFrame(table, "doc_id long, text string"), 4, 85, 100)
+        texts = {t for _, t in table if t}
+        assert texts == {r["text"] for r in kept.collect() if r["text"]}  # none without a copy is lost
+
+
+def test_lists_split_over_many_tasks(spark, docs):
+    """The same components where the lists are cut at every few rows."""
+    before, rows_ = J.LIST_ROWS, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    J.LIST_ROWS = 3
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        want = components(rows(), 4, 85, 100)
+        assert {r["doc_id"]: r["component_id"] for r in J.jaccard_components(docs).collect() if r["doc_id"] is not None} == {i: c for i, (_, c) in want.items()}
+    finally:
+        J.LIST_ROWS = before
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_)
+
+
 def test_keep_one(spark, docs, none):
     kept = J.keep_one(docs, 5, 80, 100)
     assert kept.columns == docs.columns
