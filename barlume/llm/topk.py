@@ -1,24 +1,28 @@
 """Exact top-k search by no-random-access aggregation.
 
-Candidates are dealt into blocks by a hash of their id. In a block each
-dimension has its list of candidates sorted by value; a query reads it from
-the end that its own component favours. Lists are read sequentially, in
-stretches that double. After each stretch every candidate has a lower and an
-upper bound of its score: what has been read of it, and for what has not, the
-list's worst value or the value that is next to be read. Reading stops for a
-query when all but a few candidates have upper bounds below the k-th best
-lower bound, so outsiders cannot qualify; the final scores of those few are
-then resolved. Blocks' results are merged by rank.
-
-A block holds ``block_rows`` candidates; queries stream through it in batches,
-so memory does not grow with the input.
+Candidates are dealt into blocks, one task each. In a block each dimension has
+its list of candidates sorted by value; a query reads it from the end that its
+own component favours. Lists are read sequentially, in stretches. After each
+stretch every candidate has a lower and an upper bound of its score: what has
+been read of it, and for what has not, the list's worst value or the value that
+is next to be read. Candidates whose upper bound is below the k-th best lower
+bound are outsiders. Queries read on together while most candidates are open,
+then each by itself for those that are open to it; reading stops when at most
+twice k candidates can qualify, or the lists end, and their final scores are
+resolved. Blocks' results are merged by rank.
+
+A block holds up to ``block_rows`` candidates, fewer where the table is small,
+so that all cores have work; queries stream through it in batches, as the
+narrowest integers that hold them, so memory does not grow with the input.
 
 Edge cases: vectors that are null or hold a null or non-finite component, and
-rows without an id, take no part. Of rows that repeat an id the smallest
-vector counts. A query is never its own candidate. Vectors of different
-lengths are compared over their common components. Ties go to smaller ids. An
-empty table gives an empty result. Scores are exact: sums are float64 where
-they stay below 2**53, else 64-bit integers.
+rows without an id, take no part. Every row is a candidate, also where rows
+repeat an id, with the same or another vector; every row whose id is asked for is
+a query of its own, and only that row itself isn't its candidate. Vectors of
+different lengths are compared over their common components. Ties go to smaller
+ids. An empty table gives an empty result; further columns are not read. Scores
+are exact: sums are float32 where they stay below 2**24, float64 below 2**53,
+else 64-bit integers.
 """
 
 from __future__ import annotations
@@ -27,109 +31,153 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, BATCH, FEW = 8192, 64, 128
+from barlume.llm.common import Scratch
+
+BLOCK_ROWS, LEAST_ROWS, BATCH = 32768, 1024, 64
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
     """Rows of integers, short ones filled with zeros."""
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), flat.dtype if len(flat) else np.int64)
     out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     return out
 
 
+def _exact(most: int):
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+
+
 class SortedLists:
     """The candidates of a block, with a sorted list for each dimension."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")  # so that of equal scores the first place has the smallest id
-        self.ids, self.values = ids[order], values[order]
-        self.down = np.argsort(-self.values, 0, kind="stable")
-        self.up = self.down[::-1]
-        self.place = np.empty_like(self.down)
-        np.put_along_axis(self.place, self.down, np.arange(len(ids))[:, None], 0)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+        order = np.lexsort((rows, ids))  # so that of equal scores the first place has the smallest id
+        self.rows, self.ids, self.values = rows[order], ids[order], values[order].astype(np.int64)
+        self.by_row = np.argsort(self.rows)
+        n = len(ids)
+        down = np.argsort(-self.values, 0, kind="stable").astype(np.int32)
+        self.place = np.empty_like(down)
+        np.put_along_axis(self.place, down, np.arange(n, dtype=np.int32)[:, None], 0)
+        self.sorted = np.take_along_axis(self.values, down, 0)  # what is read, from the largest to the smallest
         self.most = int(np.abs(self.values).max(initial=0))
+        self._typed: dict = {}
+
+    def _as(self, kind) -> tuple[np.ndarray, np.ndarray]:
+        if kind not in self._typed:
+            self._typed[kind] = self.values.astype(kind), self.sorted.astype(kind)
+        return self._typed[kind]
+
+    def _own(self, query_rows: np.ndarray) -> np.ndarray:
+        """The place of each query's own row, or -1."""
+        n = len(self.rows)
+        at = np.minimum(np.searchsorted(self.rows, query_rows, sorter=self.by_row), n - 1)
+        return np.where(self.rows[self.by_row[at]] == query_rows, self.by_row[at], -1)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's id, candidates' ids, scores) of up to k best for each query."""
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's place, candidates' ids, scores) of up to k best for each query."""
         n, dims = self.values.shape
         width = min(dims, queries.shape[1])
         q = np.zeros((dims, len(queries)), np.int64)
         q[:width] = queries[:, :width].T
-        exact = np.float64 if self.most * int(np.abs(q).max(initial=0)) * max(1, dims) < 1 << 53 else np.int64
-        q, x = q.astype(exact), self.values.astype(exact)
-        own = np.searchsorted(self.ids, query_ids)
-        own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == query_ids), own, -1)
-        high, low = x.max(0), x.min(0)
-        active, read = np.arange(len(query_ids)), 0
-        seen = np.zeros((n, len(active)), exact)
-        depth = max(64, n // 16)
-        never = -np.inf if exact is np.float64 else np.iinfo(np.int64).min
-        while len(active):
-            depth = min(n, depth)
-            plus, minus = np.maximum(q[:, active], 0), np.minimum(q[:, active], 0)
-            for d in range(dims):
-                for lists, part in ((self.down, plus), (self.up, minus)):
-                    at = lists[read:depth, d]
-                    seen[at] += x[at, d][:, None] * part[d]
-            if depth < n:
-                dim = np.arange(dims)
-                ahead_down, ahead_up = x[self.down[depth, dim], dim], x[self.up[depth, dim], dim]
-                unread_down = (self.place >= depth).astype(exact)
-                unread_up = (n - 1 - self.place >= depth).astype(exact)
-                upper = seen + unread_down @ (plus * ahead_down[:, None]) + unread_up @ (minus * ahead_up[:, None])
-                lower = seen + unread_down @ (plus * low[:, None]) + unread_up @ (minus * high[:, None])
-            else:
-                upper = lower = seen.copy()
-            mine = np.flatnonzero(own[active] >= 0)
-            upper[own[active][mine], mine] = never
-            lower[own[active][mine], mine] = never
-            bar = np.partition(lower, n - k, 0)[n - k] if n > k else np.full(len(active), never)
+        kind = _exact(self.most * int(np.abs(q).max(initial=0)) * max(1, dims))
+        x, lists = self._as(kind)
+        q = q.astype(kind)
+        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+        own = self._own(query_rows)
+        never = -np.inf if kind is not np.int64 else np.iinfo(np.int64).min
+        alone = [np.arange(n)] * q.shape[1]  # candidates that are open to each query
+        depth = 0
+        # together: the same stretches for all queries, the whole block's candidates
+        while depth < n and sum(map(len, alone)) > n // 4 * len(alone):
+            depth = min(n, max(64, n // 16, min(2 * depth, depth + n // 8)))
+            upper, lower = self._bounds(x, self.place, lists, plus, minus, depth)
+            mine = np.flatnonzero(own >= 0)
+            upper[own[mine], mine] = lower[own[mine], mine] = never
+            bar = np.partition(lower, n - k, 0)[n - k] if n > k else np.full(q.shape[1], never)
             able = (upper >= bar) & (upper > never)
-            done = (able.sum(0) <= FEW) | (depth == n)
-            for c in np.flatnonzero(done):
-                at = np.flatnonzero(able[:, c])
-                score = x[at] @ q[:, active[c]]  # the final scores of those that can qualify
-                best = np.argsort(-score, kind="stable")[:k]
-                yield int(query_ids[active[c]]), self.ids[at[best]], score[best].astype(np.int64)
-            seen, active = seen[:, ~done], active[~done]
-            read, depth = depth, depth * 2
+            alone = [np.flatnonzero(able[:, c]) for c in range(q.shape[1])]
+        for c, at in enumerate(alone):
+            at, read = at[at != own[c]], depth
+            some = np.flatnonzero(q[:, c])
+            while len(at) > 2 * k and read < n:
+                read += max(1, (n - read) // 2)
+                cut = np.ix_(at, some)
+                upper, lower = self._bounds(x[cut], self.place[cut], lists[:, some], plus[some, c, None], minus[some, c, None], read)
+                at = at[upper[:, 0] >= np.partition(lower[:, 0], len(at) - k)[len(at) - k]]
+            score = x[at] @ q[:, c]  # the final scores of those that can qualify
+            best = np.argsort(-score, kind="stable")[:k]
+            yield c, self.ids[at[best]], score[best].astype(np.int64)
+
+    @staticmethod
+    def _bounds(x: np.ndarray, place: np.ndarray, lists: np.ndarray, plus: np.ndarray, minus: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Upper and lower bounds [candidates, queries] after ``depth`` entries of each list, from either end.
+
+        An entry that has been read is at least as good as the next one, so the better
+        of the two is what is known of a candidate at best.
+        """
+        n = len(lists)
+        if depth >= n:
+            exact = x @ (plus + minus)
+            return exact, exact.copy()
+        upper = np.maximum(x, lists[depth]) @ plus + np.minimum(x, lists[n - 1 - depth]) @ minus
+        lower = np.where(place < depth, x, lists[n - 1]) @ plus + np.where(place > n - 1 - depth, x, lists[0]) @ minus
+        return upper, lower
 
 
 def to_integers(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, for the rows that take part."""
+    """(row, vec_id, v): floor(scale * x) of each component, for the rows that take part.
+
+    Rows get numbers, which hold as the table is written.
+    """
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    rows = rows.filter(sound).withColumn("v", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL").filter(sound)
+    whole = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    return Scratch(df.sparkSession, "topk").put(whole, "vectors")
+
+
+def _dealt(spark: SparkSession, n: int) -> list[int]:
+    """n keys, one for each of n partitions of a shuffle by hash."""
+    found = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).groupBy("at").agg(F.min("key").alias("key")).collect()
+    keys = {r["at"]: r["key"] for r in found}
+    spare = iter(range(40 * n + 200, 41 * n + 200))  # a partition that no key met stays empty, a key of its own goes elsewhere
+    return [keys[i] if i in keys else next(spare) for i in range(n)]
 
 
 def nra_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query by integer inner product.
 
-    Both inputs have columns vec_id and v (array of long), one row an id.
+    Both inputs have columns row, vec_id and v (array of long), as ``to_integers`` makes them.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    held = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
+    spark = vectors.sparkSession
+    size = F.array_max(F.transform("v", lambda x: F.greatest(x, -x)))
+    n, most = vectors.agg(F.count("*"), F.max(size)).first()
+    size_each = min(block_rows, max(LEAST_ROWS, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    blocks = max(1, -(-n // size_each))
+    kind = "smallint" if (most or 0) < 1 << 15 else "int" if most < 1 << 31 else "bigint"
+    keys = F.array(*map(F.lit, _dealt(spark, blocks)))
+    narrow = F.col("v").cast(f"array<{kind}>").alias("v")
+    held = vectors.select(F.get(keys, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).alias("block"), F.lit(False).alias("asks"), "row", "vec_id", narrow)
+    asked = queries.select(F.explode(keys).alias("block"), F.lit(True).alias("asks"), "row", "vec_id", narrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, lists = None, [], None
 
-        def answer(ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def answer(rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
             for start in range(0, len(ids), BATCH):
-                for query, found, score in lists.search(ids[start : start + BATCH], rows[start : start + BATCH], k):
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.full(len(found), query)), "vec_id": pa.array(found), "score": pa.array(score)})
+                found = list(lists.search(rows[start : start + BATCH], v[start : start + BATCH], k))
+                at = np.concatenate([np.full(len(c), start + i) for i, c, _ in found])
+                yield pa.RecordBatch.from_pydict({
+                    "query": pa.array(rows[at]), "query_id": pa.array(ids[at]), "vec_id": pa.array(np.concatenate([c for _, c, _ in found])), "score": pa.array(np.concatenate([s for _, _, s in found])),
+                })
 
-        def gathered() -> SortedLists | None:
-            if not parts:
-                return None
-            width = max(m.shape[1] for _, m in parts)
-            return SortedLists(np.concatenate([i for i, _ in parts]), np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in parts]))
+        def gathered() -> SortedLists:
+            width = max(m.shape[1] for _, _, m in parts)
+            return SortedLists(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)), np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, _, m in parts]))
 
         for batch in batches:
             key = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy(zero_copy_only=False)
@@ -137,18 +185,18 @@ def nra_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: in
                 if not len(part):
                     continue
                 piece = batch.slice(int(part[0]), len(part))
-                ids, rows = piece.column(2).to_numpy(), _matrix(piece.column(3))
+                rows, ids, v = piece.column(2).to_numpy(), piece.column(3).to_numpy(), _matrix(piece.column(4))
                 b, asks = divmod(int(key[part[0]]), 2)
                 if b != block:
                     block, parts, lists = b, [], None
                 if not asks:
-                    parts.append((ids, rows))
+                    parts.append((rows, ids, v))
                     continue
                 if parts:
                     lists, parts = gathered(), []
                 if lists is not None:
-                    yield from answer(ids, rows)
+                    yield from answer(rows, ids, v)
 
-    found = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks").mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

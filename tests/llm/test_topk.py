@@ -2,34 +2,62 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from barlume.llm import topk
 
 
-def brute(vectors: dict[int, list[int]], queries: list[int], k: int) -> set[tuple]:
-    out = set()
-    for q in queries:
-        scores = sorted(((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q))[:k]
-        out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)}
+def brute(vectors: list[tuple[int, list[int]]], k: int) -> Counter:
+    """Every row whose id is divisible by 50 against all other rows."""
+    out = Counter()
+    for r, (q, mine) in enumerate(vectors):
+        if q % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(mine, v, strict=False)), i) for c, (i, v) in enumerate(vectors) if c != r)[:k]
+            out.update((q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1))
     return out
 
 
-@pytest.mark.parametrize("block_rows", [10_000, 150])
-def test_against_a_full_scan(spark, block_rows):
+@pytest.mark.parametrize("block_rows", [10_000, 150, 40])
+def test_against_a_full_scan(spark, block_rows, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_ROWS", 10)
     rng = np.random.default_rng(3)
     values = rng.normal(0, 0.2, (600, 16))
     values[100:300] = values[7]  # a large group of equal vectors, so ties
     rows = [(int(i), [float(np.float32(x)) for x in v], 0, "x") for i, v in enumerate(values)]
-    rows += [(900, None, 0, "x"), (901, [1.0, None] + [0.0] * 14, 0, "x"), (902, [float("nan")] * 16, 0, "x"), (903, [float("inf")] * 16, 0, "x"), (None, [0.5] * 16, 0, "x"), rows[8], (904, [0.5, -0.5], 0, "x")]
+    rows += [(904, [0.5, -0.5], 0, "x"), rows[8], (8, rows[9][1], 0, "x"), rows[50], (50, rows[51][1], 0, "x"), (100, rows[52][1], 0, "x")]  # repeated rows, ids with several vectors
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, *_ in rows]
+    rows += [(900, None, 0, "x"), (901, [1.0, None] + [0.0] * 14, 0, "x"), (902, [float("nan")] * 16, 0, "x"), (903, [float("inf")] * 16, 0, "x"), (None, [0.5] * 16, 0, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string")
     found = topk.to_integers(df)
-    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v, *_ in rows[:600]} | {904: [128, -128]}
-    assert {r["vec_id"]: r["v"] for r in found.collect()} == ints
-    queries = [i for i in ints if i % 50 == 0]
+    assert sorted((r["vec_id"], r["v"]) for r in found.collect()) == sorted(ints)
     got = topk.nra_top_k(found, found.filter("vec_id % 50 = 0"), 5, block_rows).collect()
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute(ints, queries, 5)
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(ints, 5)
+
+
+def test_all_vectors_of_an_id_are_candidates(spark):
+    rows = [(0, [1.0]), (3, [2.0]), (3, [9.0]), (4, [5.0])]
+    found = topk.to_integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.nra_top_k(found, found.filter("vec_id % 50 = 0"), 5).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 3, 589824), (0, 2, 4, 327680), (0, 3, 3, 131072)]
+
+
+@pytest.mark.parametrize("scale", [1, 10_000, 100_000_000])
+def test_bounds_hold(scale):
+    """Upper and lower bounds enclose the scores at every depth, for each type of sum."""
+    rng = np.random.default_rng(1)
+    values = rng.integers(-9 * scale, 9 * scale, (200, 5))
+    lists = topk.SortedLists(np.arange(200), np.arange(200), values)
+    q = rng.integers(-9 * scale, 9 * scale, (5, 3))
+    for depth in (1, 50, 150, 199, 200):
+        upper, lower = lists._bounds(lists.values, lists.place, lists.sorted, np.maximum(q, 0), np.minimum(q, 0), depth)
+        assert (lower <= lists.values @ q).all() and (lists.values @ q <= upper).all()
+    (found,) = lists.search(np.array([7]), values[7:8], 5)
+    score = values @ values[7]
+    score[7] = -(1 << 62)
+    assert found[1].tolist() == np.argsort(-score, kind="stable")[:5].tolist()
 
 
 def test_small_and_empty(spark):
@@ -45,8 +73,9 @@ def test_reading_stops_early():
     rng = np.random.default_rng(0)
     values = rng.integers(-3, 4, (5000, 4))
     values[:6] = [[90, 80, 70, 60]] * 6
-    lists = topk.SortedLists(np.arange(5000), values)
-    lists.down = lists.down[:2600]  # reading on would fail
-    lists.up = lists.up[:2600]
+    lists = topk.SortedLists(np.arange(5000), np.arange(5000), values)
+    bounds, depths = lists._bounds, []
+    lists._bounds = lambda *a: depths.append(a[-1]) or bounds(*a)
     (_, ids, scores), = lists.search(np.array([9999]), np.array([[9, 8, 7, 6]]), 5)
+    assert depths and max(depths) < 2600
     assert ids.tolist() == [0, 1, 2, 3, 4] and len(set(scores.tolist())) == 1
