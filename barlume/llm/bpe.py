@@ -1,7 +1,10 @@
 """Byte-pair encoding and decoding by a pair occurrence index.
 
-The distinct words of a chunk of texts become one array of symbols. An index
-maps each mergeable pair to all its positions in the chunk. Ranks that are
+A partition is read in chunks of bounded size. The distinct words of a chunk that
+are new to the task become one array of symbols; an index maps each mergeable
+pair to all its positions in that array. (Words that the task has met keep
+their tokens, so no pair of the partition is merged twice; one index over a whole
+partition would grow with it.) Ranks that are
 present are applied in ascending order, each to all its positions at once, and
 the lists of the pairs that a merge makes are extended. A pair made by a merge
 always ranks after it, because every merge makes a symbol of its own, so one
@@ -13,7 +16,9 @@ byte-level symbols with an end-of-word mark; strings of special tokens inside
 a text give those tokens.
 
 Edge cases: a null or empty text gives no tokens and an empty decoded text;
-repeated rows are encoded alike; texts of any length are encoded whole.
+repeated rows are encoded alike; texts of any length are encoded whole; a null
+doc_id stays null; an empty table gives an empty table; further columns are not
+read.
 """
 
 from __future__ import annotations

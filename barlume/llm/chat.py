@@ -22,7 +22,8 @@ a very long one is never held whole.
 
 Edge cases: a null text or role is empty; turns go by number, those without
 one first, ties by role and text; repeated rows are turns of their own; rows
-without conv_id are one conversation; an empty table gives none.
+without conv_id are one conversation; an empty table gives none; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ TEMPLATE = (
 )
 SCHEMA = "conv_id long, part int, formatted string, spans array<struct<start: long, stop: long>>"
 READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-MAX_TEMPLATE, MAX_DEPTH, PART_CHARS = 100_000, 40, 1_000_000
+MAX_TEMPLATE, MAX_DEPTH, MAX_CHAIN, PART_CHARS = 100_000, 40, 150, 1_000_000
 
 
 class TemplateError(ValueError):
@@ -106,7 +107,9 @@ class Generation:
 
 # Parser
 
-_PIECE = re.compile(r"\{\{(.*?)\}\}|\{%(.*?)%\}", re.S)
+#: Expressions and tags; strings in them may hold closing braces.
+_STRING = r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\""
+_PIECE = re.compile(rf"\{{\{{((?:{_STRING}|[^'\"])*?)\}}\}}|\{{%((?:{_STRING}|[^'\"])*?)%\}}", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|([A-Za-z_]\w*)|(==|!=|<=|>=|[<>+~.\[\]()|]))", re.S)
 _WORDS = {"and", "or", "not", "if", "else", "in"}
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
@@ -138,7 +141,13 @@ class _Expression:
     LEVELS = (("or",), ("and",), ("==", "!=", "<", "<=", ">", ">="), ("+", "~"))
 
     def __init__(self, text: str) -> None:
-        self.tokens, self.at, self.depth = _tokens(text), 0, 0
+        self.tokens, self.at, self.depth, self.chained = _tokens(text), 0, 0, 0
+
+    def chain(self) -> None:
+        """Each operator makes the tree one deeper at most; what walks the tree later does so by recursion."""
+        self.chained += 1
+        if self.chained > MAX_CHAIN:
+            raise TemplateError("too many operators in one expression")
 
     def peek(self) -> object:
         kind, value = self.tokens[self.at] if self.at < len(self.tokens) else ("end", None)
@@ -174,9 +183,11 @@ class _Expression:
             return self.filtered()
         if n == 2 and self.peek() == "not":
             self.take("sign", "not")
+            self.chain()
             return Op("not", (self.level(2),))
         out = self.level(n + 1)
         while self.peek() in self.LEVELS[n]:
+            self.chain()
             out = Op(self.take("sign"), (out, self.level(n + 1)))
         return out
 
@@ -184,6 +195,7 @@ class _Expression:
         out = self.primary()
         while self.peek() in ("|", ".", "["):
             sign = self.take("sign")
+            self.chain()
             if sign == "|":
                 name = self.take("name")
                 if name not in ("guard", "trim", "upper", "lower"):
@@ -220,6 +232,9 @@ def parse(template: str) -> tuple:
         at = m.end()
     if at < len(template):
         parts.append(("text", template[at:]))
+    for kind, value in parts:
+        if kind == "text" and ("{{" in value or "{%" in value):
+            raise TemplateError(f"not closed: {value[:20]!r}")
     place = 0
 
     def block(ends: tuple[str, ...], depth: int) -> tuple[tuple, str]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,23 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
 
+
+
+def _numerals() -> str:
+    """What the standard module takes for word characters, though they are neither letters nor decimal digits, as a class. The last stand below U+20000."""
+    found = [c for c in range(128, 0x20000) if chr(c).isalnum() and unicodedata.category(chr(c)) in ("No", "Nl")]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+#: A run of letters, as the Unicode property has them: no digits, and no numerals like the half or the Roman eight.
+LETTERS = re.compile(f"[^\\W\\d_{_numerals()}]+")
+
 #: Texts are gathered up to so many characters before a vectorised pass.
 CHUNK_CHARS = 2_500_000
 

@@ -4,8 +4,11 @@ A block is the text between two edges of block-level elements; inline elements
 and line breaks inside it do not end it. Each block carries a bit mask of what
 its ancestors are: their tags, and key words in their class, id and role.
 
-Controls are left out and what stands in for media is marked as hidden where
-their own closing tag ends them; without one, what follows is read as the page's.
+Scripts, styles, titles, text areas and frames hold raw text up to their closing
+tag, or to the page's end, as in browsers; a slash at a tag's end closes nothing
+but an inline element, and what stands in a drawing. Controls are left out and
+what stands in for media is marked as hidden where their own closing tag ends
+them; without one, what follows is read as the page's.
 """
 
 from __future__ import annotations
@@ -20,18 +23,25 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+#: A slash that ends a tag, not the value of an attribute without quotes.
+_EMPTY = re.compile(r"(?:\A|[\s\"'])/\s*\Z|\A/")
+_RAW_END = {}
+#: Elements that stand open at once; further ones count as their siblings, as in browsers.
+MOST_OPEN = 512
 
 # Element kinds of the HTML standard.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
     "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom merror mspace semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe head".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+_RAW_END |= {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 CONTROLS = frozenset("select button".split())
 STAND_INS = frozenset("noscript template svg canvas audio video".split())
 CLOSES = {  # an opening tag ends an open element of these kinds
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("ul ol dl table tr tbody thead tfoot div article section main aside nav header footer form body".split())
 # Tags and key words that tell what a part of a page is for.
 TAGS = "nav header footer aside form article main section ul ol table blockquote figure dialog address details h1 h2 h3 h4 h5 h6 p li td pre dl figcaption fieldset menu".split()
@@ -153,13 +163,11 @@ def blocks(page: str | None) -> list[Block]:
             elif k and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[k + 1 :])):
                 close(k)
             continue
+        drawn = any(stack[k][0] == "svg" for k, _, _, _ in held)
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif tag != "head":
-                    at = len(page)
+            if not (drawn and _EMPTY.search(m[3])):
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
             if tag not in ("script", "style"):
                 flush()
             continue
@@ -171,7 +179,7 @@ def blocks(page: str | None) -> list[Block]:
                     close(k)
             if tag not in ("button", "select", "svg", "canvas"):
                 flush()
-            if not m[3].rstrip().endswith("/"):
+            if len(stack) < MOST_OPEN and not (tag == "svg" and _EMPTY.search(m[3])):
                 held.append((len(stack), len(out), parts[:], linked))
                 parts.clear()
                 linked = 0
@@ -180,7 +188,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
-            elif tag not in VOID and not m[3].endswith("/"):
+            elif tag not in VOID and len(stack) < MOST_OPEN and not _EMPTY.search(m[3]):
                 links += tag == "a"
                 stack.append((tag, stack[-1][1], stack[-1][2]))
             continue
@@ -188,12 +196,14 @@ def blocks(page: str | None) -> list[Block]:
         ends = CLOSES.get(tag, ())
         for k in range(len(stack) - 1, 0, -1):
             name = stack[k][0]
-            if name == "p" or name in ends or re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", tag):
+            if name == "p" or name in ends or name in HEADINGS and tag in HEADINGS:
                 close(k)
                 break
             if name in SCOPE and name not in ends or name in CONTROLS or name in STAND_INS:
                 break
-        if tag not in VOID and not (m[3].endswith("/") and any(stack[k][0] == "svg" for k, _, _, _ in held)):
+        if tag == "body" and stack[-1][0] == "head":
+            close(len(stack) - 1)
+        if tag not in VOID and len(stack) < MOST_OPEN and not (drawn and _EMPTY.search(m[3])):
             stack.append((tag, stack[-1][1] | _mask(tag, m[3]), tag))
     flush()
     close(1)

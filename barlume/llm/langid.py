@@ -8,18 +8,19 @@ its words, since pieces never cross a word's edge. The language with the
 largest sum of logarithms is predicted; the score is its posterior under even
 priors.
 
-Text is lower-cased; words are runs of letters, and one of over 64 letters
-counts in stretches of 64. Letters outside the vocabulary have one small
-probability in every language.
-
-Edge cases: a null text, and one without letters, gives ``und`` with score 0,
-as does every text where there was nothing to learn from; ties go to the first
-language in alphabetical order; repeated rows are judged alike.
+Text is lower-cased; words are runs of letters of any length (in learning only,
+those of over 64 letters are cut into stretches). Letters outside the vocabulary
+have one small probability in every language.
+
+Edge cases: a null text, and one without letters (digits, fractions and Roman
+numerals are none), gives ``und`` with score 0, as does every text where there
+was nothing to learn from; ties go to the first language in alphabetical order;
+repeated rows are judged alike; an empty table gives an empty table; further
+columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
@@ -29,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import crc_remainder, map_texts, texts_of
+from barlume.llm.common import LETTERS, crc_remainder, map_texts, texts_of
 
 PIECES = "piece_bpe_32k.model"
-SAMPLE_PER_LANGUAGE, SAMPLE_WORDS = 300, 40_000
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 300, 256
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 EDGE = "▁"
-_LETTERS = re.compile(r"[^\W\d_]+")
 _STRETCH, _LIFT, _FLOOR, _KEPT_WORDS, _BATCH = 64, 16.0, 1e-5, 200_000, 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,11 +47,15 @@ def vocabulary(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(PIECES))
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    return sorted({p for p in pieces if p == p.lower() and _LETTERS.fullmatch(p.removeprefix(EDGE) or "a")})
+    return sorted({p for p in pieces if p == p.lower() and LETTERS.fullmatch(p.removeprefix(EDGE) or "a")})
 
 
 def words_of(text: str) -> list[str]:
-    words = _LETTERS.findall(text.lower())
+    return LETTERS.findall(text.lower())
+
+
+def stretches(words: list[str]) -> list[str]:
+    """The words to learn from: long ones are cut, so that sums neither over- nor underflow."""
     if max(map(len, words), default=0) > _STRETCH:
         words = [w[i : i + _STRETCH] for w in words for i in range(0, len(w), _STRETCH)]
     return words
@@ -85,6 +89,18 @@ class Lattice:
         with np.errstate(over="ignore"):
             self._power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(self.longest + 1, _BASE))))
 
+    def matches(self, word: str) -> list[np.ndarray]:
+        """For each size of piece from 1 on: the piece that begins at each place of an edge and the word, -1 for none."""
+        found, _ = _hashes([EDGE + word])
+        out = []
+        for size in range(1, min(self.longest, len(word) + 1) + 1):
+            with np.errstate(over="ignore"):
+                key = found[size:, 0] - found[:-size, 0] * self._power[size]
+            place = np.minimum(np.searchsorted(self._key, key), max(0, self.n - 1))
+            hit = self._key[place] == key if self.n else np.zeros(len(key), bool)
+            out.append(np.where(hit, self._order[place] if self.n else 0, self.n if size == 1 else -1))
+        return out
+
     def edges(self, words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, int]:
         """(to, from, piece) of the lattice's edges by length within rising ends; each word's first node; how many nodes."""
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
@@ -127,9 +143,37 @@ def _lifted(pieces: list[str], prob: np.ndarray) -> np.ndarray:
     return prob * lift[:, None]
 
 
+def long_word_score(lattice: Lattice, prob: np.ndarray, word: str) -> np.ndarray:
+    """The same for one word of any length: sums are kept in range by a factor that goes along as a logarithm."""
+    pieces = lattice.matches(word)
+    n, width = len(word) + 1, len(pieces)
+    total, log = np.zeros((width, prob.shape[1])), np.zeros(prob.shape[1])  # of the last places, the nearest last
+    total[-1] = 1
+    for j in range(1, n + 1):
+        now = np.zeros(prob.shape[1])
+        for size in range(1, min(width, j) + 1):
+            piece = pieces[size - 1][j - size]
+            if piece >= 0:
+                now += total[-size] * prob[piece]
+        total[:-1] = total[1:]
+        total[-1] = now
+        if j % 16 == 0 or j == n:
+            top = np.maximum(total.max(0), 1e-300)
+            total /= top
+            log += np.log(top)
+    return np.log(np.maximum(total[-1], 1e-300)) + log - n * np.log(_LIFT)
+
+
 def word_scores(lattice: Lattice, prob: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-probability of each word in each language, summed over all segmentations."""
     out = np.zeros((len(words), prob.shape[1]))
+    long = [i for i, w in enumerate(words) if len(w) > _STRETCH]
+    if long:
+        for i in long:
+            out[i] = long_word_score(lattice, prob, words[i])
+        rest = [i for i, w in enumerate(words) if len(w) <= _STRETCH]
+        out[rest] = word_scores(lattice, prob, [words[i] for i in rest])
+        return out
     for start in range(0, len(words), _BATCH):
         part = words[start : start + _BATCH]
         edges, node, n = lattice.edges(part)
@@ -167,11 +211,11 @@ def learn(lattice: Lattice, pieces: list[str], counts: Counter, rounds: int = 4,
     return prob
 
 
-def fit_texts(samples: dict[str, list[str]], path: str | None = None, most_words: int = SAMPLE_WORDS) -> Model:
-    """Learn from some texts of each language: of the words of the sample, the ``most_words`` commonest."""
+def fit_texts(samples: dict[str, list[str]], path: str | None = None) -> Model:
+    """Learn from some texts of each language."""
     pieces, langs = vocabulary(path), sorted(samples)
     lattice = Lattice(pieces)
-    columns = [learn(lattice, pieces, Counter(dict(Counter(chain.from_iterable(map(words_of, samples[x]))).most_common(most_words)))) for x in langs]
+    columns = [learn(lattice, pieces, Counter(chain.from_iterable(stretches(words_of(t)) for t in samples[x]))) for x in langs]
     prob = np.stack(columns, 1) if columns else np.zeros((len(pieces) + 1, 0))
     prob[-1] = _FLOOR
     return Model(pieces, langs, _lifted(pieces, prob))
@@ -212,18 +256,19 @@ class Judge:
         return pred, score
 
 
-def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, path: str | None = None) -> Model:
+def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, path: str | None = None, most_languages: int = MOST_LANGUAGES) -> Model:
     """Learn from about ``sample_per_language`` documents of each language, none of them held out.
 
-    Held out are documents whose crc32(doc_id) mod 4 is 2.
+    Held out are documents whose crc32(doc_id) mod 4 is 2. Languages are the
+    ``most_languages`` with the most documents, so what comes to the driver is bounded.
     """
     rows = docs.select("doc_id", "lang", "text").filter(crc_remainder("doc_id", 4) != 2).filter("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return fit_texts({}, path)
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample_per_language / n) * (1 << 20)) + 1)))
-    chosen = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 20)) < share[F.col("lang")]
-    found = rows.filter(chosen).filter("text IS NOT NULL").toArrow().sort_by("doc_id")
+    chosen = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang"))
+    found = rows.filter(chosen).filter("text IS NOT NULL").limit(2 * sample_per_language * len(sizes)).toArrow().sort_by("doc_id")
     samples: dict[str, list[str]] = {lang: [] for lang in sizes}
     for lang, text in zip(found.column("lang").to_pylist(), found.column("text").to_pylist(), strict=True):
         samples[lang].append(text)

@@ -14,7 +14,9 @@ all rows is no hot key.
 Edge cases: rows without a source are a source of their own (given weights
 name it by None); a null doc_id hashes as the empty text; a null or empty text
 is copied like any other; repeated rows get equal counts; an empty table gives
-an empty mixture; sources without a given weight get ``default_weight``.
+an empty mixture; sources without a given weight get ``default_weight``. Rows
+without a doc_id, or with the same one, share a shuffle key; they are dealt out
+by their contents too. Further columns go along, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,7 +84,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: f
     copied = rated.select("doc", poisson_inverse(u, F.col("mean")).cast("long").alias("copies")).filter("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     keyed = copied.withColumn("shuffle_key", hashed(F.lit(str(seed)), doc, F.col("replica").cast("string")))
     kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("copies", "replica", "shuffle_key")]
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*kept, "copies", "replica", "shuffle_key")
+    hashable = [F.col(f"doc.`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]
+    return keyed.repartition("shuffle_key", F.xxhash64(*hashable)).sortWithinPartitions("shuffle_key").select(*kept, "copies", "replica", "shuffle_key")
 
 
 def mix_sql(table: str = "documents", size: float = 1.0, temperature: float = 0.5, seed: int = 1) -> str:

@@ -12,7 +12,8 @@ The field is trained on a bounded sample of labelled documents
 Edge cases: a null or empty text has no words, so it fails the base rules; a
 document without doc_id is judged like any other; repeated rows are judged
 alike; an empty table gives an empty table; without labelled documents every
-line counts as content.
+line counts as content; further columns are not read, and ``keep_good`` returns
+them.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> c
     marked = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     share = min(1.0, sample_docs / max(1, marked.count()))
     sample = marked.filter(hash_below(share, "doc_id", 10)).limit(2 * sample_docs)
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").toArrow()
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").limit(2 * sample_docs).toArrow()
     rows = rows.sort_by("doc_id")  # the same model whatever the order in which tasks end
     return fit_texts(texts_of(rows.column("text")), [q == 1 for q in rows.column("quality").to_pylist()])
 

@@ -11,13 +11,17 @@ The classifier is linear on counts and densities of words and of their
 beginnings, fitted in numpy. A form is taken up as a feature where it is far
 more frequent among positives than among unlabelled texts.
 
-Edge cases: null and empty texts get a score from the bias alone; repeated
-rows score alike; without positives every score is the prior's.
+Letters are those of the Unicode property. Samples are bounded (``SAMPLE_POSITIVE``,
+``SAMPLE_UNLABELLED``); in them, of copies and near copies one counts (``unlike``).
+
+Edge cases: null and empty texts get a score from the bias alone; texts of any
+length are read whole; repeated rows score alike; without positives every score
+is the prior's; an empty table gives an empty table; further columns are not
+read, and ``keep_clean`` returns them.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from math import log1p
@@ -27,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlume.llm.common import crc_remainder, filter_texts, hash_below, map_texts, texts_of
+from barlume.llm.common import LETTERS, crc_remainder, filter_texts, hash_below, map_texts, texts_of
 from barlume.llm.jaccard import shingles
 
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED = 3000, 6000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -43,7 +46,7 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    return LETTERS.findall(text.lower())
 
 
 def forms(word: str) -> tuple[str, ...]:
@@ -123,6 +126,16 @@ def unlike(texts: list[str], keep: int = 8) -> list[str]:
     return out
 
 
+def risk_and_slope(x_p: _Rows, x_u: _Rows, theta: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk of positives and the estimated risk of negatives (may be below zero), and the slopes of both."""
+    s_p, s_u = 1 / (1 + np.exp(-x_p.times(theta))), 1 / (1 + np.exp(-x_u.times(theta)))
+    pull = prior * x_p.sums(s_p - 1) / len(s_p)
+    push = x_u.sums(s_u) / len(s_u) - prior * x_p.sums(s_p) / len(s_p)
+    kept = -prior * np.log(s_p + 1e-12).mean()
+    risk = -np.log(1 - s_u + 1e-12).mean() + prior * np.log(1 - s_p + 1e-12).mean()
+    return float(kept), float(risk), pull, push
+
+
 def fit_texts(positive: list[str], unlabelled: list[str], prior: float, rounds: int = 600, rate: float = 0.05, penalty: float = 1e-3) -> Model:
     prior = min(0.99, max(1e-4, prior))
     positive, unlabelled = unlike(positive), unlike(unlabelled)
@@ -135,10 +148,7 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float, rounds:
     theta = np.append(weights, bias)
     mean, square, held = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        s_p, s_u = 1 / (1 + np.exp(-x_p.times(theta))), 1 / (1 + np.exp(-x_u.times(theta)))
-        pull = prior * x_p.sums(s_p - 1) / len(s_p)  # logistic risk of positives as positive
-        push = x_u.sums(s_u) / len(s_u) - prior * x_p.sums(s_p) / len(s_p)  # risk of negatives
-        risk = -np.log(1 - s_u + 1e-12).mean() + prior * np.log(1 - s_p + 1e-12).mean()
+        _, risk, pull, push = risk_and_slope(x_p, x_u, theta, prior)
         slope = pull + push if risk >= 0 else -push
         slope[:-1] += penalty * theta[:-1]
         mean += 0.1 * (slope - mean)
@@ -164,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITI
     texts = docs.select("doc_id", "text").filter("text IS NOT NULL")
     share = min(1.0, sample_unlabelled / max(1, docs.count()))
     seen = texts.filter(crc_remainder("doc_id", 5) != 0).filter(hash_below(share, "doc_id", 77)).limit(2 * sample_unlabelled)
-    pulled = [x.toArrow().sort_by("doc_id").column("text").to_pylist() for x in (texts.join(F.broadcast(sure.select("doc_id")), "doc_id"), seen)]
+    pulled = [x.toArrow().sort_by("doc_id").column("text").to_pylist() for x in (texts.join(F.broadcast(sure.select("doc_id").distinct()), "doc_id").limit(2 * sample_positive), seen)]
     return fit_texts(*pulled, prior=toxic / max(1, n))
 
 

@@ -41,6 +41,23 @@ def test_blocks_after_unclosed_elements():
     assert shown.mask & _HIDDEN == 0 != stand_in.mask & _HIDDEN
 
 
+def test_blocks_of_odd_tags():
+    read = lambda page: [b.text for b in blocks(page)]
+    for opening in ("<script src=/js/>", '<script src="a.js"/>', "<style media=all/>", "<script/>", "<xmp>", "<title/>"):
+        tag = opening[1:].split(">")[0].split(" ")[0].split("/")[0]
+        assert read(f"<p>a</p>{opening}var x = 1;</{tag} ><p>b</p>") == ["a", "b"], opening
+    assert read("<head><title>t</title><script>var s='</head>';</script><meta charset=utf-8><body><p>a") == ["a"]
+    assert read("<head><p>a</p><head><p>b</p>") == ["a", "b"] and len(read("<head>" * 4000 + "a")) == 1
+    assert [b.text for b in blocks("<x-y><b>" * 4000 + "a" + "</i></x-y></b>" * 4000 + "<p>b")] == ["a", "b"]
+    shown = lambda page: [b.text for b in blocks(page) if not b.mask & _HIDDEN]
+    assert shown("<p>a <svg><style/><g><title/><text>t</text></g><svg><text>u</text></svg><text>v</text></svg> b</p>") == ["a b"]
+    assert read("<object><p>a</p><object><p>b</p></object><p>c</p></object><p>d</p>") == ["a", "b", "c", "d"]
+    (block,) = blocks("<p>x <a href=/y/>long link</a></p>")
+    assert block.linked == len("long link")
+    (block,) = blocks("<p>x <a name='y'/>text</p>")
+    assert block.linked == 0
+
+
 def test_extraction_after_unclosed_elements():
     for tag in ("button", "video", "object"):
         page = f"<html><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><article><h1>Title here</h1><{tag}><p>One two three four five six.</p><p>Seven eight nine ten eleven.</p></article><footer>&copy; me</footer>"
@@ -129,6 +146,14 @@ def test_template_language():
         with pytest.raises(chat.TemplateError):
             chat.Template(bad)
     assert chat.Template("{{ messages.__class__ }}{{ nothing.x }}").render([])[0] == ""
+    for deep in ("not " * 3000 + "a", "a" + ".b" * 3000, "a" + " + b" * 3000, "a" + "[0]" * 3000, "a" + " | trim" * 3000, "a" + " if a else b" * 3000):
+        with pytest.raises(chat.TemplateError):
+            chat.Template("{{ " + deep + " }}")
+    for bad in ("{{ 'x }}", "{{ x", "{% if x", "a {{ b"):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(bad)
+    assert chat.Template("{{ '}}' }}{% if '%}' == \"%}\" %}{{ \"{{ '\\\"}}\" }}{% endif %}").render([])[0] == "}}{{ '\"}}"
+    assert chat.Template("{{ a" + " ~ 'x'" * 140 + " }}").render([])[0] == "x" * 140
 
 
 # Byte pairs

@@ -128,6 +128,77 @@ def test_toxicity_of_a_small_source():
     assert "zzbad" in toxicity.choose_words(["zzbad a", "zzbad b", "c"], unlabelled)
 
 
+def test_risk_and_slopes_against_plain_sums():
+    """The non-negative risk and its gradient, term by term, and a step that climbs back."""
+    rng = np.random.default_rng(4)
+
+    def made(n: int) -> toxicity._Rows:
+        dense = np.where(rng.random((n, 4)) < 0.5, rng.normal(size=(n, 4)), 0)
+        row, col = np.nonzero(dense)
+        return toxicity._Rows(n, 4, row, col, dense[row, col])
+
+    def plain(x: toxicity._Rows) -> list[list[float]]:
+        out = [[0.0] * 4 for _ in range(x.n)]
+        for i, j, v in zip(x.row, x.col, x.value, strict=True):
+            out[i][j] = v
+        return out
+
+    x_p, x_u, prior = made(7), made(11), 0.3
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def risks(theta) -> tuple[float, float]:
+        g = lambda rows: [sum(a * b for a, b in zip(r, theta, strict=True)) for r in rows]
+        p, u = g(plain(x_p)), g(plain(x_u))
+        as_positive = sum(-np.log(sigmoid(z)) for z in p) / len(p)
+        as_negative = sum(-np.log(1 - sigmoid(z)) for z in p) / len(p)
+        return prior * as_positive, sum(-np.log(1 - sigmoid(z)) for z in u) / len(u) - prior * as_negative
+
+    for theta in (rng.normal(size=4), np.zeros(4), np.array([3.0, -3.0, 2.0, 4.0])):
+        kept, negative, pull, push = toxicity.risk_and_slope(x_p, x_u, theta, prior)
+        assert (kept, negative) == pytest.approx(risks(theta))
+        for j in range(4):
+            step = np.eye(4)[j] * 1e-6
+            up, down = risks(theta + step), risks(theta - step)
+            assert (pull[j], push[j]) == (pytest.approx((up[0] - down[0]) / 2e-6, abs=1e-5), pytest.approx((up[1] - down[1]) / 2e-6, abs=1e-5))
+
+
+def test_toxicity_of_empty_and_very_long_texts():
+    model = toxicity.fit_texts([f"grumpf {i}" + "a" * i for i in range(30)], ["ab cd ef " + "b" * i for i in range(300)], 0.2)
+    assert "grumpf" in model.words
+    long = "ab cd ef " * 100_000
+    score = toxicity.score_texts(model, ["", "½ 12", long, long + "grumpf"])
+    assert ((0 <= score) & (score <= 1)).all() and score[0] == score[1] and score[3] > score[2]
+
+
+def test_expectation_maximisation_against_enumeration():
+    """Piece probabilities from all segmentations of each word, weighed by their probability."""
+    pieces = sorted(["▁ab", "▁a", "b", "bc", "c", "▁", "abc"])
+    counts = Counter({"abc": 3, "ab": 2, "xb": 1})
+
+    def segmentations(text: str) -> list[list[int]]:
+        if not text:
+            return [[]]
+        out = []
+        for n in range(1, len(text) + 1):
+            if text[:n] in pieces or n == 1:
+                piece = pieces.index(text[:n]) if text[:n] in pieces else len(pieces)
+                out += [[piece, *rest] for rest in segmentations(text[n:])]
+        return out
+
+    n, prob = len(pieces) + 1, np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+    for _ in range(4):
+        p, seen = prob.copy(), np.zeros(n)
+        p[-1] = langid._FLOOR
+        for word, times in counts.items():
+            ways = segmentations("▁" + word)
+            weight = np.array([np.prod(p[w]) for w in ways])
+            for w, share in zip(ways, weight / weight.sum(), strict=True):
+                for x in w:
+                    seen[x] += times * share
+        prob = (seen + 0.1) / (seen.sum() + 0.1 * n)
+    np.testing.assert_allclose(langid.learn(langid.Lattice(pieces), pieces, counts), prob)
+
+
 def test_word_probability_sums_all_segmentations():
     pieces = sorted(["▁ab", "▁a", "b", "bc", "c", "▁", "abc"])
     prob = np.random.default_rng(1).uniform(0.01, 0.2, (len(pieces) + 1, 2))
@@ -167,4 +238,12 @@ def test_language_id(spark, docs, none):
     assert langid.Judge(langid.fit(none)).predict(["abc"])[0] == ["und"]
     pred, score = langid.Judge(model).predict(["123 !?", "kalomi" * 2000])
     assert pred == ["und", "xx"] and 0.5 < score[1] <= 1
+    assert langid.Judge(model).predict(["½ ² Ⅷ ٣ _ 😀", "½kalomi"])[0] == ["und", "xx"]
+    lattice = langid.Lattice(model.pieces)
+    for word in ("kalomi", "k", "öst" * 20):  # whole words of any length, in one way as in the other
+        np.testing.assert_allclose(langid.long_word_score(lattice, model.prob, word), langid.word_scores(lattice, model.prob, [word])[0])
+    long = langid.word_scores(lattice, model.prob, ["ka", "kalomi" * 3000, "lo"])
+    assert np.isfinite(long).all() and (long[1] < 1000 * long[0]).all()
+    odd = spark.createDataFrame([(i, None if i % 2 else f"sprache{i}", "wort", "x") for i in range(40)], "doc_id long, lang string, text string, score string")
+    assert len(langid.fit(odd, most_languages=3).langs) == 3
     assert DOCS.startswith("doc_id")
