@@ -19,12 +19,14 @@ Condition = str | Column | Callable[[DataFrame], Column]
 
 _BINARY = {
     ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: F.try_divide(a, b),
-    ast.Mod: lambda a, b: a % b, ast.Pow: lambda a, b: F.pow(a, b), ast.BitAnd: lambda a, b: true(a) & true(b), ast.BitOr: lambda a, b: true(a) | true(b),
+    ast.Mod: lambda a, b: F.try_mod(a, b), ast.Pow: lambda a, b: F.pow(a, b), ast.BitAnd: lambda a, b: true(a) & true(b), ast.BitOr: lambda a, b: true(a) | true(b),
 }
 _COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 _CALLS: dict[str, tuple[int, Callable]] = {
     "abs": (1, F.abs), "log": (1, F.ln), "sqrt": (1, F.sqrt), "exp": (1, F.exp), "sign": (1, F.signum), "isnan": (1, lambda x: x.isNull() | F.isnan(x)),
     "maximum": (2, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))), "minimum": (2, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))),
+    "floor": (1, F.floor), "ceil": (1, F.ceil), "round": (1, lambda x: F.bround(x)), "log1p": (1, F.log1p), "isfinite": (1, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
+    "power": (2, F.pow), "clip": (3, lambda x, a, b: F.when(x.isNotNull(), F.greatest(F.least(x, b), a))), "square": (1, lambda x: x * x),
     "where": (3, lambda c, a, b: F.when(true(c), a).otherwise(b)),
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlume.functions import windows as W
+from barlume.functions.times import wall_of
 from barlume.operators.indicators import combine
 
 # What a scan shows, in this order.
@@ -37,11 +38,17 @@ def benchmark_line(panel: DataFrame, benchmark: DataFrame, keys: tuple[str, ...]
     return panel.join(benchmark.select("timestamp", F.col("close").alias("bench")), "timestamp", "left").withColumn("bench", W.carried("bench", keys))
 
 
-def features(panel: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+def own_benchmark_line(panel: DataFrame, symbol: str, keys: tuple[str, ...] = W.KEYS) -> DataFrame:
+    """The same with one of the panel's own symbols, without building the panel twice."""
+    same = F.max(F.when(F.col("symbol") == symbol, F.col("close"))).over(Window.partitionBy("timestamp"))
+    return panel.withColumn("bench", same).withColumn("bench", W.carried("bench", keys))
+
+
+def features(panel: DataFrame, benchmark: DataFrame | str | None = None) -> DataFrame:
     """The panel with all columns that setups read; relative strength only with a benchmark."""
     df = panel
     if benchmark is not None:
-        df = benchmark_line(df, benchmark).withColumn("rs", F.try_divide(F.col("close"), F.col("bench")))
+        df = (own_benchmark_line if isinstance(benchmark, str) else benchmark_line)(df, benchmark).withColumn("rs", F.try_divide(F.col("close"), F.col("bench")))
     more = {f"sma{n}": W.full(F.avg, "close", n) for n in (20, 50, 200)}
     more |= {"z20": W.zscore("close", 20), "mom20": W.change("close", 20), "mom60": W.change("close", 60)}
     more["dollar_vol"] = W.full(F.avg, F.col("close") * F.col("volume"), 20)
@@ -56,9 +63,8 @@ def features(panel: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
 
 def latest_snapshot(panel: DataFrame, benchmark: str | DataFrame | None = None) -> DataFrame:
     """The last bar of each symbol with all features. A benchmark that isn't in the panel leaves out relative strength."""
-    if isinstance(benchmark, str):
-        line = panel.filter(F.col("symbol") == benchmark).select("timestamp", "close")
-        benchmark = None if line.isEmpty() else line
+    if isinstance(benchmark, str) and panel.filter(F.col("symbol") == benchmark).select("symbol").isEmpty():
+        benchmark = None
     return W.latest_per(features(panel, benchmark))
 
 
@@ -125,7 +131,7 @@ def composite_score(snapshot: DataFrame, columns: tuple[str, ...] = ("mom20", "m
 
 def orb_features(bars: DataFrame, open_bars: int = 6) -> DataFrame:
     """One row a symbol for its latest session (UTC date): the opening range, whether it broke upwards, traded value."""
-    rows = bars.withColumn("session", F.to_date("timestamp"))
+    rows = bars.withColumn("session", F.to_date(wall_of(bars)))
     rows = rows.withColumn("latest", F.max("session").over(Window.partitionBy("symbol"))).filter("session = latest")
     rows = rows.withColumn("k", F.row_number().over(W.ordered()))
     opening, after = F.col("k") <= open_bars, F.col("k") > open_bars

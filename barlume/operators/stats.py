@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlume.functions import windows as W
+from barlume.functions.times import wall_of
 
 METRICS = ("total_return", "cagr", "ann_volatility", "sharpe", "sortino", "max_drawdown", "calmar", "win_rate", "n_periods")
 
@@ -39,12 +40,15 @@ def compute_stats(ledger: DataFrame, keys: Sequence[str] = W.KEYS, returns: str
 
 def monthly_table(ledger: DataFrame, keys: Sequence[str] = W.KEYS, returns: str = "strat") -> DataFrame:
     """Compounded returns by year and month, months as columns: the heart of a tearsheet."""
-    months = ledger.withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")})
+    months = ledger.withColumns({"year": F.year(wall_of(ledger)), "month": F.month(wall_of(ledger))})
     return months.groupBy(*keys, "year").pivot("month", list(range(1, 13))).agg(F.product(1 + F.coalesce(returns, F.lit(0.0))) - 1).orderBy(*keys, "year")
 
 
 def html_report(ledger: DataFrame, path: str, title: str = "Strategy", keys: Sequence[str] = W.KEYS, returns: str = "strat", periods_per_year: float = 252.0, most: int = 100) -> str:
-    """A small self-contained HTML page of statistics and monthly returns for up to ``most`` keys; returns its path."""
+    """A small self-contained HTML page: statistics of the ``most`` keys with the best Sharpe ratios, and their months; returns its path.
+
+    It goes through the file system that the path names, so a cluster's store will do.
+    """
     import html
 
     def table(df: DataFrame) -> str:
@@ -53,8 +57,13 @@ def html_report(ledger: DataFrame, path: str, title: str = "Strategy", keys: Seq
         return f"<table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>{rows}</table>"
 
     found = compute_stats(ledger, keys, returns, periods_per_year).orderBy(F.desc("sharpe")).limit(most)
-    months = monthly_table(ledger, keys, returns).limit(most * 50)
+    months = monthly_table(ledger.join(F.broadcast(found.select(*keys)), list(keys), "left_semi"), keys, returns)  # at most ``most`` keys
     page = f"<!DOCTYPE html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{table(found)}<h2>Monthly returns</h2>{table(months)}"
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(page)
+    context = ledger.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(page.encode("utf-8")))
+    finally:
+        out.close()
     return path

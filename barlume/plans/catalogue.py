@@ -178,7 +178,6 @@ _WMA = " + ".join(f"{10 - k} * lag(close, {k}) OVER ({W_SQL})" if k else "10 * c
 enter("wma", indicator(("wma", {"window": 10})), panel_sql(r(f"CASE WHEN count(close) OVER {frame(10)} >= 10 THEN ({_WMA}) / 55.0::DOUBLE END", "wma_10")))
 _FAST = f"100 * (close - {full('min', 'low', 14)}) / nullif({full('max', 'high', 14)} - {full('min', 'low', 14)}, 0)"
 enter("stoch", indicator(("stoch", {})), panel_sql(r(full("avg", "k", 3), '"STOCH_slowk"'), "f", f", f AS (SELECT *, {_FAST} AS k FROM bars)"))
-_CCI = f"CASE WHEN count(tp) OVER {frame(14)} >= 14 THEN (tp - avg(tp) OVER {frame(14)}) / nullif(0.015::DOUBLE * list_sum(list_transform(list(tp) OVER {frame(14)}, lambda x: abs(x - list_avg(list(tp) OVER {frame(14)})))) / 14, 0) END"
 _CCI = f"CASE WHEN len(tps) = 14 THEN (tp - list_avg(tps)) / nullif(0.015::DOUBLE * list_sum(list_transform(tps, lambda x: abs(x - list_avg(tps)))) / 14, 0) END"
 enter("cci", indicator(("cci", {"timeperiod": 14})), panel_sql(r(_CCI, '"CCI_14"'), "g", f", f AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), g AS (SELECT *, list(tp) OVER {frame(14)} AS tps FROM f)"))
 _MFI = f""", f AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), g AS (SELECT *, {lagged("tp")} AS btp FROM f),
@@ -218,8 +217,7 @@ LATEST = """SELECT symbol, timestamp, close, close / lag(close, 20) OVER w - 1 A
 
 @query(f"WITH {BARS}, l AS ({LATEST.format('bars')}) SELECT symbol, timestamp, {r('close', 'close')}, {r('mom20', 'mom20')} FROM l")
 def latest_momentum_snapshot(spark, sf_dir):
-    daily(spark, sf_dir).createOrReplaceTempView("barlume_bars")
-    return spark.sql(without_qualify(LATEST.format("barlume_bars")))
+    return spark.sql(without_qualify(LATEST.format("{bars}")), bars=daily(spark, sf_dir))
 
 
 @query(f"WITH {BARS} SELECT symbol, timestamp, {r('close', 'close')} FROM bars WHERE timestamp = (SELECT max(timestamp) FROM bars)")

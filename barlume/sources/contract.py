@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampType
 
+from barlume.functions.times import instant
+
 FIELDS = ("open", "high", "low", "close", "volume")
 BARS_SCHEMA = StructType([StructField("symbol", StringType(), False), StructField("timestamp", TimestampType(), False), *(StructField(f, DoubleType()) for f in FIELDS)])
 # Other names of columns, timeframes, and bars a year of each.
@@ -31,12 +33,14 @@ def check_timeframe(timeframe: str) -> str:
     return timeframe
 
 
-def normalize(df: DataFrame, symbol: str | None = None) -> DataFrame:
+def normalize(df: DataFrame, symbol: str | None = None, adjust: bool = True, some: bool = True) -> DataFrame:
     """Bars in the contract's shape from columns of any case and with usual aliases.
 
     The last of rows that repeat (symbol, timestamp) is kept, by a column
-    ``_seq`` if there is one, else in reading order. NaN becomes null. A frame
-    without rows or a missing column raises ValueError.
+    ``_seq`` if there is one, else in reading order. NaN becomes null. Times
+    without a zone are in UTC. An adjusted close stands in for the close where
+    there is none, and where there is one if ``adjust``. A missing column raises
+    ValueError, as does a frame without rows if ``some`` (a job of its own).
     """
     names: dict[str, str] = {}
     for c in df.columns:
@@ -46,8 +50,8 @@ def normalize(df: DataFrame, symbol: str | None = None) -> DataFrame:
     for low, c in names.items():
         if low in ("symbol", "timestamp", *FIELDS):
             found[low] = c
-    for low, c in names.items():  # adjusted closes stand in for closes
-        if low in ALIASES and (ALIASES[low] not in found or low.startswith("adj")):
+    for low, c in names.items():
+        if low in ALIASES and (ALIASES[low] not in found or low.startswith("adj") and adjust):
             found[ALIASES[low]] = c
     missing = [f for f in ("timestamp", *FIELDS) if f not in found]
     if missing:
@@ -57,8 +61,8 @@ def normalize(df: DataFrame, symbol: str | None = None) -> DataFrame:
     name = F.lit(symbol) if symbol is not None else F.col(f"`{found['symbol']}`").cast("string")
     seq = F.col("_seq") if "_seq" in df.columns else F.monotonically_increasing_id()
     value = lambda f: F.nanvl(F.col(f"`{found[f]}`").cast("double"), F.lit(None).cast("double")).alias(f)
-    out = df.select(name.alias("symbol"), F.col(f"`{found['timestamp']}`").cast("timestamp").alias("timestamp"), *map(value, FIELDS), seq.alias("_seq"))
-    if out.isEmpty():
+    out = df.select(name.alias("symbol"), instant(F.col(f"`{found['timestamp']}`"), dict(df.dtypes)[found["timestamp"]]).alias("timestamp"), *map(value, FIELDS), seq.alias("_seq"))
+    if some and out.isEmpty():
         raise ValueError("no bars")
     return keep_last(out).drop("_seq")
 
@@ -82,12 +86,14 @@ def breaches(df: DataFrame) -> DataFrame:
     )
 
 
-def validate(df: DataFrame, name: str = "") -> DataFrame:
-    """The bars, or AssertionError with what is wrong with them."""
+def validate(df: DataFrame, name: str = "", some: bool = False) -> DataFrame:
+    """The bars, or AssertionError with what is wrong with them; without any ValueError if ``some``."""
     columns = [c for c in df.columns if c not in ("symbol", "timestamp")]
     if columns != list(FIELDS):
         raise AssertionError(f"{name}: columns are {columns}, not {list(FIELDS)}")
     found = breaches(df).first().asDict()
+    if some and not found["bars"]:
+        raise ValueError(f"{name}: no bars")
     wrong = {k: v for k, v in found.items() if k != "bars" and v}
     if wrong:
         raise AssertionError(f"{name}: {wrong} in {found['bars']} bars")

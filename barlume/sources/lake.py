@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlume.sources.contract import FIELDS, check_timeframe, keep_last
+from barlume.sources.contract import BARS_SCHEMA, FIELDS, check_timeframe, keep_last
 from barlume.sources.providers import Provider
 
 _QUALIFY = re.compile(r"\bQUALIFY\b(?P<rule>.*?)(?P<rest>\bORDER\s+BY\b[^()]*)?;?\s*\Z", re.I | re.S)
@@ -66,15 +66,17 @@ class Lake:
 
         Only the partitions of the given symbols are read and rewritten, by way of a staging folder.
         """
-        bars = bars.select("symbol", "timestamp", *FIELDS)
+        staged = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        bars.select("symbol", "timestamp", *FIELDS).write.parquet(f"{staged}/given")  # the source is read once
+        bars = self.spark.read.schema(BARS_SCHEMA).parquet(f"{staged}/given")
         given = bars.count()
         if self._exists(self.path(timeframe)):
             old = self.scan(timeframe).select(bars.columns)
             bars = merged(old.join(bars.select("symbol").distinct(), "symbol", "left_semi"), bars)
-        staged = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        bars.write.parquet(staged)
+            bars.write.parquet(f"{staged}/merged")
+            bars = self.spark.read.schema(BARS_SCHEMA).parquet(f"{staged}/merged")
         (
-            self.spark.read.parquet(staged).withColumn("timeframe", F.lit(timeframe)).repartition("symbol").sortWithinPartitions("symbol", "timestamp")
+            bars.withColumn("timeframe", F.lit(timeframe)).repartition("symbol").sortWithinPartitions("symbol", "timestamp")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe", "symbol").parquet(self.root)
         )
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)

@@ -8,9 +8,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlume.functions.times import instant
+from barlume.functions.windows import ordered, running
 from barlume.sources.contract import BARS_SCHEMA, check_timeframe, normalize, validate
 
 
@@ -37,26 +39,29 @@ class Provider(ABC):
         """Bars of all the request's symbols, with a column symbol."""
 
     def get_ohlcv(self, symbol: str, start: str | None = None, end: str | None = None, timeframe: str = "1d", adjust: bool = True) -> DataFrame:
-        found = normalize(self.fetch(Request((symbol,), start, end, check_timeframe(timeframe), adjust)))
-        return validate(found, symbol)
+        found = normalize(self.fetch(Request((symbol,), start, end, check_timeframe(timeframe), adjust)), adjust=adjust, some=False)
+        return validate(found, symbol, some=True)
 
     def get_ohlcv_multi(self, symbols: Sequence[str], start: str | None = None, end: str | None = None, timeframe: str = "1d", adjust: bool = True) -> DataFrame:
         """The panel of several symbols, in one plan; without symbols an empty one."""
         check_timeframe(timeframe)
         if not symbols:
             return self.spark.createDataFrame([], BARS_SCHEMA)
-        return validate(normalize(self.fetch(Request(tuple(symbols), start, end, timeframe, adjust))), ",".join(symbols))
+        found = normalize(self.fetch(Request(tuple(symbols), start, end, timeframe, adjust)), adjust=adjust, some=False)
+        return validate(found, ",".join(symbols), some=True)
 
     def get_options_chain(self, symbol: str, expiry: str | None = None) -> DataFrame:
         raise NotImplementedError(f"{type(self).__name__} has no option chains")
 
 
 def between(df: DataFrame, request: Request) -> DataFrame:
-    """Both ends inclusive; pushed down to a file scan."""
+    """Both ends inclusive, in UTC; pushed down to a file scan."""
     df = df.filter(F.col("symbol").isin(*request.symbols))
+    kind = dict(df.dtypes)["timestamp"]
+    bound = (lambda x: instant(x, "string")) if kind == "timestamp" else lambda x: x.cast(kind)
     for end, keep in ((request.start, lambda t, x: t >= x), (request.end, lambda t, x: t <= x)):
         if end is not None:
-            df = df.filter(keep(F.col("timestamp"), F.to_timestamp(F.lit(end))))
+            df = df.filter(keep(F.col("timestamp"), bound(F.lit(end))))
     return df
 
 
@@ -101,23 +106,31 @@ class ParquetProvider(Provider):
 
 
 class SyntheticProvider(Provider):
-    """Serves seeded random walks of any length, made on the executors from a hash of symbol and day."""
+    """Serves made-up bars of any length: a level of each symbol's own, a slow swing and hashed daily steps.
 
-    def __init__(self, spark: SparkSession, days: int = 500, origin: str = "2018-01-01", seed: int = 7) -> None:
+    Made on the executors from a hash of symbol and day, so the same for every plan.
+    """
+
+    def __init__(self, spark: SparkSession, days: int = 260, first: str = "2020-01-01", seed: int = 1) -> None:
         super().__init__(spark)
-        self.days, self.origin, self.seed = days, origin, seed
+        self.days, self.first, self.seed = days, first, seed
+
+    def _draw(self, what: str, *of: str) -> Column:
+        """Between 0 and 1."""
+        return F.pmod(F.xxhash64(F.lit(f"{self.seed}/{what}"), *of), F.lit(1 << 24)) / F.lit(float(1 << 24))
 
     def fetch(self, request: Request) -> DataFrame:
         names = self.spark.createDataFrame([(s,) for s in request.symbols], "symbol string")
-        rows = names.crossJoin(self.spark.range(self.days)).withColumn("timestamp", (F.date_add(F.to_date(F.lit(self.origin)), F.col("id").cast("int"))).cast("timestamp"))
-        draw = lambda k: (F.pmod(F.xxhash64("symbol", "id", F.lit(self.seed), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30)) - 0.5)
-        from barlume.functions.windows import ordered, running
-
-        close = 100 * F.exp(F.sum(draw(0) * 0.04 + 0.0003).over(running()))
-        walk = rows.withColumn("close", close).withColumn("open", F.coalesce(F.lag("close").over(ordered()), F.col("close")))
-        spread = F.abs(draw(1)) * 0.01 * F.col("close")
-        out = walk.select("symbol", "timestamp", "open", (F.greatest("open", "close") + spread).alias("high"), (F.least("open", "close") - spread).alias("low"), "close", F.floor((draw(2) + 0.5) * 4e6 + 1e6).cast("double").alias("volume"))
-        return between(out, request)
+        days = names.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(self.days - 1))))
+        level, period = 20 + 180 * self._draw("level", "symbol"), 40 + F.floor(80 * self._draw("period", "symbol"))
+        steps = F.sum(self._draw("step", "symbol", "day") - 0.5).over(running()) * 0.05
+        days = days.withColumn("timestamp", instant(F.date_add(F.lit(self.first).cast("date"), F.col("day")), "date"))
+        days = days.withColumn("close", level * F.exp(steps + 0.1 * F.sin(F.col("day") * F.lit(6.283185) / period)))
+        days = days.withColumn("open", F.coalesce(F.lag("close").over(ordered()) * (0.995 + 0.01 * self._draw("gap", "symbol", "day")), level))
+        reach = lambda what: 1 + 0.02 * self._draw(what, "symbol", "day")
+        high, low = F.greatest("open", "close") * reach("high"), F.least("open", "close") / reach("low")
+        volume = F.round(2e5 * F.exp(2 * self._draw("volume", "symbol", "day")))
+        return between(days.select("symbol", "timestamp", "open", high.alias("high"), low.alias("low"), "close", volume.alias("volume")), request)
 
 
 class CachedProvider(Provider):

@@ -29,24 +29,26 @@ def spark():
     made.stop()
 
 
-def walk(n: int = 300, seed: int = 7, symbol: str = "AAA", drift: float = 0.0003, vol: float = 0.012) -> pd.DataFrame:
-    """Seeded daily bars of one symbol."""
-    rng = np.random.default_rng(seed)
-    close = 100 * np.exp(np.cumsum(rng.normal(drift, vol, n)))
-    open_ = np.concatenate((close[:1], close[:-1]))
-    spread = abs(rng.normal(0, 0.004, n)) * close
+def made_bars(n: int = 300, seed: int = 5, symbol: str = "AAA", drift: float = 0.0, vol: float = 0.015) -> pd.DataFrame:
+    """Seeded daily bars of one symbol, each out of twelve ticks: gaps over night, calm and rough spells, a day in twenty without trade."""
+    rng = np.random.default_rng([seed, 1234])
+    rough = np.where((np.arange(n) // 45 + seed) % 3 == 0, 1.7, 0.8)
+    moves = rng.laplace(0, vol / 5, (n, 12)) * rough[:, None] + drift / 12
+    moves[:, 0] += rng.normal(0, vol / 3, n)
+    ticks = (35 + 9 * seed) * np.exp(moves.ravel().cumsum()).reshape(n, 12)
+    days = pd.bdate_range("2019-03-04", periods=n + n // 19 + 1)
+    days = days[np.arange(len(days)) % 20 != 13][:n]
     return pd.DataFrame({
-        "symbol": symbol, "timestamp": pd.bdate_range("2018-01-01", periods=n), "open": open_, "high": np.maximum(open_, close) + spread,
-        "low": np.minimum(open_, close) - spread, "close": close, "volume": rng.integers(1_000_000, 5_000_000, n).astype(float),
+        "symbol": symbol, "timestamp": days, "open": ticks[:, 0], "high": ticks.max(1), "low": ticks.min(1), "close": ticks[:, -1], "volume": rng.lognormal(15, 0.4, n).round(),
     })
 
 
 def path(closes: list[float], symbol: str = "AAA") -> pd.DataFrame:
     """Bars of given closes."""
     c = np.array(closes, float)
-    return pd.DataFrame({"symbol": symbol, "timestamp": pd.bdate_range("2022-01-03", periods=len(c)), "open": c, "high": c + 1, "low": c - 1, "close": c, "volume": 1e6})
+    return pd.DataFrame({"symbol": symbol, "timestamp": pd.bdate_range("2023-05-01", periods=len(c)), "open": c, "high": c + 1, "low": c - 1, "close": c, "volume": 1e6})
 
 
 @pytest.fixture(scope="session")
 def panel(spark):
-    return spark.createDataFrame(pd.concat([walk(seed=k, symbol=s) for k, s in enumerate(("AAA", "BBB", "SPY"))])).cache()
+    return spark.createDataFrame(pd.concat([made_bars(seed=k, symbol=s) for k, s in enumerate(("AAA", "BBB", "SPY"))])).cache()

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from barlume.operators import indicators as I
 from barlume.operators import kernels as K
-from tests.conftest import path, walk
+from tests.conftest import made_bars, path
 
 prices = st.lists(st.floats(1, 1000), min_size=60, max_size=200).map(np.array)
 
@@ -22,7 +22,7 @@ def column(df, name: str, symbol: str = "AAA") -> np.ndarray:
 
 def test_windows_match_pandas(spark, panel):
     df = I.combine(panel, [("sma", {"window": 20}), ("std", {"window": 20}), ("zscore", {"window": 20}), ("ret", {"periods": 3}), ("ewma", {"span": 20}), ("wma", {"window": 5})])
-    close = walk(seed=0)["close"]
+    close = made_bars(seed=0)["close"]
     sma, sd = close.rolling(20).mean(), close.rolling(20).std(ddof=0)
     weights = np.arange(1, 6)
     for name, want in {
@@ -115,7 +115,7 @@ def test_hand_vectors():
     np.testing.assert_allclose(K.true_range(np.array([5.0, 9]), np.array([3.0, 8]), np.array([4.0, 8.5])), [2, 5])
     assert K.rsi(np.full(20, 3.0))[-1] == 100
     assert np.isnan(K.rsi(np.arange(14.0))).all()
-    bars = walk(80)
+    bars = made_bars(80)
     h, l, c = (bars[x].to_numpy() for x in ("high", "low", "close"))
     macd, signal, hist = K.macd(c)
     np.testing.assert_allclose(macd, pd.Series(c).ewm(span=12, adjust=False).mean() - pd.Series(c).ewm(span=26, adjust=False).mean())

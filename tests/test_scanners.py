@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from barlume.functions.scalar import norm_cdf, norm_cdf_sql
 from barlume.operators import learning, options, scanners
-from tests.conftest import path, walk
+from tests.conftest import made_bars, path
 
 
 @pytest.fixture(scope="module")
 def universe(spark):
-    return spark.createDataFrame(pd.concat([walk(320, seed=k, symbol=s, drift=0.001 - 0.0004 * k) for k, s in enumerate(("SPY", "AAA", "BBB", "CCC", "DDD"))])).cache()
+    return spark.createDataFrame(pd.concat([made_bars(320, seed=k, symbol=s, drift=0.001 - 0.0004 * k) for k, s in enumerate(("SPY", "AAA", "BBB", "CCC", "DDD"))])).cache()
 
 
 @pytest.mark.parametrize("name", sorted(scanners.available_setups()))
@@ -58,7 +58,7 @@ def test_opening_range(spark):
 
 
 def test_triple_barrier_against_a_loop(spark):
-    bars = walk(120, seed=3)
+    bars = made_bars(120, seed=3)
     c = bars["close"].to_numpy()
     vol = bars["close"].pct_change().rolling(20).std().to_numpy()
     found = learning.triple_barrier(spark.createDataFrame(bars), 10, 1.5, 1.0).orderBy("timestamp").toPandas()
@@ -77,7 +77,7 @@ def test_triple_barrier_against_a_loop(spark):
 
 def test_folds(spark):
     assert learning.fold_bounds(11, 3) == [(0, 4), (4, 8), (8, 11)]
-    rows = spark.createDataFrame(walk(103)[["symbol", "timestamp"]])
+    rows = spark.createDataFrame(made_bars(103)[["symbol", "timestamp"]])
     found = learning.purged_folds(rows, 5, 7, 0.05).toPandas()
     for k, (a, b) in enumerate(learning.fold_bounds(103, 5)):
         part = found[found["fold"] == k]

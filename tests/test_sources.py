@@ -6,11 +6,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barlume.operators import scanners
 from barlume.sources import bars as S
 from barlume.sources import contract as C
 from barlume.sources import lake as L
 from barlume.sources import providers as P
-from tests.conftest import path, walk
+from tests.conftest import made_bars, path
 
 
 def test_normalize_aliases_and_keep_last(spark):
@@ -23,8 +24,50 @@ def test_normalize_aliases_and_keep_last(spark):
         C.normalize(raw.limit(0), "X")
 
 
+def test_times_are_utc_in_any_session(spark):
+    """Naive times are read as UTC, bounds and days too, whatever the session's zone is."""
+    micros = lambda df: [r[0] for r in df.select(F.unix_micros("timestamp")).orderBy(F.unix_micros("timestamp")).collect()]
+    midnight, hour = 1_709_251_200_000_000, 3_600_000_000  # 2024-03-01
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = [("2024-03-01",), ("2024-03-01 01:00:00",), ("2024-03-01T04:00:00+02:00",), ("2024-03-01T03:00:00Z",), ("2024-03-10 02:30:00",)]
+            text = spark.createDataFrame(rows, "timestamp string").selectExpr("timestamp", "1D open", "2D high", "1D low", "1D close", "1L volume")
+            want = [midnight + k * hour for k in (0, 1, 2, 3)] + [midnight + (9 * 24 + 2.5) * hour]
+            assert micros(C.normalize(text, "X")) == want, zone
+            bare = text.filter("timestamp NOT LIKE '%T%'")
+            assert micros(C.normalize(bare.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), "X")) == [want[0], want[1], want[4]]
+            assert micros(C.normalize(bare.withColumn("timestamp", F.col("timestamp").cast("date")), "X")) == [midnight, midnight + 9 * 24 * hour]
+            bars = C.normalize(text, "X")
+            provider = P.FrameProvider(spark, bars)
+            assert micros(provider.get_ohlcv("X", "2024-03-01 01:00:00", "2024-03-01T02:00:00Z")) == want[1:3]
+            assert micros(S.resample(bars, "1d")) == [midnight, midnight + 9 * 24 * hour]
+            assert micros(S.resample(bars, "2h")) == [midnight, midnight + 2 * hour, midnight + (9 * 24 + 2) * hour]
+            assert micros(P.get_provider("synthetic", spark=spark, days=2).get_ohlcv("A")) == [1_577_836_800_000_000, 1_577_923_200_000_000]
+            assert scanners.orb_features(bars.withColumn("symbol", F.lit("X")), 1).collect()[0]["last"] == 1.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_adjusted_prices(spark):
+    raw = spark.createDataFrame([("2024-01-02", 1.0, 9.0, 0.5, 4.0, 2.0, 5)], "Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume int")
+    assert C.normalize(raw, "X").first()["close"] == 2.0 and C.normalize(raw, "X", adjust=False).first()["close"] == 4.0
+    assert C.normalize(raw.drop("Close"), "X", adjust=False).first()["close"] == 2.0
+    provider = P.FrameProvider(spark, raw.withColumnRenamed("Date", "timestamp").withColumn("symbol", F.lit("X")))
+    assert [provider.get_ohlcv("X", adjust=a).first()["close"] for a in (True, False)] == [2.0, 4.0]
+
+
+def test_trades_are_aggregated_by_hash(spark):
+    trades = spark.createDataFrame([("A", 1, 5.0, 2, 1.0), ("A", 1, 4.0, 1, 2.0), ("A", 1, 6.0, 3, 3.0)], "s string, day int, p double, k long, q double")
+    bars = S.from_trades(trades, F.col("s"), F.col("day"), F.col("p"), F.col("q"), F.col("k").cast("decimal(38,0)"))
+    assert tuple(bars.first()) == ("A", 1, 4.0, 6.0, 4.0, 6.0, 6.0)
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_validate(spark):
-    good = spark.createDataFrame(walk(20))
+    good = spark.createDataFrame(made_bars(20))
     assert C.validate(good) is good
     for bad in (good.withColumn("high", F.lit(0.0)), good.withColumn("volume", F.lit(-1.0)), good.unionByName(good)):
         with pytest.raises(AssertionError, match="XYZ"):
@@ -37,8 +80,8 @@ def test_validate(spark):
 
 
 def test_providers(spark, tmp_path):
-    frame = P.FrameProvider(spark, spark.createDataFrame(pd.concat([walk(30, symbol=s) for s in ("AAA", "BBB")])))
-    assert frame.get_ohlcv("AAA", "2018-01-03", "2018-01-05").count() == 3
+    frame = P.FrameProvider(spark, spark.createDataFrame(pd.concat([made_bars(30, symbol=s) for s in ("AAA", "BBB")])))
+    assert frame.get_ohlcv("AAA", "2019-03-05", "2019-03-07").count() == 3
     assert frame.get_ohlcv_multi([]).columns == [f.name for f in C.BARS_SCHEMA]
     assert frame.get_ohlcv_multi(["AAA", "BBB"]).count() == 60
     with pytest.raises(ValueError):
