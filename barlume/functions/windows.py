@@ -83,6 +83,19 @@ def latest_per(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "timestam
     return df.withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1").drop("__turn")
 
 
+def last_rows(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = "timestamp") -> DataFrame:
+    """The last n rows of each key."""
+    turn = Window.partitionBy(*keys).orderBy(F.desc(order))
+    return df.withColumn("__turn", F.row_number().over(turn)).filter(F.col("__turn") <= n).drop("__turn")
+
+
+def edges(signal: Column | str, keys: Sequence[str] = KEYS) -> tuple[Column, Column]:
+    """(entry, exit): where a signal rises from none or below, and where it falls back; null counts as none."""
+    on = F.coalesce(column(signal), F.lit(0.0)) > 0
+    before = F.coalesce(F.lag(on.cast("int")).over(ordered(keys)), F.lit(0)) > 0
+    return on & ~before, before & ~on
+
+
 def true(condition: Column) -> Column:
     """A condition in which null counts as false."""
     return F.coalesce(condition, F.lit(False))

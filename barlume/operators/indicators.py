@@ -179,9 +179,14 @@ def _slow_k(keys=W.KEYS, fastk_period: int = 14, slowk_period: int = 3, **_):
     return {f"__k{fastk_period}": _fast_k(keys, fastk_period)[f"__k{fastk_period}"]}
 
 
-@register("stoch", _fixed("STOCH_slowk"), before=_slow_k, group="momentum")
-def _stoch(keys=W.KEYS, fastk_period: int = 14, slowk_period: int = 3):
-    return {"STOCH_slowk": W.full(F.avg, f"__k{fastk_period}", slowk_period, keys)}
+@register("stoch", _fixed("STOCH_slowk", "STOCH_slowd"), before=_slow_k, group="momentum")
+def _stoch(keys=W.KEYS, fastk_period: int = 14, slowk_period: int = 3, slowd_period: int = 3):
+    """%K smoothed once and twice. The second average of averages is one weighted sum, so it needs no window over a window."""
+    k = f"__k{fastk_period}"
+    reach = slowk_period + slowd_period - 1
+    weights = [sum(0 <= j - i < slowk_period for i in range(slowd_period)) for j in range(reach)]
+    twice = sum((w * F.lag(k, j).over(W.ordered(keys)) for j, w in enumerate(weights)), F.lit(0.0)) / (slowk_period * slowd_period)
+    return {"STOCH_slowk": W.full(F.avg, k, slowk_period, keys), "STOCH_slowd": F.when(F.count(k).over(W.trailing(reach, keys)) >= reach, twice)}
 
 
 def _typical(keys=W.KEYS, **_):
@@ -333,18 +338,15 @@ UNSUPPORTED = ("ht_dcperiod", "ht_trendmode")
 FUNCTIONS: dict[str, tuple[str, dict[str, str], tuple[str, ...]]] = {
     "SMA": ("sma", {"timeperiod": "window"}, ("real",)), "EMA": ("ewma", {"timeperiod": "span"}, ("real",)), "WMA": ("wma", {"timeperiod": "window"}, ("real",)),
     "BBANDS": ("bbands", {}, ("upperband", "middleband", "lowerband")), "SAR": ("sar", {}, ("real",)), "RSI": ("rsi", {"timeperiod": "window"}, ("real",)),
-    "MACD": ("macd", {"fastperiod": "fast", "slowperiod": "slow", "signalperiod": "signal"}, ("macd", "macdsignal", "macdhist")), "STOCH": ("stoch", {}, ("slowk",)),
+    "MACD": ("macd", {"fastperiod": "fast", "slowperiod": "slow", "signalperiod": "signal"}, ("macd", "macdsignal", "macdhist")), "STOCH": ("stoch", {}, ("slowk", "slowd")),
     "ADX": ("adx", {}, ("real",)), "CCI": ("cci", {}, ("real",)), "MFI": ("mfi", {}, ("real",)), "OBV": ("obv", {}, ("real",)), "AD": ("ad", {}, ("real",)), "ADOSC": ("adosc", {}, ("real",)),
     "ATR": ("wilder_atr", {"timeperiod": "window"}, ("real",)), "NATR": ("natr", {}, ("real",)), "TRANGE": ("trange", {}, ("real",)),
     "CDLENGULFING": ("cdlengulfing", {}, ("integer",)), "CDLDOJI": ("cdldoji", {}, ("integer",)),
 }
 
 
-def by_function(name: str, df: DataFrame, **settings) -> DataFrame:
-    """A function of the catalogue by its usual name and settings; its columns are NAME_output, like RSI_real.
-
-    EMA is seeded with the first value, not with an average.
-    """
+def _by_function(name: str, settings: dict) -> tuple[Spec, dict[str, str]]:
+    """The indicator behind a function's usual name, and how its columns are to be called."""
     name = name.upper()
     if name.lower() in UNSUPPORTED or name.startswith(("CDL", "HT_")) and name not in FUNCTIONS:
         raise NotImplementedError(f"{name} is not supported")
@@ -352,5 +354,25 @@ def by_function(name: str, df: DataFrame, **settings) -> DataFrame:
         raise KeyError(f"no function {name}; one of {sorted(FUNCTIONS)}")
     own, names, outputs = FUNCTIONS[name]
     settings = {names.get(k, k): v for k, v in settings.items()}
-    found = lookup(own).columns(**settings)
-    return make(own, df, **settings).withColumnsRenamed(dict(zip(found, (f"{name}_{o}" for o in outputs), strict=True)))
+    return (own, settings), dict(zip(lookup(own).columns(**settings), (f"{name}_{o}" for o in outputs), strict=True))
+
+
+def by_function(name: str, df: DataFrame, **settings) -> DataFrame:
+    """A function of the catalogue by its usual name and settings; its columns are NAME_output, like RSI_real.
+
+    EMA is seeded with the first value, not with an average.
+    """
+    (own, settings), names = _by_function(name, settings)
+    return make(own, df, **settings).withColumnsRenamed(names)
+
+
+def add_indicators(df: DataFrame, specs: Sequence[Spec], keys: Sequence[str] = W.KEYS) -> DataFrame:
+    """The panel with the columns of all functions of a list of (usual name, settings), in one plan.
+
+    Two that would give the same column, such as one function twice, raise ValueError.
+    """
+    found = [_by_function(name, settings) for name, settings in specs]
+    names = [new for _, columns in found for new in columns.values()]
+    if len({*names, *df.columns}) < len(names) + len(df.columns):
+        raise ValueError(f"columns would repeat: {names}")
+    return combine(df, [spec for spec, _ in found], keys=keys).withColumnsRenamed({old: new for _, columns in found for old, new in columns.items()})

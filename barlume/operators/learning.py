@@ -103,6 +103,41 @@ def purged_folds(rows: DataFrame, n_splits: int = 5, label_horizon: int = 10, em
     return df.withColumn("role", role).drop("__n")
 
 
+def panel_folds(rows: DataFrame, n_splits: int = 5, label_horizon: int = 10, embargo: float = 0.01) -> DataFrame:
+    """The same roles by date over a whole panel: no symbol's training rows lie inside another's test dates.
+
+    Dates are numbered once, one row a date; labels reach ``label_horizon`` dates ahead.
+    """
+    dates = rows.select("timestamp").distinct().withColumn("__all", F.lit(0))
+    roles = purged_folds(dates, n_splits, label_horizon, embargo, ("__all",)).drop("__all").withColumnRenamed("row", "date_row")
+    return rows.join(roles, "timestamp")
+
+
+def panel_split(rows: DataFrame, test_size: float = 0.25) -> DataFrame:
+    """Adds is_test: the last dates of the panel, for all symbols alike."""
+    dates = time_split(rows.select("timestamp").distinct().withColumn("__all", F.lit(0)), test_size, ("__all",)).drop("__all")
+    return rows.join(dates, "timestamp")
+
+
+def base_rate(labels: DataFrame, label: str = "label", keys: Sequence[str] = W.KEYS) -> DataFrame:
+    """How many labels each key has, and the share of ones: what a model has to beat."""
+    return labels.groupBy(*keys).agg(F.count(label).alias("n"), F.avg((F.col(label) == 1).cast("double")).alias("base_rate"))
+
+
+def scores(scored: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
+    """One row: n, accuracy at 0.5 and the area under the curve; that is null where only one class occurs.
+
+    The area counts, for each distinct probability, the pairs of a one and a zero, ties by half.
+    """
+    steps = scored.groupBy(F.col(proba).alias("p")).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros"), F.count_if((F.col(proba) > 0.5) == (F.col(label) == 1)).alias("right"))
+    below = F.coalesce(F.sum("zeros").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a distinct probability
+    pairs = steps.withColumn("won", F.col("ones") * (below + F.col("zeros") / 2))
+    return pairs.agg(
+        F.sum(F.col("ones") + F.col("zeros")).alias("n"), (F.sum("right") / F.sum(F.col("ones") + F.col("zeros"))).alias("accuracy"),
+        F.try_divide(F.sum("won"), (F.sum("ones") * F.sum("zeros")).cast("double")).alias("auc"),
+    )
+
+
 def time_split(rows: DataFrame, test_size: float = 0.25, keys: Sequence[str] = W.KEYS) -> DataFrame:
     """Adds is_test: the last rows of each key, cut at int(n (1 - test_size))."""
     n = F.count("*").over(Window.partitionBy(*keys))
@@ -115,9 +150,9 @@ def _pipeline(features: Sequence[str], model) -> Pipeline:
 
 
 def purged_auc(data: DataFrame, features: Sequence[str], label: str = "label", n_splits: int = 5, label_horizon: int = 10, embargo: float = 0.01) -> DataFrame:
-    """(fold, auc, n_train, n_test): scaled logistic regression on purged folds; a fold with one class is left out."""
+    """(fold, auc, n_train, n_test): scaled logistic regression on purged folds of dates; a fold with one class is left out."""
     spark = data.sparkSession
-    rows = purged_folds(complete(data, [*features, label]), n_splits, label_horizon, embargo).cache()
+    rows = panel_folds(complete(data, [*features, label]), n_splits, label_horizon, embargo).cache()
     judge = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction")
     out = []
     for k in range(n_splits):
@@ -131,9 +166,12 @@ def purged_auc(data: DataFrame, features: Sequence[str], label: str = "label", n
 
 
 def boosted(data: DataFrame, features: Sequence[str], label: str = "label", test_size: float = 0.25, rounds: int = 20, threshold: float = 0.5, seed: int = 7):
-    """(scored test rows with proba and signal, importances): boosted trees, stopped early on the last fifth of the training rows."""
-    rows = time_split(complete(data, [*features, label]), test_size)
-    train = time_split(rows.filter("NOT is_test").drop("is_test"), 0.2).withColumnRenamed("is_test", "holdout")
+    """(scored test rows with proba and signal, importances): boosted trees, stopped early on the last fifth of the training dates.
+
+    Splits go by date over the whole panel. ``scores`` tells accuracy and area under the curve of the test rows.
+    """
+    rows = panel_split(complete(data, [*features, label]), test_size)
+    train = panel_split(rows.filter("NOT is_test").drop("is_test"), 0.2).withColumnRenamed("is_test", "holdout")
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=3, seed=seed, validationIndicatorCol="holdout").fit(assembler.transform(train))
     scored = model.transform(assembler.transform(rows.filter("is_test"))).withColumn("proba", vector_to_array("probability")[1])

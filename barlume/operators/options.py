@@ -84,4 +84,17 @@ def iv_rank(history: DataFrame, window: int = 252) -> DataFrame:
     return history.withColumn("iv_rank", F.try_divide(F.col("iv") - low, high - low))
 
 
-__all__ = ["bs_price", "chain_overlay", "greeks", "implied_vol", "iv_rank"]
+def covered_calls(calls: DataFrame, spot: Column | float | str, delta: float = 0.3, days: tuple[int, int] = (20, 40), r: float = 0.04, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """For each underlying the call to write: of those that expire in so many days the one with the delta nearest to the wanted one.
+
+    ``calls`` has strike, days, sigma and mid, the price. The yield is the price over the
+    spot, scaled to a year. Ties go to the lower strike, then to fewer days.
+    """
+    spot, years = _column(spot), F.col("days") / 365
+    rows = calls.filter(F.col("days").between(*days)).withColumn("delta", greeks(spot, "strike", years, r, "sigma")["delta"])
+    rows = rows.withColumn("annual_yield", F.try_divide(F.col("mid"), spot) / years)
+    order = F.struct(F.round(F.abs(F.col("delta") - delta), 9).alias("off"), "strike", "days", "delta", "mid", "annual_yield")
+    return rows.groupBy(*keys).agg(F.min(order).alias("best")).select(*keys, *(F.col(f"best.{c}").alias(c) for c in ("strike", "days", "delta", "mid", "annual_yield")))
+
+
+__all__ = ["bs_price", "chain_overlay", "covered_calls", "greeks", "implied_vol", "iv_rank"]

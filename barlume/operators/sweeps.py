@@ -132,10 +132,8 @@ def random_params(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return spark.createDataFrame(rows, "trial int, fast int, slow int, rsi_floor double, z_entry double")
 
 
-def search(bars: DataFrame, trials: int = 20, seed: int = 0, periods_per_year: float = 252.0) -> DataFrame:
-    """Statistics of all trials and symbols in one job; the best is the first by Sharpe."""
-    params = random_params(bars.sparkSession, trials, seed)
-    drawn = params.collect()
+def _tried(bars: DataFrame, params: DataFrame, periods_per_year: float) -> DataFrame:
+    drawn = params.collect()  # parameters, not data
     fasts, slows = [r["fast"] for r in drawn], [r["slow"] for r in drawn]
     df = combo_features(bars.select("symbol", "timestamp", "close"), fasts, slows).crossJoin(F.broadcast(params))
     hold = combo_condition(_pick("sma", fasts, "fast"), _pick("sma", slows, "slow"), F.col("rsi_14"), F.col("zscore_20"), F.col("rsi_floor"), 75.0, F.col("z_entry"))
@@ -144,6 +142,38 @@ def search(bars: DataFrame, trials: int = 20, seed: int = 0, periods_per_year: f
     return compute_stats(backtest(rows, 1.0, at), at, periods_per_year=periods_per_year)
 
 
+def near_params(spark: SparkSession, best: Sequence[Sequence], n: int, first: int, seed: int = 0) -> DataFrame:
+    """Seeded draws around good settings, inside the search space."""
+    r = random.Random(f"{seed}/near")
+    inside = lambda x, low, high: min(high, max(low, x))
+    rows = []
+    for i in range(n):
+        fast, slow, floor, entry = r.choice(list(best))
+        rows.append((
+            first + i, inside(fast + r.randint(-6, 6), 5, 50), inside(slow + r.randint(-25, 25), 60, 250), round(inside(floor + r.gauss(0, 3), 30.0, 55.0), 2), round(inside(entry + r.gauss(0, 0.3), -1.0, 1.5), 3),
+        ))
+    return spark.createDataFrame(rows, "trial int, fast int, slow int, rsi_floor double, z_entry double")
+
+
+def search(bars: DataFrame, trials: int = 50, seed: int = 0, periods_per_year: float = 252.0, aims: int = 1) -> DataFrame:
+    """Statistics of all trials and symbols: half of the trials drawn at random, half around the best of those.
+
+    The best by mean Sharpe ratio over the symbols are the upper fifth; for two aims,
+    gain and |drawdown|, those that no other beats in both means. With one aim the
+    best trial is the first by Sharpe; with two, ``pareto_front`` takes the front.
+    """
+    spark, half = bars.sparkSession, max(1, trials // 2)
+    first = _tried(bars, random_params(spark, half, seed), periods_per_year)
+    names = ("fast", "slow", "rsi_floor", "z_entry")
+    means = first.groupBy("trial", *names).agg(F.avg("sharpe").alias("sharpe"), F.avg("max_drawdown").alias("max_drawdown"))
+    means = means.withColumns({c: F.round(c, 9) for c in ("sharpe", "max_drawdown")})
+    chosen = means.orderBy(F.desc("sharpe"), "trial").limit(max(1, half // 5)) if aims == 1 else pareto_front(means.withColumn("one", F.lit(1)), ["one"])
+    best = [tuple(r[c] for c in names) for r in sorted(chosen.collect(), key=lambda r: r["trial"])]  # at most as many rows as trials
+    if trials - half < 1 or not best:
+        return first
+    return first.unionByName(_tried(bars, near_params(spark, best, trials - half, half, seed), periods_per_year))
+
+
 def pareto_front(trials: DataFrame, keys: Sequence[str], gain: str = "sharpe", risk: str = "max_drawdown") -> DataFrame:
     """The trials of each key that no other beats in both gain and |risk|: a sort by gain and a running least risk."""
     cost = F.abs(risk)

@@ -177,7 +177,7 @@ enter("bollinger", indicator(("bbands", {})), panel_sql(f'{r(f"{_MID} + 2 * {_SD
 _WMA = " + ".join(f"{10 - k} * lag(close, {k}) OVER ({W_SQL})" if k else "10 * close" for k in range(10))
 enter("wma", indicator(("wma", {"window": 10})), panel_sql(r(f"CASE WHEN count(close) OVER {frame(10)} >= 10 THEN ({_WMA}) / 55.0::DOUBLE END", "wma_10")))
 _FAST = f"100 * (close - {full('min', 'low', 14)}) / nullif({full('max', 'high', 14)} - {full('min', 'low', 14)}, 0)"
-enter("stoch", indicator(("stoch", {})), panel_sql(r(full("avg", "k", 3), '"STOCH_slowk"'), "f", f", f AS (SELECT *, {_FAST} AS k FROM bars)"))
+enter("stoch", indicator(("stoch", {})), panel_sql(f"""{r('sk', '"STOCH_slowk"')}, {r(full('avg', 'sk', 3), '"STOCH_slowd"')}""", "g", f", f AS (SELECT *, {_FAST} AS k FROM bars), g AS (SELECT *, {full('avg', 'k', 3)} AS sk FROM f)"))
 _CCI = f"CASE WHEN len(tps) = 14 THEN (tp - list_avg(tps)) / nullif(0.015::DOUBLE * list_sum(list_transform(tps, lambda x: abs(x - list_avg(tps)))) / 14, 0) END"
 enter("cci", indicator(("cci", {"timeperiod": 14})), panel_sql(r(_CCI, '"CCI_14"'), "g", f", f AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), g AS (SELECT *, list(tp) OVER {frame(14)} AS tps FROM f)"))
 _MFI = f""", f AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), g AS (SELECT *, {lagged("tp")} AS btp FROM f),
@@ -569,7 +569,13 @@ def walk_forward_oos(spark, sf_dir):
 
 @query()
 def parameter_search(spark, sf_dir):
-    return sweeps.search(daily(spark, sf_dir), trials=10, seed=7)
+    return sweeps.search(daily(spark, sf_dir), trials=50, seed=7)
+
+
+@query()
+def parameter_search_two_aims(spark, sf_dir):
+    tried = sweeps.search(daily(spark, sf_dir), trials=80, seed=7, aims=2)
+    return sweeps.pareto_front(tried, ["symbol"])
 
 
 # Scanners
@@ -691,6 +697,11 @@ def gbt_signal(spark, sf_dir):
     return learning.boosted(_labelled(spark, sf_dir), _FEATURES)[0].select("symbol", "timestamp", "proba", "signal")
 
 
+@query()
+def gbt_scores(spark, sf_dir):
+    return learning.scores(learning.boosted(_labelled(spark, sf_dir), _FEATURES)[0])
+
+
 @query()
 def gbt_importance(spark, sf_dir):
     return learning.boosted(_labelled(spark, sf_dir), _FEATURES)[1]

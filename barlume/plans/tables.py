@@ -21,9 +21,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trade_order() -> Column:
-    """Order, line, supplier and part in one number, in that order of weight: 13, 2, 11 and 12 digits."""
-    whole = lambda c, digits: F.col(c).cast("decimal(38,0)") * F.lit(10**digits).cast("decimal(38,0)")
-    return (whole("l_orderkey", 25) + whole("l_linenumber", 23) + whole("l_suppkey", 12) + F.col("l_partkey")).cast("decimal(38,0)")
+    """Order, line, supplier and part in one number, in that order of weight: 15, 2, 10 and 11 digits."""
+    shift = lambda digits: F.lit("1" + "0" * digits).cast("decimal(22,0)")
+    line = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("decimal(17,0)")
+    return (line * shift(21) + F.col("l_suppkey").cast("decimal(10,0)") * shift(11) + F.col("l_partkey")).cast("decimal(38,0)")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlume.operators import backtest as B
-from barlume.operators import rules, stats, sweeps
+from barlume.functions import windows as W
+from barlume.operators import indicators, learning, rules, stats, sweeps
 from tests.conftest import made_bars, path
 
 
@@ -129,7 +130,7 @@ def test_walk_forward_picks_by_training_sharpe(spark):
     picked = choices.orderBy("fold").collect()
     years = sorted(made_bars(2000)["timestamp"].dt.year.unique())
     assert [r["fold"] for r in picked] == years[3:-1] and set(r["fast"] for r in picked) <= {5, 10}
-    assert {r[0] for r in ledger.select(F.year("timestamp")).distinct().collect()} == {2021, 2022, 2023, 2024}
+    assert {r[0] for r in ledger.select(F.year("timestamp")).distinct().collect()} == set(years[3:-1])
     assert isinstance(ledger.toPandas(), pd.DataFrame)
 
 
@@ -138,3 +139,55 @@ def test_report(spark, panel, tmp_path):
     page = stats.html_report(ledger, str(tmp_path / "r.html"))
     assert "max_drawdown" in open(page).read()
     assert B.asdict_safe(B.StrategyConfig(signal=lambda df: df["close"]))["signal"].startswith("<callable")
+
+
+def test_edges_and_last_rows(spark):
+    rows = [("A", k, s) for k, s in enumerate([None, 1.0, 1.0, 0.0, None, 1.0, -1.0, 1.0])] + [("B", 0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp int, signal double")
+    entry, exit_ = W.edges("signal")
+    found = {(r["symbol"], r["timestamp"]): (r["a"], r["b"]) for r in df.select("symbol", "timestamp", entry.alias("a"), exit_.alias("b")).collect()}
+    assert {k for k, v in found.items() if v[0]} == {("A", 1), ("A", 5), ("A", 7), ("B", 0)}
+    assert {k for k, v in found.items() if v[1]} == {("A", 3), ("A", 6)}
+    assert sorted((r["symbol"], r["timestamp"]) for r in W.last_rows(df, 2).collect()) == [("A", 6), ("A", 7), ("B", 0)]
+
+
+def test_search_draws_around_the_best(spark, panel):
+    found = sweeps.search(panel, trials=6, seed=3)
+    assert found.select("trial").distinct().count() == 6 and found.count() == 18
+    again = sweeps.search(panel, trials=6, seed=3)
+    key = lambda df: sorted((r["symbol"], r["trial"], r["fast"], r["slow"], r["rsi_floor"], r["z_entry"]) for r in df.collect())
+    assert key(found) == key(again)
+    near = sweeps.near_params(spark, [(5, 250, 30.0, -1.0)], 40, 7).collect()
+    assert [r["trial"] for r in near] == list(range(7, 47)) and all(5 <= r["fast"] <= 50 and 60 <= r["slow"] <= 250 and 30 <= r["rsi_floor"] <= 55 and -1 <= r["z_entry"] <= 1.5 for r in near)
+    front = sweeps.pareto_front(sweeps.search(panel, trials=4, seed=3, aims=2), ["symbol"]).collect()
+    assert front and all(not any(o["symbol"] == f["symbol"] and o["sharpe"] > f["sharpe"] and abs(o["max_drawdown"]) < abs(f["max_drawdown"]) for o in front) for f in front)
+
+
+def test_panel_folds_leave_no_training_rows_between_test_dates(spark):
+    a, b = ([(s, d, 0.0) for d in range(*span)] for s, span in (("A", (0, 60)), ("B", (30, 90))))
+    rows = learning.panel_folds(spark.createDataFrame(a + b, "symbol string, timestamp int, x double"), 3, 4, 0.05).collect()
+    assert len(rows) == 360
+    for k in range(3):
+        test = {r["timestamp"] for r in rows if r["fold"] == k and r["role"] == "test"}
+        train = {r["timestamp"] for r in rows if r["fold"] == k and r["role"] == "train"}
+        assert test == set(range(30 * k, 30 * k + 30)) and not train & set(range(30 * k - 4, 30 * k + 34))
+    split = learning.panel_split(spark.createDataFrame(a + b, "symbol string, timestamp int, x double"), 0.2).collect()
+    assert all(r["is_test"] == (r["timestamp"] >= 72) for r in split)
+
+
+def test_scores_against_pairs(spark):
+    rows = [(0.9, 1.0), (0.9, 0.0), (0.2, 0.0), (0.6, 1.0), (0.4, 1.0), (0.2, 1.0)]
+    found = learning.scores(spark.createDataFrame(rows, "proba double, label double")).first()
+    pairs = [1.0 if a > b else 0.5 if a == b else 0.0 for a, y in rows for b, z in rows if y == 1 and z == 0]
+    assert found["n"] == 6 and found["accuracy"] == pytest.approx(3 / 6) and found["auc"] == pytest.approx(sum(pairs) / len(pairs))
+    assert learning.scores(spark.createDataFrame(rows[:1], "proba double, label double")).first()["auc"] is None
+
+
+def test_functions_in_one_plan(panel):
+    df = indicators.add_indicators(panel, [("RSI", {"timeperiod": 5}), ("BBANDS", {}), ("STOCH", {})])
+    assert df.columns[len(panel.columns) :] == ["BBANDS_upperband", "BBANDS_middleband", "BBANDS_lowerband", "STOCH_slowk", "STOCH_slowd", "RSI_real"]
+    bars = df.filter("symbol = 'AAA'").orderBy("timestamp").toPandas()
+    k = 100 * (bars["close"] - bars["low"].rolling(14).min()) / (bars["high"].rolling(14).max() - bars["low"].rolling(14).min())
+    np.testing.assert_allclose(bars["STOCH_slowd"].to_numpy(float), k.rolling(3).mean().rolling(3).mean().to_numpy())
+    with pytest.raises(ValueError):
+        indicators.add_indicators(panel, [("RSI", {"timeperiod": 5}), ("RSI", {"timeperiod": 9})])

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from barlume.plans import catalogue
+from barlume.plans import catalogue, services  # noqa: F401
 from tests.conftest import DATA
 
 SF = DATA / "sf0.001"
