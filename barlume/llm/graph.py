@@ -26,14 +26,15 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str, most: in
     before = None
     for k in range(1, most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that the join has plain shuffles on both sides: those are what a hub's rows can be split over
+        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}least{k}")
         # each larger neighbour u of v goes to the smallest of v and its neighbours
         large = edges.join(least.select(F.col("u").alias("v"), "m"), "v").select("u", F.least("v", "m").alias("v"))
         large = large.distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = scratch.put(small.filter("u <> v").distinct(), f"{name}{k}")
-        scratch.drop(f"{name}{k - 1}")
+        scratch.drop(f"{name}{k - 1}", f"{name}least{k}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

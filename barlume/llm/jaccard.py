@@ -293,13 +293,13 @@ def search(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> lis
     return sorted(i for i, n in found.items() if n >= need[i])
 
 
-def verify(classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def verify(classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs of classes (a, b) that link. ``a`` is the probe: the side with more candidates, as far as is known."""
-    many = pairs.groupBy("a").agg(F.count("*").alias("held")).filter(F.col("held") > BLOCK)
+    many = scratch.put(pairs.groupBy("a").agg(F.count("*").alias("held")).filter(F.col("held") > BLOCK), f"many-{name}")
     blocks = pairs.join(many, "a", "left").select("a", "b", F.when(F.col("held").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("held") / BLOCK))).cast("int").alias("block"))
     probes = blocks.groupBy("a", "block").agg(F.lit(False).alias("tried")).select(F.col("a").alias("class"), "a", "block", "tried")
     wanted = blocks.select(F.col("b").alias("class"), "a", "block", F.lit(True).alias("tried")).unionByName(probes)
-    rows = classes.select("class", "packed").join(wanted, "class").select("a", "block", "tried", "class", "packed")
+    rows = classes.select("class", "packed").join(wanted.hint("merge"), "class").select("a", "block", "tried", "class", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, probe, ids, sets = None, None, [], []
@@ -341,29 +341,34 @@ def classes_and_roots(docs: DataFrame, words: int, num: int, den: int, scratch:
     signed = scratch.put(sign(docs, words, num, den, count_shingles(docs, words)), "signed")
     same = [F.any_value(c).alias(c) for c in ("n_shingles", "central", "prefix", "packed")]
     classes = scratch.put(signed.filter("set_key IS NOT NULL").groupBy("set_key").agg(*same).withColumn("class", F.monotonically_increasing_id()), "classes")
+    rows = scratch.put(signed.select("doc_id", "digest", "n_shingles", "set_key"), "rows")
+    scratch.drop("signed")  # the classes have texts and prefixes once
     lists = scratch.put(inverted_lists(classes, num, den), "lists")
     near = lists.select("class", F.col("central").alias("class_central"), F.explode("near").alias("o")).select("class", "class_central", F.col("o.class").alias("other"), F.col("o.central").alias("other_central"))
     tried = scratch.put(near.select(*_directed("class", "other")).distinct(), "tried")
-    links = scratch.put(verify(classes, tried, words, num, den), "links")
+    links = scratch.put(verify(classes, tried, words, num, den, scratch, "tried"), "links")
     joined = connected_components(links, scratch, "first")
 
     # all pairs in a list across the components found so far
-    sets = lists.drop("near").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # the joins over lists are alike at every size: merged, so that a hot key can be split
+    sets = lists.drop("near").join(joined.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     sets = scratch.put(sets, "sets")
-    open_ = sets.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle")
-    mixed = scratch.put(sets.join(open_, "shingle", "left_semi"), "mixed")
+    scratch.drop("lists")
+    open_ = scratch.put(sets.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle"), "open")
+    mixed = scratch.put(sets.join(open_.hint("merge"), "shingle", "left_semi"), "mixed")
+    scratch.drop("sets", "open")
     other = mixed.select("shingle", F.col("class").alias("other"), F.col("n").alias("o_n"), F.col("place").alias("o_place"), F.col("central").alias("other_central"), F.col("root").alias("o_root"))
     mine = mixed.withColumnRenamed("central", "class_central")
     fits = f"{num + den} * least(n - place, o_n - o_place) >= {num} * (n + o_n) AND {den} * least(n, o_n) >= {num} * greatest(n, o_n)"
-    across = mine.join(other, "shingle").filter(f"class < other AND root <> o_root AND {fits}").select(*_directed("class", "other")).distinct()
+    across = mine.join(other.hint("merge"), "shingle").filter(f"class < other AND root <> o_root AND {fits}").select(*_directed("class", "other")).distinct()
     rest = scratch.put(across.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = scratch.put(verify(classes, rest, words, num, den), "more")
+    more = scratch.put(verify(classes, rest, words, num, den, scratch, "rest"), "more")
     star = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
     joined = connected_components(star.unionByName(more), scratch, "second")
     roots = classes.select("set_key", "class").join(joined.withColumnRenamed("node", "class"), "class", "left").select("set_key", F.coalesce("root", "class").alias("root"))
     roots = scratch.put(roots, "roots")
-    scratch.drop("classes", "lists", "sets", "mixed", "tried", "rest", "links", "more")
-    return signed.select("doc_id", "digest", "n_shingles", "set_key"), roots
+    scratch.drop("classes", "mixed", "tried", "many-tried", "many-rest", "rest", "links", "more")
+    return rows, roots
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -373,7 +378,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     named = docs.filter("doc_id IS NOT NULL").select("doc_id", "digest", "text")
     signed, roots = classes_and_roots(named, words, num, den, scratch)
     held = signed.filter("set_key IS NOT NULL").select("doc_id", "set_key").distinct().join(roots, "set_key").select("doc_id", "root")
-    least = held.groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = scratch.put(held.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     of = scratch.put(held.join(least, "root").select("doc_id", "least").distinct(), "of")
     found = of.groupBy("doc_id").agg(F.min("least").alias("component_id"))
     # a doc_id with several texts ties their components together
