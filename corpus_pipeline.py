@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and reread as the next stage's docs. All but the last
 return the columns of documents. Classifiers are trained on the labelled
 documents of ``sf_dir``.
+
+Edge cases: a null or empty text fails the base rules of the first stage, so it
+goes; documents without doc_id are judged like others, stand behind those with one
+where near copies are told apart, and get equal numbers of copies in the mixture;
+rows that repeat a doc_id with other texts are documents of their own, equal rows
+one; a row without a source is of a source of its own. Very long texts are read
+whole. An empty table gives an empty result. Further columns, whatever their names,
+go along up to the last stage.
 """
 
 from __future__ import annotations
