@@ -3,9 +3,11 @@
 DataFrame functions only. Units are the lines of a text (headers), the whole
 text (licence files) and, for headers wrapped over lines, from each line on as
 many lines as it takes to reach a template's number of terms. A unit's vector is term counts times idf; idf is
-taken from the document frequencies of all terms over all documents. The best
-template with cosine of at least ``threshold`` is a document's own licence
-(ties: first name).
+taken from the document frequencies of all terms over all documents. Templates
+are notices, by which files state a licence, and whole licence texts. A unit
+with a cosine of at least ``TEXT_THRESHOLD`` to a licence text has that licence;
+else the best template with a cosine of at least ``threshold`` is a document's
+own licence (ties: first name).
 
 Terms that no template can do without are worked out from the idf values: by
 the Cauchy-Schwarz inequality a unit that shares only other terms with a
@@ -22,6 +24,7 @@ empty table; of several licence files in a directory the best match counts.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -30,46 +33,100 @@ from pyspark.sql import functions as F
 
 from barlume.llm.common import Scratch
 
-THRESHOLD = 0.6
+THRESHOLD, TEXT_THRESHOLD = 0.6, 0.8
 TERM = "[a-z0-9]+"
-# Notices by which files state widespread licences.
+# Notices by which files state widespread licences. A name's second notice ends in a space.
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation{} either version {} of the License"
 TEMPLATES = {
+    "AGPL-3.0": "This program is free software: " + _GNU.format("Affero General Public", ",", "3"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 ": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-4.0 ": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-4.0 ": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-SA-4.0 ": "Licensed under CC BY-SA 4.0",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-2.0 ": "This program is free software; " + _GNU.format("General Public", ";", "2"),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0 ": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "GPL-3.0 ": "This program is free software: " + _GNU.format("General Public", ",", "3"),
+    "LGPL-2.1": "This library is free software; " + _GNU.format("Lesser General Public", ";", "2.1"),
+    "LGPL-3.0": "This program is free software: " + _GNU.format("Lesser General Public", ",", "3"),
+    "LGPL-3.0 ": "GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",
     "MIT ": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+# Whole texts of short licences, without title and holder.
+_BSD = (
+    TEMPLATES["BSD-3-Clause"] + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_NO_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC_END = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+    "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+TEXTS = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_END,
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + _NO_NAMES + _BSD_END,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_END,
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+    "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+    "this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+    "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly "
+    "marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
 
 
 def terms_of(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
-def _map(values: dict[str, float]) -> Column:
-    return F.create_map(*(F.lit(x) for item in values.items() for x in item))
+def _templates(notices: dict[str, str], texts: dict[str, str]) -> list[tuple[str, str, bool]]:
+    """(name, text, whether it is a licence text): notices first, each kind by name."""
+    both = [(name.strip(), text, False) for name, text in sorted(notices.items())] + [(name, text, True) for name, text in sorted(texts.items())]
+    return [x for x in both if terms_of(x[1])]
+
+
+def _constant(value: object, kind: str) -> Column:
+    """A constant of a nested type, as one small expression."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _needed(vectors: dict[str, dict[str, float]], df: dict[str, int], threshold: float) -> list[str]:
+def _needed(vectors: list[dict[str, float]], df: dict[str, int], threshold: float) -> list[str]:
     """The templates' terms without the commonest ones that, all shared, still leave every cosine below the threshold."""
     common: set[str] = set()
     for term in sorted(df, key=lambda t: (-df[t], t)):
         tried = common | {term}
-        if any(sum(w * w for t, w in v.items() if t in tried) >= 0.999 * threshold**2 * sum(w * w for w in v.values()) for v in vectors.values()):
+        if any(sum(w * w for t, w in v.items() if t in tried) >= 0.999 * threshold**2 * sum(w * w for w in v.values()) for v in vectors):
             break
         common = tried
     return sorted(set(df) - common)
 
 
-def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def own_licenses(docs: DataFrame, notices: dict[str, str] = TEMPLATES, texts: dict[str, str] = TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, own, similarity) of each row of ``docs`` (doc_id, path, text); own is null where nothing matches."""
-    counts = {name: {t: terms.count(t) for t in terms} for name, text in sorted(templates.items()) if (terms := terms_of(text))}
-    vocabulary = sorted({t for c in counts.values() for t in c})
+    templates = _templates(notices, texts)
+    counts = [{t: bag.count(t) for t in bag} for bag in (terms_of(text) for _, text, _ in templates)]
+    vocabulary = sorted({t for c in counts for t in c})
     terms = lambda text: F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     n = docs.count()
@@ -78,16 +135,16 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     # one row a term of the templates: their number is bounded by the parameter
     df = {t: 0 for t in vocabulary} | {r["t"]: r["df"] for r in stand.filter(F.col("t").isin(vocabulary)).collect()}
     idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}
-    vectors = {name: {t: k * idf[t] for t, k in c.items()} for name, c in counts.items()}
+    vectors = [{t: k * idf[t] for t, k in c.items()} for c in counts]
     needed = F.array(*map(F.lit, _needed(vectors, df, threshold)))
 
     # a row is known by its id, its path and its text's hash: rows alike in all three are judged as one
     keys = ["doc_id", "path", "digest"]
     keyed = docs.select("doc_id", "path", F.xxhash64("text").alias("digest"), "text")
     hits = keyed.filter(F.arrays_overlap(terms(F.col("text")), needed)).dropDuplicates(keys)
-    lengths = sorted({sum(c.values()) for c in counts.values()})
+    lengths = sorted({sum(c.values()) for c, (_, _, whole) in zip(counts, templates, strict=True) if not whole}) or [1]
     lines = hits.select(*keys, "text", F.filter(F.transform(F.split("text", "\n"), terms), lambda x: F.size(x) > 0).alias("lines"))
-    # from each line on: no more lines than the longest template has terms; the whole text last
+    # from each line on: no more lines than the longest notice has terms; the whole text last
     ahead = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.slice("lines", i, lengths[-1]))
     starts = lines.select(*keys, F.posexplode(F.array_append(ahead, F.array(F.flatten("lines")))).alias("start", "ahead")).filter(F.arrays_overlap(F.flatten("ahead"), needed))
     reach = F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda k: F.size(F.flatten(F.slice("ahead", 1, k))))
@@ -99,12 +156,22 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     units = units.select(*keys, F.struct("start", "run").alias("unit"), "terms")
     counted = units.select(*keys, "unit", F.explode("terms").alias("t")).groupBy(*keys, "unit", "t").agg(F.count("*").alias("tf"))
     weighed = counted.join(stand, "t").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
-    sizes = [math.sqrt(sum(w * w for w in v.values())) for v in vectors.values()]
-    dots = [F.sum(F.col("w") * F.coalesce(F.element_at(_map(v), F.col("t")), F.lit(0.0))).alias(f"dot{i}") for i, v in enumerate(vectors.values())]
-    vector = weighed.groupBy(*keys, "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
-    # of equal cosines the first name wins
-    each = [F.struct(F.round(F.col(f"dot{i}") / F.lit(length) / F.col("norm"), 6).alias("similarity"), F.lit(-i).alias("order"), F.lit(name.strip()).alias("own")) for i, (name, length) in enumerate(zip(vectors, sizes, strict=True))]
-    best = vector.groupBy(*keys).agg(F.max(F.array_max(F.array(*each))).alias("best")).filter(F.col("best.similarity") >= threshold)
+    # a term's weight in each template that has it; -1 stands for the unit itself
+    held = {t: [{"i": i, "v": v[t]} for i, v in enumerate(vectors) if t in v] for t in vocabulary}
+    held = _constant(held, "map<string,array<struct<i:int,v:double>>>")
+    pairs = F.array_prepend(F.coalesce(F.element_at(held, F.col("t")), F.array()), F.struct(F.lit(-1).alias("i"), F.col("w").alias("v")))
+    dots = weighed.select(*keys, "unit", "w", F.inline(pairs)).groupBy(*keys, "unit", "i").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    vector = dots.groupBy(*keys, "unit").agg(F.sqrt(F.max(F.when(F.col("i") < 0, F.col("dot")))).alias("norm"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "dot"))).alias("dots"))
+    # a licence text goes before notices; of equal cosines the first name wins
+    known = [{"size": math.sqrt(sum(w * w for w in v.values())), "name": name, "text": whole} for v, (name, _, whole) in zip(vectors, templates, strict=True)]
+    known = _constant(known, "array<struct<size:double,name:string,text:boolean>>")
+
+    def judged(d: Column) -> Column:
+        of = known[d["i"]]
+        cosine = F.round(d["dot"] / of["size"] / F.col("norm"), 6)
+        return F.struct((of["text"] & (cosine >= TEXT_THRESHOLD)).alias("whole"), cosine.alias("similarity"), (-d["i"]).alias("order"), of["name"].alias("own"))
+
+    best = vector.groupBy(*keys).agg(F.max(F.array_max(F.transform("dots", judged))).alias("best")).filter(F.col("best.similarity") >= threshold)
     found = best.select(*(F.col(k).alias(f"own_{k}") for k in keys), "best.own", "best.similarity")
     alike = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys]
     return keyed.drop("text").join(found, alike, "left").select("doc_id", "path", "own", "similarity")
@@ -116,12 +183,12 @@ def _parents(directory: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), F.array(F.lit(""))))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, texts: dict[str, str] = TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, license, origin, similarity) of each row of ``docs`` (doc_id, path, text).
 
     origin: ``own``, ``inherited`` or ``none``; similarity is that of the own match, else 0.
     """
-    own = own_licenses(docs.select("doc_id", "path", "text"), templates, threshold)
+    own = own_licenses(docs.select("doc_id", "path", "text"), notices, texts, threshold)
     # texts are scanned once: what is left is a short row each
     own = Scratch(docs.sparkSession, "licenses").put(own.withColumn("directory", F.regexp_replace("path", "/?[^/]*$", "")), "own")
     is_file = F.regexp_extract("path", "[^/]*$", 0).rlike("(?i)^(licen[cs]e|copying|notice)")
@@ -137,31 +204,31 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     )
 
 
-def scan_sql(table: str, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The scan in DuckDB SQL, relationally, without the shortcuts. ``table``: a query for doc_id, path, text.
-
-    It differs in two things: a term of no template counts as in one document, so a
-    unit with other words than a template's has a lower similarity here; and runs of
-    lines are no units.
-    """
-    rows = ", ".join("({}, {}, '{}')".format(f"'{name.strip()}'", i, text.replace("'", "''")) for i, (name, text) in enumerate(sorted(templates.items())))
+def scan_sql(table: str, notices: dict[str, str] = TEMPLATES, texts: dict[str, str] = TEXTS, threshold: float = THRESHOLD) -> str:
+    """The scan in DuckDB SQL, relationally, without the shortcuts. ``table``: a query for doc_id, path, text."""
+    rows = ", ".join("('{}', {}, {}, '{}')".format(name, i, whole, text.replace("'", "''")) for i, (name, text, whole) in enumerate(_templates(notices, texts)))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, path, coalesce(text, '') AS text FROM ({table})),
-templates(name, i, text) AS (VALUES {rows}),
-tpl AS (SELECT name, i, t, count(*) AS tf FROM (SELECT name, i, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM templates) GROUP BY ALL),
-vocab AS (SELECT DISTINCT t FROM tpl),
+templates(name, i, whole, text) AS (VALUES {rows}),
+tpl AS (SELECT name, i, whole, t, count(*) AS tf FROM (SELECT name, i, whole, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM templates) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM docs),
-df AS (SELECT t, count(DISTINCT r) AS df FROM (SELECT r, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM docs) JOIN vocab USING (t) GROUP BY t),
-idf AS (SELECT t, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM vocab LEFT JOIN df USING (t), n),
-tw AS (SELECT name, i, t, tf * idf AS w FROM tpl JOIN idf USING (t)),
+lines AS (SELECT r, terms, row_number() OVER (PARTITION BY r ORDER BY k) AS ln, sum(len(terms)) OVER (PARTITION BY r ORDER BY k) AS upto
+          FROM (SELECT r, k, regexp_extract_all(lower(line), '{TERM}') AS terms FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs)) WHERE len(terms) > 0),
+words AS (SELECT r, ln, t, count(*) AS tf FROM (SELECT r, ln, unnest(terms) AS t FROM lines) GROUP BY ALL),
+idf AS (SELECT t, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT t FROM tpl UNION SELECT t FROM words) LEFT JOIN (SELECT t, count(DISTINCT r) AS df FROM words GROUP BY t) USING (t), n),
+tw AS (SELECT name, i, whole, t, tf * idf AS w FROM tpl JOIN idf USING (t)),
 tlen AS (SELECT i, sqrt(sum(w * w)) AS len FROM tw GROUP BY i),
-units AS (SELECT r, unnest(list_distinct(list_append(string_split(text, chr(10)), text))) AS unit FROM docs),
-terms AS (SELECT r, unit, t, count(*) AS tf FROM (SELECT r, unit, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS t FROM units) GROUP BY ALL),
-uw AS (SELECT r, unit, t, tf * coalesce(idf, ln((1 + n)::DOUBLE / 2) + 1) AS w FROM terms LEFT JOIN idf USING (t), n),
-ulen AS (SELECT r, unit, sqrt(sum(w * w)) AS len FROM uw GROUP BY r, unit),
-cosine AS (SELECT uw.r, uw.unit, tw.name, tw.i, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (t) GROUP BY ALL),
-best AS (SELECT r, name AS own, round(dot / tlen.len / ulen.len, 6) AS similarity FROM cosine JOIN tlen USING (i) JOIN ulen USING (r, unit)
-         QUALIFY row_number() OVER (PARTITION BY r ORDER BY round(dot / tlen.len / ulen.len, 6) DESC, i) = 1),
+sizes AS (SELECT DISTINCT k FROM (SELECT sum(tf)::BIGINT AS k FROM tpl WHERE NOT whole GROUP BY i) UNION SELECT 1),
+last AS (SELECT r, max(ln) AS last FROM lines GROUP BY r),
+ends AS (SELECT a.r, a.ln AS head, k, min(b.ln) AS tail FROM lines a, sizes JOIN lines b ON b.r = a.r AND b.ln BETWEEN a.ln AND a.ln + k AND b.upto - a.upto + len(a.terms) >= k GROUP BY ALL),
+units AS (SELECT a.r, a.ln AS head, coalesce(e.tail, l.last) AS tail FROM lines a CROSS JOIN sizes s JOIN last l ON l.r = a.r LEFT JOIN ends e ON e.r = a.r AND e.head = a.ln AND e.k = s.k
+          UNION SELECT r, 1, last FROM last),
+uw AS (SELECT u.r, head, tail, w.t, sum(tf) * any_value(idf) AS w FROM units u JOIN words w ON w.r = u.r AND w.ln BETWEEN head AND tail JOIN idf ON idf.t = w.t GROUP BY u.r, head, tail, w.t),
+ulen AS (SELECT r, head, tail, sqrt(sum(w * w)) AS len FROM uw GROUP BY ALL),
+dots AS (SELECT uw.r, head, tail, tw.name, tw.i, tw.whole, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (t) GROUP BY ALL),
+cosine AS (SELECT r, name, i, whole, round(dot / tlen.len / ulen.len, 6) AS similarity FROM dots JOIN tlen USING (i) JOIN ulen USING (r, head, tail)),
+best AS (SELECT r, name AS own, similarity FROM cosine
+         QUALIFY row_number() OVER (PARTITION BY r ORDER BY whole AND similarity >= {TEXT_THRESHOLD} DESC, similarity DESC, i) = 1),
 own AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS directory, CASE WHEN similarity >= {threshold} THEN own END AS own, CASE WHEN similarity >= {threshold} THEN similarity END AS similarity
         FROM docs d LEFT JOIN best USING (r)),
 given AS (SELECT directory AS above, arg_max(own, (similarity, own)) AS given FROM own
