@@ -35,7 +35,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     """A row for each block."""
     flat = [b for page in pages for b in page]
     if not flat:
-        return np.zeros((0, len(ANCESTORS) + 18))
+        return np.zeros((0, len(ANCESTORS) + 21))
     mask = np.array([b.mask for b in flat], np.uint64)
     above = (mask[:, None] >> _BITS & np.uint64(1)).astype(float)
     off, in_ = (mask & np.uint64(_OFF)) > 0, (mask & np.uint64(_IN)) > 0
@@ -49,7 +49,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     place = np.concatenate([(np.arange(len(p)) + 0.5) / len(p) for p in pages if p])
     more = [
         np.ones(len(flat)), off, in_, in_ & ~off, ~in_ & ~off, words <= 2, (words > 2) & (words <= 6), (words > 6) & (words <= 20), words > 20,
-        linked > 0.3, linked > 0.8, ended, marked, heading, prose, prose & ~off & ~in_, place < 0.15, place > 0.85,
+        linked > 0.3, linked > 0.8, ended, marked, heading, prose, prose & ~off & ~in_, off & in_, off & prose, off & ended, place < 0.15, place > 0.85,
     ]
     return np.concatenate((above, np.stack(more, 1).astype(float)), 1)
 
@@ -57,7 +57,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
 def fit(pages: list[tuple[list[Block], list[bool]]]) -> crf.Chain:
     pages = [p for p in pages if p[0]]
     labels = np.array([m for _, marks in pages for m in marks], int)
-    return crf.train(features([p for p, _ in pages]), labels, np.array([len(p) for p, _ in pages], np.int64), rounds=200)
+    return crf.train(features([p for p, _ in pages]), labels, np.array([len(p) for p, _ in pages], np.int64), rounds=300, penalty=1e-4)
 
 
 @cache

@@ -58,13 +58,18 @@ class _Page:
                 out.append(self.noise(inside=True))
         return "".join(out)
 
+    def boxed(self) -> str:
+        """Some prose, in a paragraph or not."""
+        return f"<p>{self.prose(1, 2)}</p>" if self.rng.random() < 0.5 else self.prose(1, 2)
+
     def links(self, n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{self.words(1, 2)}</a></li>' for i in range(n)) + "</ul>"
 
     def noise(self, inside: bool = False) -> str:
         r = self.rng
         kinds = {
-            "advert": lambda: f'<div class="{r.choice(["ad", "ads", "advert", "sponsored", "promo box"])}">{self.prose(1, 2)}</div>',
+            "advert": lambda: f'<div class="{r.choice(["ad", "ads", "advert", "sponsored", "promo box"])}">{self.boxed()}</div>',
+            "scriptless": lambda: f"<noscript>{self.boxed()}</noscript>",
             "side": lambda: f"<aside><h3>{self.words(1, 3)}</h3><p>{self.prose(1, 2)}</p>{self.links(3)}</aside>",
             "widget": lambda: f'<div class="{r.choice(["sidebar", "widget", "related", "recommended"])}"><h3>{self.words(1, 3)}</h3><p>{self.prose(1, 2)}</p></div>',
             "notice": lambda: f'<div {r.choice(["class", "id"])}="{r.choice(["cookie-notice", "consent", "popup", "alert notice"])}"><p>{self.prose(1, 3)}</p></div>',

@@ -37,3 +37,19 @@ def test_stages(spark):
     encoder = bpe.Encoder(bpe.load())
     assert all(encoder.encode([rows[r["doc_id"]] or ""])[0].tolist() == r["ids"] for r in coded[:50])
     assert P.run(spark, str(SF)).count() == len(P.run(spark, str(SF)).collect())
+
+
+def test_edge_cases(spark, docs, none, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, clashing columns, an empty table: through all stages."""
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    for k, table in enumerate((docs, none)):
+        table.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        out = spark.read.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for name, stage in P.STAGES[:4]:
+            out = stage(spark, out, f"{tmp_path}/{k}")
+            assert out.columns == docs.columns, name
+        coded = P.run(spark, f"{tmp_path}/{k}").collect()
+        assert len(coded) == out.count() and (len(coded) > 0) == (k == 0)
+        encoder, texts = bpe.Encoder(bpe.load()), [r["text"] for r in docs.collect() if r["text"]]
+        assert {tuple(r["ids"]) for r in coded} <= {tuple(encoder.encode([t])[0].tolist()) for t in texts}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import textwrap
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -16,6 +17,7 @@ from barlume.llm import bpe, chat, html_extract, licenses, mixing
 from barlume.llm.html_blocks import _HIDDEN, blocks
 from barlume.llm.html_pages import labelled
 from tests.llm.conftest import rows
+from tests.llm.pages_by_hand import PAGES
 
 # HTML
 
@@ -89,6 +91,14 @@ def test_held_out_pages():
     assert (found == marks).mean() > 0.98
 
 
+def test_pages_written_by_hand():
+    """Block F1 over layouts that the generator doesn't make."""
+    found = html_extract.main_texts(html_extract.trained(), [page for page, _ in PAGES])
+    got, want = [Counter(filter(None, text.split("\n"))) for text in found], [Counter(blocks_) for _, blocks_ in PAGES]
+    right = sum(sum((g & w).values()) for g, w in zip(got, want, strict=True))
+    assert 2 * right / sum(sum(c.values()) for c in got + want) > 0.97
+
+
 # Chat
 
 pieces = st.sampled_from([*"ab\\[]/<>sINSTROLEU \n", "[INST]", "[/INST]", "<s>", "</s>", "[TURN]", "[/ROLE]", "[", "<"])
@@ -257,11 +267,7 @@ def test_licenses(spark):
         1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "inherited"), 5: ("Apache-2.0", "own"), 6: (None, "none"), 7: ("MIT", "own"),
         8: (None, "none"), 9: ("MIT", "inherited"), 10: (None, "none"), 11: (None, "none"), 12: ("GPL-3.0", "inherited"),
     }
-    c = duckdb.connect()
-    c.execute("CREATE TABLE t (doc_id BIGINT, path VARCHAR, text VARCHAR)")
-    c.executemany("INSERT INTO t VALUES (?, ?, ?)", table)
-    want = {(r[0], r[2], r[3], r[4]) for r in c.sql(licenses.scan_sql("SELECT * FROM t")).fetchall()}
-    assert {(r["doc_id"], r["license"], r["origin"], r["similarity"]) for r in licenses.scan(df).collect()} == want
+    assert {(r["doc_id"], r["license"], r["origin"], r["similarity"]) for r in licenses.scan(df).collect()} == set(_sql(table))
     assert licenses.scan(df.limit(0)).count() == 0
     plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -283,5 +289,25 @@ def test_licenses_wrapped_over_lines(spark):
     wrapped = {name: "\n".join(textwrap.wrap(licenses.TEMPLATES[name], 24, initial_indent="# ", subsequent_indent="# ")) for name in ("MIT ", "BSD-3-Clause", "GPL-3.0 ")}
     prose = "\n".join(f"{a} walked along the {b} river and saw nothing\n" for a, b in zip("abcdefghij", "klmnopqrst", strict=True))
     table = [(i, f"d/{i}.txt", f"{prose}{w}\n{prose}") for i, w in enumerate(wrapped.values())] + [(i, f"d/{i}.txt", prose) for i in range(3, 30)]
-    found = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(table, "doc_id long, path string, text string")).collect()}
+    out = licenses.scan(spark.createDataFrame(table, "doc_id long, path string, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["origin"], r["similarity"]) for r in out) == _sql(table)
+    found = {r["doc_id"]: (r["license"], r["origin"]) for r in out}
     assert found == {i: (name.strip(), "own") for i, name in enumerate(wrapped)} | {i: (None, "none") for i in range(3, 30)}
+
+
+def _sql(table):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t (doc_id BIGINT, path VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO t VALUES (?, ?, ?)", table)
+    return sorted(c.sql(f"SELECT doc_id, license, origin, similarity FROM ({licenses.scan_sql('SELECT * FROM t')})").fetchall())
+
+
+def test_licence_files(spark):
+    holder = "The {} Licence\n\nCopyright (c) 2019 Ada Muster and others\n\n"
+    files = [(name, holder.format(name) + "\n".join(textwrap.wrap(text, width))) for name, text in licenses.TEXTS.items() for width in (72, 1000)]
+    files += [(name.strip(), f"/*\n{textwrap.fill(text, 60, initial_indent=' * ', subsequent_indent=' * ')}\n */\nint main(int argc) {{ return {i}; }}\n" * 2) for i, (name, text) in enumerate(licenses.TEMPLATES.items())]
+    prose = [(None, f"{a} walked along the river with {b} and it was a use of the time\nno conditions were set") for a, b in zip("abcdefghijkl", "mnopqrstuvwx", strict=True)]
+    table = [(i, f"p{i}/LICENSE", text) for i, (_, text) in enumerate(files + prose)]
+    out = licenses.scan(spark.createDataFrame(table, "doc_id long, path string, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in out} == {i: name for i, (name, _) in enumerate(files + prose)}
+    assert sorted((r["doc_id"], r["license"], r["origin"], r["similarity"]) for r in out) == _sql(table)
