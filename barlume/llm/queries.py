@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlume.llm import bpe, chat, html_extract, jaccard, langid, licenses, mixing, quality, topk, toxicity
-from barlume.llm.common import table
+from barlume.llm import alignment, bpe, chat, collocations, html_extract, jaccard, langid, licenses, mixing, quality, token_files, topk, toxicity
+from barlume.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), Scratch(spark, "tokens")))
+
+
 TOPK_SQL = """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -86,12 +98,16 @@ CHATS = "SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op2_html_extraction, op3_source_mixing, op4_chat_formatting, op5_language_id, op6_bpe, op7_toxicity, op8_license_scan, op9_ngram_jaccard, op10_quality_rules)}
+    found = (
+        op1_topk_search, op2_html_extraction, op3_source_mixing, op4_chat_formatting, op5_language_id, op6_bpe, op7_toxicity, op8_license_scan, op9_ngram_jaccard, op10_quality_rules,
+        op11_tokenizer_alignment, op12_phrase_collocations, op13_token_files,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result; the others are tested against brute force in tests/llm."""
     return {
         "op1_topk_search": TOPK_SQL, "op3_source_mixing": mixing.mix_sql(), "op4_chat_formatting": chat.read_back_sql(CHATS), "op8_license_scan": licenses.scan_sql(PATHS + "documents"),
-        "op9_ngram_jaccard": jaccard.components_sql(),
+        "op9_ngram_jaccard": jaccard.components_sql(), "op12_phrase_collocations": collocations.collocations_sql(),
     }
