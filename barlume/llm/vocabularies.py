@@ -21,11 +21,17 @@ from barlume.llm.bpe import LOWER, YOUNG, byte_alphabet
 
 # Fixed value: the pattern that splits a text before the merges of byte-level files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A run of one kind that is as long goes to the library: the rank encoder's time in such runs, and its stack, are no one's promise.
-LONG_RUN = regex.compile(r"\s{5000}|[\p{L}]{20000}|[\p{N}]{20000}|[^\s\p{L}\p{N}]{20000}").search
 _YOUNG = regex.compile(f"[{''.join(f'\\U{a:08x}-\\U{b:08x}' for a, b in YOUNG)}{''.join(map(chr, LOWER))}\\U00020000-\\U0010ffff]").search
 
 
+def _unknown(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return _YOUNG(text) is not None
+
+
 def joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All ids, one text after another, and where each text's begin and end."""
     bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))).astype(np.int64)
@@ -56,9 +62,12 @@ class ByteLevel:
         self._special = set(added) if special else set()
 
     def _one(self, text: str) -> np.ndarray:
-        if not (text.isascii() or not _YOUNG(text)) or len(text) >= 5000 and LONG_RUN(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self._ranked.encode_to_numpy(text, allowed_special=self._special, disallowed_special=())
+        if not _unknown(text):
+            try:
+                return self._ranked.encode_to_numpy(text, allowed_special=self._special, disallowed_special=())
+            except ValueError:  # a run of white space beyond its stack
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return joined([self._one(t) for t in texts])
