@@ -2,13 +2,15 @@
 
 1. Texts are split into pieces at punctuation; pieces alike in language and words
    become one with a multiplicity, added up before the shuffle.
-2. A task turns its pieces into weighted word sequences of one to three words,
-   adds up those of a chunk, and deals them to buckets by the hash of their words,
-   packed as columns with a dictionary of words.
+2. A task turns its pieces into weighted word sequences, first of one word, then of
+   two, then of three, adds up those of a chunk, and deals them to buckets by the
+   hash of their words, packed as columns with a dictionary of words.
 3. For each bucket duckdb adds up the weights. It streams the rows in and spills
    beyond its memory limit, so a bucket may be larger than memory. A phrase's parts
-   count as often as the phrase at least, so nothing under the least count is needed
-   any more.
+   count as often as the phrase at least, so what is under the least count is needed
+   no more, and only sequences whose parts reach it are dealt out a word further on:
+   a task knows those by a filter of bits, of bounded size, that passes all of them
+   and a few others (all, where a corpus has far more frequent words than bits).
 4. Each candidate asks for the counts of its parts: requests are shuffled to the
    counts, answers back to the candidates. Requests for a frequent word can be split
    over tasks, since a count is one row.
@@ -45,7 +47,9 @@ from barlume.llm.common import Scratch, chunks, shared_dir
 ENDS = r"[.,;:!?\x0A-\x0D]"
 LEAST, INSIDE, TOP, WORDS = 10, 50, 2000, 3
 #: Buckets for each shuffle partition; characters of a chunk; what duckdb holds before it spills; parts of a language that are ranked first.
-BUCKETS_EACH, CHARS, MEMORY, PARTS = 4, 2_000_000, "256MB", 64
+BUCKETS_EACH, CHARS, MEMORY, PARTS = 2, 4_000_000, "256MB", 64
+#: Bits of a filter at most: 16 MB, sent to every executor.
+FILTER_BITS = 1 << 27
 _COUNTS = "lang string, phrase string, n_words int, f long"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,27 +91,87 @@ def _summed(columns: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.nda
     return [c[first] for c in columns], np.add.reduceat(weights, first)
 
 
-def sequences(langs: pa.Array, texts: pa.Array, m: np.ndarray, words: int) -> tuple[pa.Array, list[tuple[list[np.ndarray], np.ndarray]], pa.Array]:
-    """(lexicon, for each length its distinct sequences as codes and their weights, language of each lexicon entry).
-
-    An entry is a word of a language, so a sequence's language is its first word's.
-    The last item has sequences of no word: languages and all their occurrences.
-    """
-    split = pc.split_pattern(texts, " ")
-    sizes = np.diff(split.offsets.to_numpy())
-    word, lang = split.flatten().dictionary_encode(), langs.dictionary_encode()
-    spoken = np.repeat(lang.indices.to_numpy().astype(np.int64), sizes)
-    both = word.indices.to_numpy().astype(np.int64) * len(lang.dictionary) + spoken
-    known, code = np.unique(both, return_inverse=True)
-    lexicon, tongue = word.dictionary.take(pa.array(known // len(lang.dictionary))), lang.dictionary.take(pa.array(known % len(lang.dictionary)))
-    weight, piece = np.repeat(m, sizes), np.repeat(np.arange(len(sizes)), sizes)
-    out = []
-    for n in range(1, words + 1):
-        inside = np.flatnonzero(piece[: len(piece) - n + 1] == piece[n - 1 :]) if len(piece) >= n else np.zeros(0, np.int64)
-        out.append(_summed([code[inside + k] for k in range(n)], weight[inside]))
-    every = np.zeros(len(lang.dictionary), np.int64)
-    np.add.at(every, spoken, weight)
-    return lexicon, [*out, ([np.arange(len(every))], every)], pa.chunked_array([tongue, lang.dictionary]).combine_chunks()
+class Told:
+    """The words of a chunk's pieces as codes. A code is a word of a language, so a sequence's language is its first word's."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array, m: np.ndarray) -> None:
+        split = pc.split_pattern(texts, " ")
+        sizes = np.diff(split.offsets.to_numpy())
+        word, lang = split.flatten().dictionary_encode(), langs.dictionary_encode()
+        spoken = np.repeat(lang.indices.to_numpy().astype(np.int64), sizes)
+        both = word.indices.to_numpy().astype(np.int64) * len(lang.dictionary) + spoken
+        known, self.code = np.unique(both, return_inverse=True)
+        self.words, self.tongues = word.dictionary.take(pa.array(known // len(lang.dictionary))), lang.dictionary.take(pa.array(known % len(lang.dictionary)))
+        self.weight, self.piece = np.repeat(m, sizes), np.repeat(np.arange(len(sizes)), sizes)
+        self.hashes = word_hashes(self.words, self.tongues)
+        self.langs, self.every = lang.dictionary, np.zeros(len(lang.dictionary), np.int64)
+        np.add.at(self.every, spoken, self.weight)
+
+    def sequences(self, n: int, able: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Distinct sequences of n words and their weights; those of ``able`` parts, where filters of shorter ones are given."""
+        at = np.flatnonzero(self.piece[: len(self.piece) - n + 1] == self.piece[n - 1 :]) if len(self.piece) >= n else np.zeros(0, np.int64)
+        if able and n > 1:
+            good = passes(able[0], self.hashes)[self.code]
+            for k in range(n):
+                at = at[good[at + k]]
+        for size in range(2, n) if len(able) > 1 else ():
+            for k in range(n - size + 1):
+                at = at[passes(able[size - 1], self.hash([self.code[at + k + i] for i in range(size)]))]
+        return _summed([self.code[at + k] for k in range(n)], self.weight[at])
+
+    def hash(self, codes: list[np.ndarray]) -> np.ndarray:
+        return chained([self.hashes[c] for c in codes])
+
+
+def _string_hashes(values: pa.Array) -> np.ndarray:
+    """64 bits of each string, the same in every task: a polynomial over its bytes, mixed."""
+    values = pa.concat_arrays([values]).cast(pa.large_binary()) if not isinstance(values, pa.ChunkedArray) else values.combine_chunks().cast(pa.large_binary())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    sizes = np.diff(ends)
+    if not len(values) or not sizes.any():
+        return _mixed(sizes.astype(np.uint64))
+    data = np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    power = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
+    some = np.flatnonzero(sizes)
+    starts = ends[:-1] - ends[0]
+    out = np.zeros(len(values), np.uint64)
+    out[some] = np.add.reduceat(data * power[np.arange(len(data)) - np.repeat(starts, sizes)], starts[some])
+    return _mixed(out)
+
+
+def word_hashes(words: pa.Array, tongues: pa.Array) -> np.ndarray:
+    lang = tongues.dictionary_encode()
+    return _mixed(_string_hashes(words) ^ _string_hashes(lang.dictionary)[lang.indices.to_numpy()] * np.uint64(0xD6E8FEB86659FD93))
+
+
+def chained(hashes: list[np.ndarray]) -> np.ndarray:
+    """The hash of sequences by those of their words."""
+    return reduce(lambda h, x: _mixed(h * np.uint64(0xD6E8FEB86659FD93) ^ x), hashes)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _filter(known: DataFrame, n: int) -> np.ndarray:
+    """Bits of the hashes of all phrases of a table, 32 to a phrase where that's within ``FILTER_BITS``: none is missed, some others pass."""
+    bits = 64
+    while bits < min(FILTER_BITS, 32 * known.count()):
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                words = pc.split_pattern(batch.column("phrase"), " ").flatten()
+                each = word_hashes(words, batch.column("lang").take(pa.array(np.repeat(np.arange(batch.num_rows), n))))
+                at = chained([each[k::n] for k in range(n)]) & np.uint64(bits - 1)
+                yield pa.RecordBatch.from_pydict({"at": pa.array((at >> np.uint64(6)).astype(np.int64)), "bit": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))})
+
+    found = known.select("lang", "phrase").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()  # FILTER_BITS / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return out
 
 
 def _spill_folder(shared: str) -> str:
@@ -116,26 +180,38 @@ def _spill_folder(shared: str) -> str:
     return f"{plain}/spill-{uuid.uuid4().hex}"
 
 
-def counts(distinct: DataFrame, least: int, words: int = WORDS, buckets: int | None = None, memory: str = MEMORY) -> DataFrame:
+def counts(distinct: DataFrame, scratch: Scratch, least: int, words: int = WORDS, buckets: int | None = None, memory: str = MEMORY) -> DataFrame:
     """(lang, phrase, n_words, f) of every sequence with f >= ``least``; phrase '' has a language's word occurrences."""
+    distinct = scratch.put(distinct, "pieces")
+    able: list[np.ndarray] = []
+    levels = []
+    for n in range(1, words + 1):
+        levels.append(scratch.put(_level(distinct, n, able, least, buckets, memory), f"counts{n}"))
+        if least > 1 and n < words:
+            able.append(_filter(levels[-1].filter("n_words > 0"), n))
+    scratch.drop("pieces")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _level(distinct: DataFrame, n: int, able: list[np.ndarray], least: int, buckets: int | None, memory: str) -> DataFrame:
+    """The counts of sequences of n words."""
     spark = distinct.sparkSession
     buckets = buckets or BUCKETS_EACH * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = shared_dir(spark)
+    shared, sent = shared_dir(spark), spark.sparkContext.broadcast(able)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "piece", CHARS):
             texts, langs = (chunk.column(c).combine_chunks() for c in ("piece", "lang"))
-            lexicon, found, tongue = sequences(langs, texts, chunk.column("m").to_numpy(), words)
-            hashed = _mixed(_hashes(lexicon) ^ _mixed(_hashes(tongue[: len(lexicon)])))
-            for n, (codes, f) in enumerate(found):
-                n = n + 1 if n < words else 0
-                of = _mixed(_hashes(tongue[len(lexicon) :])) if n == 0 else reduce(lambda h, c: _mixed(h * np.uint64(0xD6E8FEB86659FD93) ^ hashed[c]), codes[1:], hashed[codes[0]])
-                own = (of % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(own, kind="stable")
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(own[order])) + 1, [len(own)])) if len(own) else [0]
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    at = order[a:b]
-                    yield _packed(int(own[at[0]]), n, [c[at] for c in codes], f[at], lexicon, tongue)
+            told = Told(langs, texts, chunk.column("m").to_numpy())
+            codes, f = told.sequences(n, sent.value)
+            own = (told.hash(codes) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(own[order])) + 1, [len(own)])) if len(own) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                at = order[a:b]
+                yield _packed(int(own[at[0]]), n, [c[at] for c in codes], f[at], told)
+            for k in range(len(told.langs) if n == 1 else 0):
+                yield _packed(int(_string_hashes(told.langs)[k] % np.uint64(buckets)), 0, [np.array([k])], told.every[k : k + 1], told)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -169,23 +245,16 @@ def counts(distinct: DataFrame, least: int, words: int = WORDS, buckets: int | N
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, _COUNTS)
 
 
-def _hashes(values: pa.Array) -> np.ndarray:
-    """64 bits of each distinct string, the same in every task."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values.to_pylist()), np.uint64, len(values))
-
-
-def _packed(bucket: int, n: int, codes: list[np.ndarray], f: np.ndarray, lexicon: pa.Array, tongue: pa.Array) -> pa.RecordBatch:
+def _packed(bucket: int, n: int, codes: list[np.ndarray], f: np.ndarray, told: Told) -> pa.RecordBatch:
     """One row: the sequences of a bucket, words by their place in a lexicon of its own, compressed."""
     if n == 0:
-        table = pa.record_batch({"lang": tongue[len(lexicon) :].take(pa.array(codes[0])), "f": f})
-        parts = [table]
+        parts = [pa.record_batch({"lang": told.langs.take(pa.array(codes[0])), "f": f})]
     else:
         used, place = np.unique(np.concatenate(codes), return_inverse=True)
         place = place.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).reshape(n, -1)
         narrow = np.uint8 if f.max() < 256 else np.int64
-        parts = [pa.record_batch({**{f"w{k}": place[k] for k in range(n)}, "f": f.astype(narrow)}), pa.record_batch({"word": lexicon.take(pa.array(used)), "lang": tongue.take(pa.array(used))})]
+        lexicon = {"word": told.words.take(pa.array(used)), "lang": told.tongues.take(pa.array(used)).dictionary_encode()}
+        parts = [pa.record_batch({**{f"w{k}": place[k] for k in range(n)}, "f": f.astype(narrow)}), pa.record_batch(lexicon)]
     out = []
     for part in parts:
         sink = pa.BufferOutputStream()
@@ -203,7 +272,7 @@ def _unpacked(n: int, packed: bytes, schema: pa.Schema) -> pa.RecordBatch:
     lexicon = pa.ipc.open_stream(packed[8 + size :]).read_next_batch()
     words = [lexicon.column("word").take(rows.column(k)) for k in range(n)]
     phrase = words[0] if n == 1 else pc.binary_join_element_wise(*words, " ")
-    return pa.RecordBatch.from_arrays([lexicon.column("lang").take(rows.column(0)), phrase, pa.array(np.full(len(rows), n, np.int32)), rows.column("f").cast(pa.int64())], schema=schema)
+    return pa.RecordBatch.from_arrays([lexicon.column("lang").take(rows.column(0)).dictionary_decode(), phrase, pa.array(np.full(len(rows), n, np.int32)), rows.column("f").cast(pa.int64())], schema=schema)
 
 
 #: floor(1000000 a a / (l r)), exactly.
@@ -225,7 +294,7 @@ def scored(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top: int = TOP, buckets: int | None = None, memory: str = MEMORY) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two to three words; see the module."""
-    known = Scratch(docs.sparkSession, "collocations").put(counts(pieces(docs), least, WORDS, buckets, memory), "counts")
+    known = counts(pieces(docs), Scratch(docs.sparkSession, "collocations"), least, WORDS, buckets, memory)
     total = known.filter("n_words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     known = known.filter("n_words > 0")
     candidates = known.filter("n_words > 1")

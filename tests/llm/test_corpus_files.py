@@ -203,9 +203,9 @@ def test_collocations_against_loops(spark, least, inside, top, buckets):
 
 def test_collocations_spill(spark):
     """More distinct phrases than duckdb may hold."""
-    words = spark.range(60_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), k -> concat('w', pmod(hash(id, k), 100000), repeat('x', 12)))) AS text", "'xx' AS lang")
+    words = spark.range(15_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 30), k -> concat('w', pmod(hash(id, k), 100000), repeat('x', 12)))) AS text", "'xx' AS lang")
     distinct = collocations.pieces(words)
-    plenty, little = (collocations.counts(distinct, 1, 2, buckets=1, memory=m).groupBy("n_words").agg({"f": "sum", "phrase": "count"}).collect() for m in ("4GB", "40MB"))
+    plenty, little = (collocations.counts(distinct, Scratch(spark, "t"), 1, 2, buckets=1, memory=m).groupBy("n_words").agg({"f": "sum", "phrase": "count"}).collect() for m in ("4GB", "20MB"))
     assert sorted(plenty) == sorted(little) and len(plenty) == 3
 
 
