@@ -9,12 +9,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlume.functions import windows as W
 from barlume.functions.scalar import no_nan
+from barlume.functions.totals import running_totals
 from barlume.operators.indicators import Spec, combine, lookup
+from barlume.sources.shared import stored
 
 # The usual feature set.
 DEFAULT_FEATURES: list[Spec] = [
@@ -83,15 +85,9 @@ def fold_bounds(n: int, n_splits: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def purged_folds(rows: DataFrame, n_splits: int = 5, label_horizon: int = 10, embargo: float = 0.01, keys: Sequence[str] = W.KEYS) -> DataFrame:
-    """Rows times folds with a column role: test, train, or purged (before a test fold) or embargoed (after it).
-
-    Everything is arithmetic on the row number within the key, so no fold is
-    held anywhere.
-    """
-    n = F.count("*").over(Window.partitionBy(*keys))
-    df = rows.withColumns({"row": F.row_number().over(W.ordered(keys)).cast("long") - 1, "__n": n})
-    df = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+def _with_roles(df: DataFrame, n: Column, n_splits: int, label_horizon: int, embargo: float) -> DataFrame:
+    """Rows with their number in a column row, times folds with a role."""
+    df = df.withColumn("__n", n).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     size, more = F.floor(F.col("__n") / n_splits), F.col("__n") % n_splits
     start = F.col("fold") * size + F.least(F.col("fold").cast("long"), more)
     stop = start + size + F.when(F.col("fold") < more, 1).otherwise(0)
@@ -103,20 +99,35 @@ def purged_folds(rows: DataFrame, n_splits: int = 5, label_horizon: int = 10, em
     return df.withColumn("role", role).drop("__n")
 
 
+def purged_folds(rows: DataFrame, n_splits: int = 5, label_horizon: int = 10, embargo: float = 0.01, keys: Sequence[str] = W.KEYS) -> DataFrame:
+    """Rows times folds with a column role: test, train, or purged (before a test fold) or embargoed (after it).
+
+    Everything is arithmetic on the row number within the key, so no fold is
+    held anywhere.
+    """
+    df = rows.withColumn("row", F.row_number().over(W.ordered(keys)).cast("long") - 1)
+    return _with_roles(df, F.count("*").over(Window.partitionBy(*keys)), n_splits, label_horizon, embargo)
+
+
+def numbered_dates(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(the distinct timestamps with their number from 0 in a column row, how many there are), numbered range by range."""
+    dates = stored(rows.select("timestamp").distinct(), "dates")
+    return running_totals(dates.withColumn("__one", F.lit(1)), "timestamp", {"row": "__one"}).select("timestamp", (F.col("row").cast("long") - 1).alias("row")), dates.count()
+
+
 def panel_folds(rows: DataFrame, n_splits: int = 5, label_horizon: int = 10, embargo: float = 0.01) -> DataFrame:
     """The same roles by date over a whole panel: no symbol's training rows lie inside another's test dates.
 
     Dates are numbered once, one row a date; labels reach ``label_horizon`` dates ahead.
     """
-    dates = rows.select("timestamp").distinct().withColumn("__all", F.lit(0))
-    roles = purged_folds(dates, n_splits, label_horizon, embargo, ("__all",)).drop("__all").withColumnRenamed("row", "date_row")
-    return rows.join(roles, "timestamp")
+    dates, n = numbered_dates(rows)
+    return rows.join(_with_roles(dates, F.lit(n), n_splits, label_horizon, embargo).withColumnRenamed("row", "date_row"), "timestamp")
 
 
 def panel_split(rows: DataFrame, test_size: float = 0.25) -> DataFrame:
     """Adds is_test: the last dates of the panel, for all symbols alike."""
-    dates = time_split(rows.select("timestamp").distinct().withColumn("__all", F.lit(0)), test_size, ("__all",)).drop("__all")
-    return rows.join(dates, "timestamp")
+    dates, n = numbered_dates(rows)
+    return rows.join(dates.select("timestamp", (F.col("row") >= F.floor(F.lit(n) * F.lit(1 - test_size))).alias("is_test")), "timestamp")
 
 
 def base_rate(labels: DataFrame, label: str = "label", keys: Sequence[str] = W.KEYS) -> DataFrame:
@@ -127,11 +138,12 @@ def base_rate(labels: DataFrame, label: str = "label", keys: Sequence[str] = W.K
 def scores(scored: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
     """One row: n, accuracy at 0.5 and the area under the curve; that is null where only one class occurs.
 
-    The area counts, for each distinct probability, the pairs of a one and a zero, ties by half.
+    The area counts, for each distinct probability, the pairs of a one and a zero, ties by half; zeros
+    below a probability are a running total by ranges, however many probabilities there are.
     """
     steps = scored.groupBy(F.col(proba).alias("p")).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros"), F.count_if((F.col(proba) > 0.5) == (F.col(label) == 1)).alias("right"))
-    below = F.coalesce(F.sum("zeros").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a distinct probability
-    pairs = steps.withColumn("won", F.col("ones") * (below + F.col("zeros") / 2))
+    steps = running_totals(stored(steps, "scores"), "p", {"below": "zeros"})
+    pairs = steps.withColumn("won", F.col("ones") * (F.col("below") - F.col("zeros") / 2))
     return pairs.agg(
         F.sum(F.col("ones") + F.col("zeros")).alias("n"), (F.sum("right") / F.sum(F.col("ones") + F.col("zeros"))).alias("accuracy"),
         F.try_divide(F.sum("won"), (F.sum("ones") * F.sum("zeros")).cast("double")).alias("auc"),

@@ -1,7 +1,7 @@
 """Parameter sweeps, walk-forward evaluation and Pareto fronts: parameters are rows of a small table.
 
-Indicators are computed once a distinct setting, then joined to the parameter
-rows by value; a sweep is one plan over (parameters x bars).
+Indicators are computed once a distinct setting; a bar holds the signals of the whole
+grid, and ledgers are folded over them (``grids``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlume.functions import windows as W
+from barlume.functions.times import wall_of
 from barlume.operators.backtest import backtest
+from barlume.operators.grids import grid_stats
 from barlume.operators.indicators import combine
 from barlume.operators.stats import compute_stats
 
@@ -69,35 +71,29 @@ def _pick(prefix: str, values: Iterable[int], chosen: str) -> Column:
     return out
 
 
+SHOWN = ("total_return", "sharpe", "max_drawdown")
+
+
 def sweep_sma(bars: DataFrame, fasts: Sequence[int] = (10, 20, 30, 40, 50), slows: Sequence[int] = (80, 100, 120, 140, 160, 180, 200), fee_bps: float = 1.0, periods_per_year: float = 252.0, keys: Sequence[str] = W.KEYS) -> DataFrame:
     """total_return, sharpe and max_drawdown of each (fast, slow) with fast < slow, for each symbol."""
-    grid = [(f, s) for f, s in product(fasts, slows) if f < s]
+    grid = [{"fast": f, "slow": s} for f, s in product(fasts, slows) if f < s]
     df = combine(bars.select(*keys, "timestamp", "close"), [("sma", {"window": n}) for n in sorted({*fasts, *slows})], keys=keys)
-    spark = bars.sparkSession
-    crossed = df.crossJoin(F.broadcast(spark.createDataFrame(grid, "fast int, slow int")))  # the grid is a parameter, not data
-    crossed = crossed.withColumn("signal", W.true(above(_pick("sma", fasts, "fast"), _pick("sma", slows, "slow"))).cast("double"))
-    at = (*keys, "fast", "slow")
-    stats = compute_stats(backtest(crossed.select(*at, "timestamp", "close", "signal"), fee_bps, at), at, periods_per_year=periods_per_year)
-    return stats.select(*at, "total_return", "sharpe", "max_drawdown")
+    hold = [W.true(above(F.col(f"sma_{g['fast']}"), F.col(f"sma_{g['slow']}"))) for g in grid]
+    return grid_stats(df, hold, grid, "fast int, slow int", fee_bps, periods_per_year, keys, metrics=SHOWN)
 
 
 def sweep_combo(bars: DataFrame, floors: Sequence[float] = (35.0, 40.0, 45.0, 50.0), entries: Sequence[float] = (-0.5, 0.0, 0.5, 1.0), base: ComboParams | None = None, periods_per_year: float = 252.0) -> DataFrame:
     """The same three metrics of each (rsi_floor, z_entry) for each symbol."""
     p = base or ComboParams()
     df = combo_features(bars.select("symbol", "timestamp", "close"), [p.fast], [p.slow], p.rsi_window, p.z_window)
-    grid = F.broadcast(bars.sparkSession.createDataFrame(list(product(floors, entries)), "rsi_floor double, z_entry double"))
-    hold = combo_condition(F.col(f"sma_{p.fast}"), F.col(f"sma_{p.slow}"), F.col(f"rsi_{p.rsi_window}"), F.col(f"zscore_{p.z_window}"), F.col("rsi_floor"), p.rsi_ceiling, F.col("z_entry"))
-    at = ("symbol", "rsi_floor", "z_entry")
-    rows = df.crossJoin(grid).withColumn("signal", hold.cast("double")).select(*at, "timestamp", "close", "signal")
-    return compute_stats(backtest(rows, p.fee_bps, at), at, periods_per_year=periods_per_year).select(*at, "total_return", "sharpe", "max_drawdown")
+    grid = [{"rsi_floor": f, "z_entry": z} for f, z in product(floors, entries)]
+    of = lambda g: combo_condition(F.col(f"sma_{p.fast}"), F.col(f"sma_{p.slow}"), F.col(f"rsi_{p.rsi_window}"), F.col(f"zscore_{p.z_window}"), g["rsi_floor"], p.rsi_ceiling, g["z_entry"])
+    return grid_stats(df, [of(g) for g in grid], grid, "rsi_floor double, z_entry double", p.fee_bps, periods_per_year, metrics=SHOWN)
 
 
 def fee_sensitivity(signals: DataFrame, fees: Sequence[float] = (0.0, 1.0, 5.0, 10.0, 25.0), periods_per_year: float = 252.0) -> DataFrame:
     """Statistics of one signal under several fees, in basis points."""
-    grid = F.broadcast(signals.sparkSession.createDataFrame([(f,) for f in fees], "fee_bps double"))
-    free = backtest(signals, 0.0).crossJoin(grid)
-    net = free.withColumn("strat", F.coalesce(F.col("position") * F.col("ret") - F.col("turnover") * F.col("fee_bps") / 1e4, F.lit(0.0)))
-    return compute_stats(net, ("symbol", "fee_bps"), periods_per_year=periods_per_year)
+    return grid_stats(signals, [F.col("signal")] * len(fees), [{"fee_bps": float(f)} for f in fees], "fee_bps double", fees, periods_per_year)
 
 
 def walk_forward(bars: DataFrame, fasts: Sequence[int] = (10, 20, 30, 50), slow: int = 100, train_years: int = 3, fee_bps: float = 1.0, periods_per_year: float = 252.0) -> tuple[DataFrame, DataFrame]:
@@ -107,13 +103,13 @@ def walk_forward(bars: DataFrame, fasts: Sequence[int] = (10, 20, 30, 50), slow:
     if each window had been run alone.
     """
     keys = ("symbol",)
-    years = bars.select("symbol", F.year("timestamp").alias("year")).distinct()
+    years = bars.select("symbol", F.year(wall_of(bars)).alias("year")).distinct()
     order = Window.partitionBy("symbol").orderBy("year")
     numbered = years.withColumn("k", F.row_number().over(order)).withColumn("last", F.max("k").over(Window.partitionBy("symbol")))
     tests = numbered.filter((F.col("k") > train_years) & (F.col("k") < F.col("last"))).select("symbol", F.col("year").alias("fold"), F.col("k").alias("fold_k"))
     spans = numbered.join(tests, "symbol").filter((F.col("k") <= F.col("fold_k")) & (F.col("k") >= F.col("fold_k") - train_years))
     spans = spans.select("symbol", "year", "fold", (F.col("k") == F.col("fold_k")).alias("test"))
-    rows = bars.select("symbol", "timestamp", "close", F.year("timestamp").alias("year")).join(spans, ["symbol", "year"])
+    rows = bars.select("symbol", "timestamp", "close", F.year(wall_of(bars)).alias("year")).join(spans, ["symbol", "year"])
     at = (*keys, "fold", "test")
     df = combine(rows, [("sma", {"window": n}) for n in sorted({*fasts, slow})], keys=at)
     grid = F.broadcast(bars.sparkSession.createDataFrame([(f,) for f in fasts], "fast int"))
@@ -132,14 +128,14 @@ def random_params(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return spark.createDataFrame(rows, "trial int, fast int, slow int, rsi_floor double, z_entry double")
 
 
+SETTINGS = "trial int, fast int, slow int, rsi_floor double, z_entry double"
+
+
 def _tried(bars: DataFrame, params: DataFrame, periods_per_year: float) -> DataFrame:
-    drawn = params.collect()  # parameters, not data
-    fasts, slows = [r["fast"] for r in drawn], [r["slow"] for r in drawn]
-    df = combo_features(bars.select("symbol", "timestamp", "close"), fasts, slows).crossJoin(F.broadcast(params))
-    hold = combo_condition(_pick("sma", fasts, "fast"), _pick("sma", slows, "slow"), F.col("rsi_14"), F.col("zscore_20"), F.col("rsi_floor"), 75.0, F.col("z_entry"))
-    at = ("symbol", "trial", "fast", "slow", "rsi_floor", "z_entry")
-    rows = df.withColumn("signal", hold.cast("double")).select(*at, "timestamp", "close", "signal")
-    return compute_stats(backtest(rows, 1.0, at), at, periods_per_year=periods_per_year)
+    drawn = [r.asDict() for r in params.collect()]  # parameters, not data
+    df = combo_features(bars.select("symbol", "timestamp", "close"), [r["fast"] for r in drawn], [r["slow"] for r in drawn])
+    of = lambda r: combo_condition(F.col(f"sma_{r['fast']}"), F.col(f"sma_{r['slow']}"), F.col("rsi_14"), F.col("zscore_20"), r["rsi_floor"], 75.0, r["z_entry"])
+    return grid_stats(df, [of(r) for r in drawn], drawn, SETTINGS, 1.0, periods_per_year)
 
 
 def near_params(spark: SparkSession, best: Sequence[Sequence], n: int, first: int, seed: int = 0) -> DataFrame:

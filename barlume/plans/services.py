@@ -13,6 +13,7 @@ from barlume.operators import learning, options
 from barlume.operators.indicators import add_indicators
 from barlume.plans.catalogue import BAR_COLUMNS, RATE, REVERSION, RUN, STATE, W_SQL, full, lagged, panel_sql, query, r
 from barlume.plans.tables import BARS, HOURS, SPOT, daily, read
+from barlume.sources import lake_source
 from barlume.sources.contract import FIELDS, normalize
 from barlume.sources.lake import Lake
 from barlume.sources.providers import CachedProvider, FrameProvider, get_provider, register_provider
@@ -116,15 +117,39 @@ def lake_ingest(spark, sf_dir):
 
 @query(f"WITH {HOURS} SELECT {BAR_COLUMNS} FROM bars")
 def stream_bars_hourly(spark, sf_dir):
-    """The ticks as a stream of files, read to its end; the last hours come once the watermark is moved past them."""
-    ticks = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    ticks = ticks.select(F.col("event_type").alias("symbol"), instant(F.col("ts"), "timestamp_ntz").alias("timestamp"), (F.col("value") + 1).alias("price"), F.lit(1.0).alias("quantity"))
+    """The ticks as a stream of files, then one tick a year later, which moves the watermark past all bars and is in none that comes out."""
     at = fresh_folder(spark, "bars-stream")
-    write = stream_bars(ticks).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
-    write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/bars")).start().awaitTermination()
+    ticks = read(spark, sf_dir, "events")
+    last = ticks.agg(F.max("ts").alias("ts")).select(F.expr("ts + INTERVAL '365' DAY").alias("ts"), F.lit(0).cast("long").alias("event_id"), F.lit("").alias("event_type"), F.lit(0.0).alias("value"))
+    names = ["ts", "event_id", "event_type", "value"]
+    for part in (ticks.select(names), last.select(names)):  # two files after another, a batch each
+        part.write.mode("append").parquet(f"{at}/ticks")
+        found = spark.readStream.schema(last.select(names).schema).parquet(f"{at}/ticks")
+        found = found.select(F.col("event_type").alias("symbol"), instant(F.col("ts"), "timestamp_ntz").alias("timestamp"), "event_id", (F.col("value") + 1).alias("price"), F.lit(1.0).alias("quantity"))
+        bars = stream_bars(found, sequence="event_id").writeStream.outputMode("append").format("parquet").option("path", f"{at}/bars")
+        bars.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start().awaitTermination()
     return _walls(spark.read.parquet(f"{at}/bars"))
 
 
+@query(f"WITH {BARS} SELECT {BAR_COLUMNS} FROM bars WHERE symbol IN ('Brand#12', 'Brand#13', 'Brand#55') AND timestamp >= TIMESTAMP '{START}' AND timestamp < TIMESTAMP '{END}'")
+def lake_source_pushdown(spark, sf_dir):
+    """The bars through the data source: written by its writer, read with filters that choose its files."""
+    lake_source.register(spark)
+    root = fresh_folder(spark, "bars-source")
+    lake_source.write_bars(_instants(spark, sf_dir), root)
+    at = lambda day: instant(F.lit(day), "string")
+    rows = spark.read.format("barlake").load(root).filter(F.col("symbol").isin("Brand#12", "Brand#13", "Brand#55") & (F.col("timeframe") == "1d"))
+    return _walls(rows.filter((F.col("timestamp") >= at(START)) & (F.col("timestamp") < at(END))))
+
+
+SPANS = "SELECT symbol, last(close ORDER BY timestamp) AS last_close, count(*) AS bars, first(open ORDER BY timestamp) AS first_open FROM lake GROUP BY symbol"
+
+
+@query(f"{LAKE}, q AS ({SPANS}) SELECT symbol, {r('last_close', 'last_close')}, bars, {r('first_open', 'first_open')} FROM q")
+def lake_sql_ordered_last(spark, sf_dir):
+    return _filled(spark, sf_dir).query(SPANS)
+
+
 # Labels, edges, last rows, functions by their usual names
 
 LABEL = f"lead(close, 5) OVER ({W_SQL}) / nullif(close, 0) - 1"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlume.functions.times import instant
 from barlume.sources.bars import from_trades
 
 BENCHMARK = "Brand#11"
@@ -33,10 +34,16 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_trades(trades, F.col("p_brand"), F.col("l_shipdate"), F.col("p_retailprice"), F.col("l_quantity"), trade_order())
 
 
+def tick_order() -> Column:
+    """Microseconds and event in one number: 17 and 20 digits."""
+    micros = F.unix_micros(instant(F.col("ts"), "timestamp_ntz")).cast("decimal(17,0)")
+    return (micros * F.lit("1" + "0" * 20).cast("decimal(21,0)") + F.col("event_id").cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = read(spark, sf_dir, "events")
     hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
-    return from_trades(ticks, F.col("event_type"), hour, F.col("value") + 1, F.lit(1.0), F.struct("ts", "event_id"))
+    return from_trades(ticks, F.col("event_type"), hour, F.col("value") + 1, F.lit(1.0), tick_order())
 
 
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,19 @@ def without_qualify(sql: str) -> str:
     return f"{head[:begin]}SELECT * EXCEPT (__qualify) FROM ({inner[begin:]}) WHERE __qualify {m['rest'] or ''}".strip()
 
 
+_ORDERED = re.compile(r"\b(?P<which>first|last)\s*\(\s*(?P<value>[^()]*?)\s+ORDER\s+BY\s+(?P<order>[^(),]*?)(?P<turn>\s+(?:ASC|DESC))?\s*\)", re.I)
+
+
+def without_ordered(sql: str) -> str:
+    """first(x ORDER BY y) and last(x ORDER BY y) as min_by and max_by; x and y are free of parentheses."""
+
+    def instead(m: re.Match) -> str:
+        up = (m["which"].lower() == "first") != ((m["turn"] or "").strip().upper() == "DESC")
+        return f"{'min' if up else 'max'}_by({m['value']}, {m['order']})"
+
+    return _ORDERED.sub(instead, sql)
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -87,6 +100,6 @@ class Lake:
         return self.write(provider.get_ohlcv_multi(symbols, start, end, timeframe), timeframe)
 
     def query(self, sql: str, timeframe: str = "1d") -> DataFrame:
-        """SQL over a view named lake; a trailing QUALIFY is understood."""
+        """SQL over a view named lake; a trailing QUALIFY and ordered first() and last() are understood."""
         self.scan(timeframe).createOrReplaceTempView("lake")
-        return self.spark.sql(without_qualify(sql))
+        return self.spark.sql(without_qualify(without_ordered(sql)))

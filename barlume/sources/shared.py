@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,10 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     system.mkdirs(at)
     system.deleteOnExit(at)
     return at.toString()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The table, written to the shared folder and read back: for plans that read it several times."""
+    at = f"{fresh_folder(df.sparkSession, label)}/rows"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

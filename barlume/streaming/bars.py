@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_bars(ticks: DataFrame, span: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """OHLCV bars of a stream with columns symbol, timestamp, price, quantity; a bar is final once the watermark passes it."""
+def stream_bars(ticks: DataFrame, span: str = "1 hour", late: str = "2 hours", sequence: str | None = None) -> DataFrame:
+    """OHLCV bars of a stream with columns symbol, timestamp, price, quantity.
+
+    In append mode a bar comes out, and leaves the state, once the watermark has passed
+    it. Ticks of one time are ordered by ``sequence``, a column of their order, or
+    without one by price, so that a bar doesn't depend on the order of arrival.
+    """
     w = F.window("timestamp", span)
+    order = F.struct("timestamp", F.col(sequence or "price"))
     return (
         ticks.withWatermark("timestamp", late).groupBy(w.alias("w"), "symbol")
-        .agg(F.min_by("price", "timestamp").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "timestamp").alias("close"), F.sum("quantity").alias("volume"))
+        .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"))
         .select("symbol", F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume")
     )
 

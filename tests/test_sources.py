@@ -125,11 +125,11 @@ def test_lake_upsert_and_sql(spark, tmp_path):
 
 
 def test_resample(spark):
-    bars = spark.createDataFrame(path(list(range(1, 16))))
+    bars = spark.createDataFrame(path(list(range(1, 16))))  # from Tuesday, 1 February 2022, on every third day
     weekly = S.resample(bars, "W-FRI").orderBy("timestamp").collect()
-    assert [(r["open"], r["close"], r["high"], r["volume"]) for r in weekly] == [(1, 5, 6, 5e6), (6, 10, 11, 5e6), (11, 15, 16, 5e6)]
-    assert all(r["timestamp"].weekday() == 4 for r in weekly)
-    assert S.resample(bars, "M").count() == 1
+    assert [(str(r["timestamp"].date()), r["open"], r["close"], r["volume"]) for r in weekly][:3] == [("2022-02-04", 1, 2, 3e3), ("2022-02-11", 2, 4, 7e3), ("2022-02-18", 4, 6, 11e3)]
+    assert all(r["timestamp"].weekday() == 4 for r in weekly) and sum(r["volume"] for r in weekly) == 120e3
+    assert S.resample(bars, "M").count() == 2
     with pytest.raises(ValueError):
         S.resample(bars, "fortnight")
 
