@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barlume.functions import windows as W
 from barlume.functions.scalar import no_nan
 from barlume.functions.totals import running_totals
+from barlume.operators.attribution import explain
 from barlume.operators.indicators import Spec, combine, lookup
 from barlume.sources.shared import stored
 
@@ -177,19 +178,32 @@ def purged_auc(data: DataFrame, features: Sequence[str], label: str = "label", n
     return spark.createDataFrame(out, "fold int, auc double, n_train long, n_test long")
 
 
+def _fit_boosted(data: DataFrame, features: Sequence[str], label: str, test_size: float, rounds: int, seed: int):
+    """(model, assembler, all complete rows with is_test): splits go by date over the whole panel, the last fifth of the training dates stops the rounds."""
+    rows = panel_split(complete(data, [*features, label]), test_size)
+    train = panel_split(rows.filter("NOT is_test").drop("is_test"), 0.2).withColumnRenamed("is_test", "holdout")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    boosting = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=3, seed=seed, validationIndicatorCol="holdout")
+    return boosting.fit(assembler.transform(train)), assembler, rows
+
+
 def boosted(data: DataFrame, features: Sequence[str], label: str = "label", test_size: float = 0.25, rounds: int = 20, threshold: float = 0.5, seed: int = 7):
     """(scored test rows with proba and signal, importances): boosted trees, stopped early on the last fifth of the training dates.
 
-    Splits go by date over the whole panel. ``scores`` tells accuracy and area under the curve of the test rows.
+    ``scores`` tells accuracy and area under the curve of the test rows.
     """
-    rows = panel_split(complete(data, [*features, label]), test_size)
-    train = panel_split(rows.filter("NOT is_test").drop("is_test"), 0.2).withColumnRenamed("is_test", "holdout")
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=3, seed=seed, validationIndicatorCol="holdout").fit(assembler.transform(train))
+    model, assembler, rows = _fit_boosted(data, features, label, test_size, rounds, seed)
     scored = model.transform(assembler.transform(rows.filter("is_test"))).withColumn("proba", vector_to_array("probability")[1])
     ranks = data.sparkSession.createDataFrame(sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: -x[1]), "feature string, importance double")
     return scored.withColumn("signal", proba_signal(threshold)).drop("features", "rawPrediction", "probability", "prediction"), ranks
 
 
+def explained(data: DataFrame, features: Sequence[str], label: str = "label", test_size: float = 0.25, rounds: int = 20, seed: int = 7, keep: Sequence[str] = ("symbol", "timestamp")) -> DataFrame:
+    """What each feature adds to the margin of each test row (``attribution``), beside the model's own margin in model_margin."""
+    model, assembler, rows = _fit_boosted(data, features, label, test_size, rounds, seed)
+    scored = model.transform(assembler.transform(rows.filter("is_test"))).withColumn("model_margin", vector_to_array("rawPrediction")[1])
+    return explain(model, scored, features, [*keep, "model_margin"])
+
+
 def proba_signal(threshold: float = 0.55, column: str = "proba"):
     return (F.col(column) > threshold).cast("double")

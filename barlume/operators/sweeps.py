@@ -6,12 +6,12 @@ grid, and ledgers are folded over them (``grids``).
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlume.functions import windows as W
@@ -19,7 +19,9 @@ from barlume.functions.times import wall_of
 from barlume.operators.backtest import backtest
 from barlume.operators.grids import grid_stats
 from barlume.operators.indicators import combine
+from barlume.operators.searching import Setting, density_search, front_search
 from barlume.operators.stats import compute_stats
+from barlume.sources.shared import stored
 
 
 #: Averages that differ by less are equal: the last bits depend on the order of a sum.
@@ -121,53 +123,43 @@ def walk_forward(bars: DataFrame, fasts: Sequence[int] = (10, 20, 30, 50), slow:
     return choices, ledger.filter("test").join(choices.drop("sharpe"), ["symbol", "fold", "fast"])
 
 
-def random_params(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """Seeded draws from the search space of the combo strategy; fast is below slow by construction."""
-    r = random.Random(seed)
-    rows = [(i, r.randint(5, 50), r.randint(60, 250), round(r.uniform(30, 55), 2), round(r.uniform(-1, 1.5), 3)) for i in range(n)]
-    return spark.createDataFrame(rows, "trial int, fast int, slow int, rsi_floor double, z_entry double")
-
-
 SETTINGS = "trial int, fast int, slow int, rsi_floor double, z_entry double"
+# The search space of the combo strategy; fast is below slow by construction.
+SPACE = (Setting("fast", 5, 50, True), Setting("slow", 60, 250, True), Setting("rsi_floor", 30, 55, digits=2), Setting("z_entry", -1, 1.5, digits=3))
 
 
-def _tried(bars: DataFrame, params: DataFrame, periods_per_year: float) -> DataFrame:
-    drawn = [r.asDict() for r in params.collect()]  # parameters, not data
-    df = combo_features(bars.select("symbol", "timestamp", "close"), [r["fast"] for r in drawn], [r["slow"] for r in drawn])
-    of = lambda r: combo_condition(F.col(f"sma_{r['fast']}"), F.col(f"sma_{r['slow']}"), F.col("rsi_14"), F.col("zscore_20"), r["rsi_floor"], 75.0, r["z_entry"])
-    return grid_stats(df, [of(r) for r in drawn], drawn, SETTINGS, 1.0, periods_per_year)
-
-
-def near_params(spark: SparkSession, best: Sequence[Sequence], n: int, first: int, seed: int = 0) -> DataFrame:
-    """Seeded draws around good settings, inside the search space."""
-    r = random.Random(f"{seed}/near")
-    inside = lambda x, low, high: min(high, max(low, x))
-    rows = []
-    for i in range(n):
-        fast, slow, floor, entry = r.choice(list(best))
-        rows.append((
-            first + i, inside(fast + r.randint(-6, 6), 5, 50), inside(slow + r.randint(-25, 25), 60, 250), round(inside(floor + r.gauss(0, 3), 30.0, 55.0), 2), round(inside(entry + r.gauss(0, 0.3), -1.0, 1.5), 3),
-        ))
-    return spark.createDataFrame(rows, "trial int, fast int, slow int, rsi_floor double, z_entry double")
+def tried(bars: DataFrame, points: Sequence[dict], first: int = 0, periods_per_year: float = 252.0) -> DataFrame:
+    """Statistics of trials, numbered from ``first``, for each symbol: one job for the whole batch."""
+    grid = [{"trial": first + k, **p} for k, p in enumerate(points)]
+    df = combo_features(bars.select("symbol", "timestamp", "close"), [p["fast"] for p in points], [p["slow"] for p in points])
+    of = lambda p: combo_condition(F.col(f"sma_{p['fast']}"), F.col(f"sma_{p['slow']}"), F.col("rsi_14"), F.col("zscore_20"), float(p["rsi_floor"]), 75.0, float(p["z_entry"]))
+    grid = [{n: float(v) if n in ("rsi_floor", "z_entry") else int(v) for n, v in g.items()} for g in grid]
+    return grid_stats(df, [of(p) for p in points], grid, SETTINGS, 1.0, periods_per_year)
 
 
 def search(bars: DataFrame, trials: int = 50, seed: int = 0, periods_per_year: float = 252.0, aims: int = 1) -> DataFrame:
-    """Statistics of all trials and symbols: half of the trials drawn at random, half around the best of those.
+    """Statistics of all trials and symbols.
 
-    The best by mean Sharpe ratio over the symbols are the upper fifth; for two aims,
-    gain and |drawdown|, those that no other beats in both means. With one aim the
-    best trial is the first by Sharpe; with two, ``pareto_front`` takes the front.
+    With one aim, the mean Sharpe ratio over the symbols, trials are drawn by ``density_search``;
+    with two, that and the mean |drawdown|, by ``front_search``, a generation a job, and
+    ``pareto_front`` takes the front. The bars are written once and read by each batch.
     """
-    spark, half = bars.sparkSession, max(1, trials // 2)
-    first = _tried(bars, random_params(spark, half, seed), periods_per_year)
-    names = ("fast", "slow", "rsi_floor", "z_entry")
-    means = first.groupBy("trial", *names).agg(F.avg("sharpe").alias("sharpe"), F.avg("max_drawdown").alias("max_drawdown"))
-    means = means.withColumns({c: F.round(c, 9) for c in ("sharpe", "max_drawdown")})
-    chosen = means.orderBy(F.desc("sharpe"), "trial").limit(max(1, half // 5)) if aims == 1 else pareto_front(means.withColumn("one", F.lit(1)), ["one"])
-    best = [tuple(r[c] for c in names) for r in sorted(chosen.collect(), key=lambda r: r["trial"])]  # at most as many rows as trials
-    if trials - half < 1 or not best:
-        return first
-    return first.unionByName(_tried(bars, near_params(spark, best, trials - half, half, seed), periods_per_year))
+    bars = stored(bars.select("symbol", "timestamp", "close"), "search")
+    parts: list[DataFrame] = []
+
+    def judge(points: list[dict]) -> list[tuple[float, float]]:
+        done = stored(tried(bars, points, sum(map(len, told)), periods_per_year), "trials")
+        parts.append(done)
+        told.append(points)
+        means = done.groupBy("trial").agg(F.round(F.avg("sharpe"), 9).alias("sharpe"), F.round(F.avg(F.abs("max_drawdown")), 9).alias("cost")).orderBy("trial").collect()  # a row a trial
+        return [(r["sharpe"], r["cost"]) for r in means] or [(float("nan"), float("nan"))] * len(points)
+
+    told: list[list[dict]] = []
+    if aims == 1:
+        density_search(SPACE, lambda points: [g for g, _ in judge(points)], trials, first=max(1, min(10, trials // 2)), batch=max(1, trials // 8), seed=seed)
+    else:
+        front_search(SPACE, judge, trials, size=max(2, min(16, trials // 4)), seed=seed)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pareto_front(trials: DataFrame, keys: Sequence[str], gain: str = "sharpe", risk: str = "max_drawdown") -> DataFrame:

@@ -707,6 +707,15 @@ def gbt_importance(spark, sf_dir):
     return learning.boosted(_labelled(spark, sf_dir), _FEATURES)[1]
 
 
+@query()
+def gbt_attributions(spark, sf_dir):
+    """Mean size of each feature's part of the margin over the test rows, and how far the parts are from adding up."""
+    rows = learning.explained(_labelled(spark, sf_dir), _FEATURES)
+    off = F.max(F.abs(F.col("margin") - F.col("model_margin"))).alias("off")
+    means = rows.agg(off, *(F.avg(F.abs(f"phi_{c}")).alias(c) for c in _FEATURES))
+    return means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_part")) for c in _FEATURES))).alias("x"), F.round("off", 9).alias("off")).select("x.*", "off")
+
+
 # Options
 
 RATE = 0.04
