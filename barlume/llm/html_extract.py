@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 
 from barlume.llm import crf
 from barlume.llm.common import map_texts, texts_of
-from barlume.llm.html_blocks import ANCESTORS, TAGS, Block, blocks
+from barlume.llm.html_blocks import ANCESTORS, TAGS, WORDS, Block, blocks
 from barlume.llm.html_pages import labelled
 
 TRAIN_PAGES = 700
 SCHEMA = "page_id long, url string, text string, n_chars long"
-_OFF = sum(1 << ANCESTORS.index(x) for x in "nav footer aside form dialog navigation side foot advert notice comment form share hidden".split())
-_IN = sum(1 << ANCESTORS.index(x) for x in "article main content".split())
+# bits by kind: some names are both a tag and a word
+_bits = lambda tags, words: sum(1 << TAGS.index(t) for t in tags.split()) | sum(1 << len(TAGS) + list(WORDS).index(w) for w in words.split())
+_OFF = _bits("nav footer aside form dialog", "navigation side foot advert notice comment form share hidden")
+_IN = _bits("article main", "content")
 _BITS = np.arange(len(ANCESTORS), dtype=np.uint64)
 
 

@@ -79,7 +79,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: f
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = held.join(salted, F.col("doc.source").eqNullSafe(F.col("source")) & (F.pmod(F.xxhash64("doc.doc_id"), F.lit(SALTS)) == F.col("salt")))
-    doc = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))
+    # rows that share an id, or have none, draw by their texts
+    doc = F.concat_ws(":", F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))) if "text" in docs.columns else F.lit(""))
     u = hashed(F.lit(str(seed)), doc) / F.lit(float(1 << 52))
     copied = rated.select("doc", poisson_inverse(u, F.col("mean")).cast("long").alias("copies")).filter("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     keyed = copied.withColumn("shuffle_key", hashed(F.lit(str(seed)), doc, F.col("replica").cast("string")))
@@ -90,6 +91,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: f
 
 def mix_sql(table: str = "documents", size: float = 1.0, temperature: float = 0.5, seed: int = 1) -> str:
     """The same mixture in DuckDB SQL."""
+    doc = "coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))"
     draw = lambda text: f"CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT)"
     return f"""
 WITH counts AS (SELECT source, count(*) AS n FROM {table} GROUP BY source),
@@ -97,8 +99,8 @@ means AS (SELECT source, pow(n::DOUBLE, {temperature!r}::DOUBLE) / sum(pow(n::DO
 steps AS (SELECT source, mean, k, -mean + coalesce(sum(CASE WHEN k > 0 THEN ln(mean / k) END) OVER (PARTITION BY source ORDER BY k), 0) AS lp
           FROM means, unnest(range(0, CAST(ceil(mean + 12 * sqrt(mean) + 40) AS BIGINT) + 1)) AS r(k)),
 cdf AS (SELECT source, k, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
-drawn AS (SELECT *, row_number() OVER () AS r, {draw(f"'{seed}:' || coalesce(doc_id::VARCHAR, '')")} / {float(1 << 52)!r}::DOUBLE AS u FROM {table}),
+drawn AS (SELECT *, row_number() OVER () AS r, {draw(f"'{seed}:' || {doc}")} / {float(1 << 52)!r}::DOUBLE AS u FROM {table}),
 counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, r, count(*) AS copies
             FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= d.u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, copies, replica, {draw(f"'{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || replica")} AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, copies, replica, {draw(f"'{seed}:' || {doc} || ':' || replica")} AS shuffle_key
 FROM counted, unnest(range(1, copies + 1)) AS r(replica)"""

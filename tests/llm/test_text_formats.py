@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import textwrap
+import time
 from collections import Counter
 
 import duckdb
@@ -49,6 +50,19 @@ def test_blocks_of_odd_tags():
         tag = opening[1:].split(">")[0].split(" ")[0].split("/")[0]
         assert read(f"<p>a</p>{opening}var x = 1;</{tag} ><p>b</p>") == ["a", "b"], opening
     assert read("<head><title>t</title><script>var s='</head>';</script><meta charset=utf-8><body><p>a") == ["a"]
+    assert read("<p>a<!-->b<!--->c<!-- x --!>d<!-- y -->e<!-- z --!f -->g</p><p>h") == ["abcdeg", "h"]
+    assert read("<p>a<![CDATA[b]]>c</p><?php x ?><p>d</ >e</p>") == ["ac", "de"]
+    assert read("<p>a</p><script><!-- <script> </script> var secret=1; --></script><p>b</p><script><!--><p></script><p>c") == ["a", "b", "c"]
+    assert read("<p>a</p><textarea><b></textarea x=1><p>b</p><title>t</title") == ["a", "b"]
+    for attribute in ("title='The hidden valley'", 'onclick="this.hidden"', "data-class='sidebar ad'", "title=hidden", "data-hidden", "title='class=ad'", "x='a>b' alt='id=footer'", "=hidden"):
+        (block,) = blocks(f"<article {attribute}><p>a</p></article>")
+        assert block.mask & (_HIDDEN | html_extract._OFF) == 0, attribute
+    for attribute in ("hidden", "HIDDEN=''", "class=ad", "title=x class='big ad'", "/id=footer", "aria-hidden=true", "style='color:red; display : none'", "class=ad class=content"):
+        (block,) = blocks(f"<div {attribute}><p>a</p></div>")
+        assert block.mask & (_HIDDEN | html_extract._OFF), attribute
+    deep = "<div>" * 600 + "<article><h1>b</h1><p>c</p></article><footer>d <button>e</button></footer>" + "</div>" * 600
+    b, c, d = blocks(deep)
+    assert (b.tag, c.tag, d.text) == ("h1", "p", "d") and b.mask & html_extract._IN and not d.mask & html_extract._IN and d.mask & html_extract._OFF
     assert read("<head><p>a</p><head><p>b</p>") == ["a", "b"] and len(read("<head>" * 4000 + "a")) == 1
     assert [b.text for b in blocks("<x-y><b>" * 4000 + "a" + "</i></x-y></b>" * 4000 + "<p>b")] == ["a", "b"]
     shown = lambda page: [b.text for b in blocks(page) if not b.mask & _HIDDEN]
@@ -60,6 +74,13 @@ def test_blocks_of_odd_tags():
     assert block.linked == 0
 
 
+@pytest.mark.parametrize("part", ["<a b=\"c ", "<a ", "<a b='>' ", "<p><b><i>", "</b>", "<div><p>", "<!--", "</title ", "<svg><g>", "<select><button>", "<a b=\"x>", "<script ", "<b><hr>", "<", "<a b>c<x d='", "<tr><td><p><font>"])
+def test_hostile_pages_take_time_in_proportion(part):
+    began = time.process_time()
+    blocks(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 12  # a second or two where nothing else runs
+
+
 def test_extraction_after_unclosed_elements():
     for tag in ("button", "video", "object"):
         page = f"<html><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><article><h1>Title here</h1><{tag}><p>One two three four five six.</p><p>Seven eight nine ten eleven.</p></article><footer>&copy; me</footer>"
@@ -252,6 +273,14 @@ def test_mixture_meets_its_weights(spark):
     assert all(abs(n - 10_000) < 400 for n in found.values())
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rows_without_ids_meet_their_weight(spark, seed):
+    """50 rows without an id and 50 that share one draw apart, by their texts."""
+    df = spark.range(100).selectExpr("CASE WHEN id >= 50 THEN 7 END AS doc_id", "concat('text ', id) AS text", "CASE WHEN id < 50 THEN 'none' ELSE 'same' END AS source")
+    found = {r["source"]: r["count"] for r in mixing.mix(df, {"none": 1.0, "same": 1.0}, seed=seed).groupBy("source").count().collect()}
+    assert all(abs(found[s] - 50) < 4 * 50**0.5 for s in ("none", "same")), found
+
+
 # Licences
 
 
