@@ -72,18 +72,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: f
     input's. Own columns of those three names are replaced.
     """
     table, sources = rates(docs.select("source"), weights, size, temperature, default_weight)
+    # rows that share an id, or have none, draw by their texts; the draw is made here, once, not in every step of the inverse
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))) if "text" in docs.columns else F.lit(""))
     # the document goes along as one value, so its columns cannot clash with these
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key.alias("key"))
+    held = held.select("doc", "key", (hashed(F.lit(str(seed)), F.col("key")) / F.lit(float(1 << 52))).alias("u"))
     if sources <= MAX_BROADCAST_SOURCES:
         rated = held.join(F.broadcast(table), F.col("doc.source").eqNullSafe(F.col("source")))
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = held.join(salted, F.col("doc.source").eqNullSafe(F.col("source")) & (F.pmod(F.xxhash64("doc.doc_id"), F.lit(SALTS)) == F.col("salt")))
-    # rows that share an id, or have none, draw by their texts
-    doc = F.concat_ws(":", F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))) if "text" in docs.columns else F.lit(""))
-    u = hashed(F.lit(str(seed)), doc) / F.lit(float(1 << 52))
-    copied = rated.select("doc", poisson_inverse(u, F.col("mean")).cast("long").alias("copies")).filter("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    keyed = copied.withColumn("shuffle_key", hashed(F.lit(str(seed)), doc, F.col("replica").cast("string")))
+    copied = rated.select("doc", "key", poisson_inverse(F.col("u"), F.col("mean")).cast("long").alias("copies")).filter("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    keyed = copied.withColumn("shuffle_key", hashed(F.lit(str(seed)), F.col("key"), F.col("replica").cast("string")))
     kept = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("copies", "replica", "shuffle_key")]
     hashable = [F.col(f"doc.`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]
     return keyed.repartition("shuffle_key", F.xxhash64(*hashable)).sortWithinPartitions("shuffle_key").select(*kept, "copies", "replica", "shuffle_key")
