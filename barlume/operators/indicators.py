@@ -258,6 +258,51 @@ def _rolling_mdd(keys=W.KEYS, window: int = 20, source: str = "close"):
     return {f"rolling_mdd_{window}": F.when(F.count(source).over(w) >= window, fold)}
 
 
+def _line(keys=W.KEYS, timeperiod: int = 14, source: str = "close"):
+    """Each bar's number: what a line through a window's values goes along."""
+    return {"__i": F.row_number().over(W.ordered(keys)).cast("double")}
+
+
+def _through(y: str, x: str, n: int, keys) -> tuple[Column, Column, Column]:
+    """Slope, intercept and correlation over full windows, by central moments."""
+    w = W.trailing(n, keys)
+    whole = lambda c: F.when(F.count(F.col(y) + F.col(x)).over(w) >= n, c)
+    alike = F.try_divide(F.covar_pop(y, x).over(w), F.stddev_pop(y).over(w) * F.stddev_pop(x).over(w))  # null where either is flat
+    return whole(F.regr_slope(y, x).over(w)), whole(F.regr_intercept(y, x).over(w)), whole(alike)
+
+
+def _of_line(name: str, value: Callable[[Column, Column, int], Column]) -> None:
+    """Enter a figure of the line through each window: a function of its slope, its intercept and the window's length."""
+
+    def figure(keys=W.KEYS, timeperiod: int = 14, source: str = "close"):
+        slope, start, _ = _through(source, "__i", timeperiod, keys)
+        return {f"{name}_{timeperiod}": value(slope, start, timeperiod)}
+
+    register(name, _named(name, "timeperiod=14"), before=_line, group="statistic")(figure)
+
+
+_of_line("LINEARREG", lambda slope, start, n: start + slope * F.col("__i"))
+_of_line("TSF", lambda slope, start, n: start + slope * (F.col("__i") + 1))
+_of_line("LINEARREG_SLOPE", lambda slope, start, n: slope)
+_of_line("LINEARREG_ANGLE", lambda slope, start, n: F.degrees(F.atan(slope)))
+_of_line("LINEARREG_INTERCEPT", lambda slope, start, n: start + slope * (F.col("__i") - (n - 1)))  # the line at the window's first bar
+
+
+@register("correl", _named("CORREL", "timeperiod=30"), group="statistic")
+def _correl(keys=W.KEYS, timeperiod: int = 30, source: str = "high", other: str = "low"):
+    return {f"CORREL_{timeperiod}": _through(source, other, timeperiod, keys)[2]}
+
+
+def _two_returns(keys=W.KEYS, timeperiod: int = 5, source: str = "high", other: str = "low"):
+    return {"__ra": W.change(source, 1, keys), "__rb": W.change(other, 1, keys)}
+
+
+@register("beta", _named("BETA", "timeperiod=5"), before=_two_returns, group="statistic")
+def _beta(keys=W.KEYS, timeperiod: int = 5, source: str = "high", other: str = "low"):
+    """The slope of one series' returns on the other's."""
+    return {f"BETA_{timeperiod}": _through("__rb", "__ra", timeperiod, keys)[0]}
+
+
 # Recursions
 
 
@@ -341,6 +386,8 @@ FUNCTIONS: dict[str, tuple[str, dict[str, str], tuple[str, ...]]] = {
     "MACD": ("macd", {"fastperiod": "fast", "slowperiod": "slow", "signalperiod": "signal"}, ("macd", "macdsignal", "macdhist")), "STOCH": ("stoch", {}, ("slowk", "slowd")),
     "ADX": ("adx", {}, ("real",)), "CCI": ("cci", {}, ("real",)), "MFI": ("mfi", {}, ("real",)), "OBV": ("obv", {}, ("real",)), "AD": ("ad", {}, ("real",)), "ADOSC": ("adosc", {}, ("real",)),
     "ATR": ("wilder_atr", {"timeperiod": "window"}, ("real",)), "NATR": ("natr", {}, ("real",)), "TRANGE": ("trange", {}, ("real",)),
+    "LINEARREG": ("linearreg", {}, ("real",)), "LINEARREG_SLOPE": ("linearreg_slope", {}, ("real",)), "LINEARREG_ANGLE": ("linearreg_angle", {}, ("real",)), "TSF": ("tsf", {}, ("real",)),
+    "LINEARREG_INTERCEPT": ("linearreg_intercept", {}, ("real",)), "CORREL": ("correl", {}, ("real",)), "BETA": ("beta", {}, ("real",)),
     "CDLENGULFING": ("cdlengulfing", {}, ("integer",)), "CDLDOJI": ("cdldoji", {}, ("integer",)),
 }
 

@@ -182,6 +182,23 @@ def functions_by_name(spark, sf_dir):
     return df.select("symbol", "timestamp", "SMA_real", "STOCH_slowk", "STOCH_slowd", "OBV_real")
 
 
+def _through(f: str, y: str, x: str, n: int) -> str:
+    return f"CASE WHEN count({y} + {x}) OVER w{n} >= {n} THEN {f}({y}, {x}) OVER w{n} END"
+
+
+_SLOPE, _START = _through("regr_slope", "close", "i", 14), _through("regr_intercept", "close", "i", 14)
+_FRAMES = " WINDOW " + ", ".join(f"w{n} AS ({W_SQL} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 14, 30))
+
+
+@query(panel_sql(", ".join([
+    r(f"{_START} + {_SLOPE} * i", '"LINEARREG_real"'), r(_SLOPE, '"LINEARREG_SLOPE_real"'), r(f"degrees(atan({_SLOPE}))", '"LINEARREG_ANGLE_real"'), r(f"{_START} + {_SLOPE} * (i - 13)", '"LINEARREG_INTERCEPT_real"'),
+    r(f"{_START} + {_SLOPE} * (i + 1)", '"TSF_real"'), r(_through("corr", "high", "low", 30), '"CORREL_real"'), r(_through("regr_slope", "rb", "ra", 5), '"BETA_real"'),
+]), "f" + _FRAMES, f", f AS (SELECT *, (row_number() OVER ({W_SQL}))::DOUBLE AS i, high / nullif({lagged('high')}, 0) - 1 AS ra, low / nullif({lagged('low')}, 0) - 1 AS rb FROM bars)"))
+def window_statistics_by_name(spark, sf_dir):
+    names = ["LINEARREG", "LINEARREG_SLOPE", "LINEARREG_ANGLE", "LINEARREG_INTERCEPT", "TSF", "CORREL", "BETA"]
+    return add_indicators(daily(spark, sf_dir), [(n, {}) for n in names]).select("symbol", "timestamp", *(f"{n}_real" for n in names))
+
+
 # Folds over a whole panel, scores, covered calls
 
 FOLDS = f"""WITH {BARS}, d AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT timestamp FROM bars)),
