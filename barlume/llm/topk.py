@@ -2,13 +2,14 @@
 
 Candidates are dealt into blocks, one task each. In a block each dimension has
 its list of candidates sorted by value; a query reads it from the end that its
-own component favours. Lists are read sequentially, in stretches. After each
-stretch every candidate has a lower and an upper bound of its score: what has
-been read of it, and for what has not, the list's worst value or the value that
-is next to be read. Candidates whose upper bound is below the k-th best lower
-bound are outsiders. Queries read on together while most candidates are open,
-then each by itself for those that are open to it; reading stops when at most
-twice k candidates can qualify, or the lists end, and their final scores are
+own component favours. Lists are read sequentially, in stretches, for a batch of
+queries at once: each entry that is read adds to its candidate's partial scores
+and marks the list as met. After a stretch a candidate's lower bound is its
+partial score with the last value of each list that it was not met in, and its
+upper bound the same with the value that is next to be read there. Candidates
+whose upper bound is below the k-th best lower bound are outsiders. Reading
+stops when at most twice k candidates, or a sixteenth of the block, can qualify
+for a query on average, or the lists end; then the final scores of those are
 resolved. Blocks' results are merged by rank.
 
 A block holds up to ``block_rows`` candidates, fewer where the table is small,
@@ -37,6 +38,10 @@ from pyspark.sql import functions as F
 from barlume.llm.common import Scratch
 
 BLOCK_ROWS, LEAST_ROWS, BATCH = 32768, 1024, 64
+#: Where reading pauses for bounds, in eighths of the lists.
+STRETCHES = (4, 6, 7, 8)
+#: For each byte of bits, which of its eight lists have not been read.
+_UNSET = 1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -59,11 +64,9 @@ class SortedLists:
         order = np.lexsort((rows, ids))  # so that of equal scores the first place has the smallest id
         self.rows, self.ids, self.values = rows[order], ids[order], values[order].astype(np.int64)
         self.by_row = np.argsort(self.rows)
-        n = len(ids)
-        down = np.argsort(-self.values, 0, kind="stable").astype(np.int32)
-        self.place = np.empty_like(down)
-        np.put_along_axis(self.place, down, np.arange(n, dtype=np.int32)[:, None], 0)
-        self.sorted = np.take_along_axis(self.values, down, 0)  # what is read, from the largest to the smallest
+        self.down = np.argsort(-self.values, 0, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(self.values, self.down, 0)  # what is read, from the largest to the smallest
+        self.read = 0  # entries, by both ends
         self.most = int(np.abs(self.values).max(initial=0))
         self._typed: dict = {}
 
@@ -79,54 +82,57 @@ class SortedLists:
         return np.where(self.rows[self.by_row[at]] == query_rows, self.by_row[at], -1)
 
     def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's place, candidates' ids, scores) of up to k best for each query."""
+        """(query's place, candidates' ids, scores) of up to k best for each query.
+
+        ``low`` [candidates, queries] starts at the worst score that the lists allow and
+        gains what each entry is better than its list's last one as the entry is read, so
+        it is the lower bound. What unread lists can add at most comes from the bits of
+        lists that a candidate was met in, eight lists a look-up.
+        """
         n, dims = self.values.shape
         width = min(dims, queries.shape[1])
         q = np.zeros((dims, len(queries)), np.int64)
         q[:width] = queries[:, :width].T
-        kind = _exact(self.most * int(np.abs(q).max(initial=0)) * max(1, dims))
+        kind = _exact(4 * self.most * int(np.abs(q).max(initial=0)) * max(1, dims))
         x, lists = self._as(kind)
         q = q.astype(kind)
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        own = self._own(query_rows)
         never = -np.inf if kind is not np.int64 else np.iinfo(np.int64).min
-        alone = [np.arange(n)] * q.shape[1]  # candidates that are open to each query
-        depth = 0
-        # together: the same stretches for all queries, the whole block's candidates
-        while depth < n and sum(map(len, alone)) > n // 4 * len(alone):
-            depth = min(n, max(64, n // 16, min(2 * depth, depth + n // 8)))
-            upper, lower = self._bounds(x, self.place, lists, plus, minus, depth)
-            mine = np.flatnonzero(own >= 0)
-            upper[own[mine], mine] = lower[own[mine], mine] = never
-            bar = np.partition(lower, n - k, 0)[n - k] if n > k else np.full(q.shape[1], never)
-            able = (upper >= bar) & (upper > never)
-            alone = [np.flatnonzero(able[:, c]) for c in range(q.shape[1])]
-        for c, at in enumerate(alone):
-            at, read = at[at != own[c]], depth
-            some = np.flatnonzero(q[:, c])
-            while len(at) > 2 * k and read < n:
-                read += max(1, (n - read) // 2)
-                cut = np.ix_(at, some)
-                upper, lower = self._bounds(x[cut], self.place[cut], lists[:, some], plus[some, c, None], minus[some, c, None], read)
-                at = at[upper[:, 0] >= np.partition(lower[:, 0], len(at) - k)[len(at) - k]]
-            score = x[at] @ q[:, c]  # the final scores of those that can qualify
+        ends = ((np.maximum(q, 0), self.down, lists), (np.minimum(q, 0), self.down[::-1], lists[::-1]))  # a query reads each list from its better end
+        low = np.zeros((n, q.shape[1]), kind) + sum(lists[-1] @ weight for weight, _, lists in ends)
+        met = [np.zeros((-(-dims // 8), n), np.uint8) for _ in ends]
+        own = self._own(query_rows)
+        mine = np.flatnonzero(own >= 0)
+        able, depth = np.ones(low.shape, bool), 0
+        for stop in dict.fromkeys(-(-n * s // 8) for s in STRETCHES):
+            for (weight, ids, lists), bits in zip(ends, met, strict=True):
+                for j in np.flatnonzero(weight.any(1)).tolist():
+                    at = ids[depth:stop, j]  # no candidate twice in one list
+                    low[at] += (lists[depth:stop, j] - lists[-1, j])[:, None] * weight[j]
+                    bits[j // 8, at] |= np.uint8(1 << j % 8)
+            self.read += 2 * (stop - depth) * dims
+            depth = stop
+            low[own[mine], mine] = never
+            bar = np.partition(low, n - k, 0)[n - k] if n > k else np.full(q.shape[1], never)
+            high = low if depth == n else self._upper(low, ends, met, depth)
+            able = (high >= bar) & (low > never)
+            if np.count_nonzero(able) <= max(2 * k, n // 16) * q.shape[1]:
+                break
+        for c in range(q.shape[1]):
+            at = np.flatnonzero(able[:, c])
+            score = low[at, c] if depth == n else x[at] @ q[:, c]  # the final scores of those that can qualify
             best = np.argsort(-score, kind="stable")[:k]
             yield c, self.ids[at[best]], score[best].astype(np.int64)
 
     @staticmethod
-    def _bounds(x: np.ndarray, place: np.ndarray, lists: np.ndarray, plus: np.ndarray, minus: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Upper and lower bounds [candidates, queries] after ``depth`` entries of each list, from either end.
-
-        An entry that has been read is at least as good as the next one, so the better
-        of the two is what is known of a candidate at best.
-        """
-        n = len(lists)
-        if depth >= n:
-            exact = x @ (plus + minus)
-            return exact, exact.copy()
-        upper = np.maximum(x, lists[depth]) @ plus + np.minimum(x, lists[n - 1 - depth]) @ minus
-        lower = np.where(place < depth, x, lists[n - 1]) @ plus + np.where(place > n - 1 - depth, x, lists[0]) @ minus
-        return upper, lower
+    def _upper(low: np.ndarray, ends: tuple, met: list[np.ndarray], depth: int) -> np.ndarray:
+        """Upper bounds: lists that a candidate was not met in give the entry at ``depth`` at best."""
+        high = low.copy()
+        for (weight, _, lists), bits in zip(ends, met, strict=True):
+            more = (lists[depth] - lists[-1])[:, None] * weight  # the next entry against the last
+            for b, seen in enumerate(bits):
+                eight = more[8 * b : 8 * b + 8]
+                high += (_UNSET[:, : len(eight)].astype(low.dtype) @ eight)[seen]
+        return high
 
 
 def to_integers(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256) -> DataFrame:

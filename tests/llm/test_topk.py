@@ -44,20 +44,38 @@ def test_all_vectors_of_an_id_are_candidates(spark):
     assert [tuple(r) for r in got] == [(0, 1, 3, 589824), (0, 2, 4, 327680), (0, 3, 3, 131072)]
 
 
+def watched(lists: topk.SortedLists) -> list:
+    """(depth, lower, upper bounds) whenever a search looks at them."""
+    seen, upper = [], lists._upper
+    lists._upper = lambda low, ends, met, depth: seen.append((depth, low.copy(), upper(low, ends, met, depth))) or seen[-1][2]
+    return seen
+
+
 @pytest.mark.parametrize("scale", [1, 10_000, 100_000_000])
 def test_bounds_hold(scale):
-    """Upper and lower bounds enclose the scores at every depth, for each type of sum."""
+    """Upper and lower bounds enclose the scores at every depth, for each type of sum, and know of what was read only."""
     rng = np.random.default_rng(1)
-    values = rng.integers(-9 * scale, 9 * scale, (200, 5))
+    values = rng.integers(-9 * scale, 9 * scale, (200, 11))
     lists = topk.SortedLists(np.arange(200), np.arange(200), values)
-    q = rng.integers(-9 * scale, 9 * scale, (5, 3))
-    for depth in (1, 50, 150, 199, 200):
-        upper, lower = lists._bounds(lists.values, lists.place, lists.sorted, np.maximum(q, 0), np.minimum(q, 0), depth)
-        assert (lower <= lists.values @ q).all() and (lists.values @ q <= upper).all()
-    (found,) = lists.search(np.array([7]), values[7:8], 5)
-    score = values @ values[7]
-    score[7] = -(1 << 62)
-    assert found[1].tolist() == np.argsort(-score, kind="stable")[:5].tolist()
+    seen = watched(lists)
+    queries = np.concatenate([values[7:9], rng.integers(-9 * scale, 9 * scale, (3, 11))])
+    found = list(lists.search(np.array([7, 8, 990, 991, 992]), queries, 5))
+    for c, ids, scores in found:
+        score = values @ queries[c]
+        score[7 + c if c < 2 else []] = -(1 << 62)
+        assert ids.tolist() == np.argsort(-score, kind="stable")[:5].tolist() and scores.tolist() == score[ids].tolist()
+    place = np.empty((200, 11), int)
+    np.put_along_axis(place, lists.down, np.arange(200)[:, None], 0)
+    down = lists.sorted
+    assert seen
+    for depth, low, high in seen:
+        others = np.ones(200, bool)
+        others[7:9] = False
+        for c, q in enumerate(queries):
+            met = np.where(q > 0, place < depth, place >= 200 - depth)
+            least, next_one = np.where(q > 0, down[-1], down[0]), np.where(q > 0, down[depth], down[-1 - depth])
+            assert (low[others, c] == (np.where(met, values, least) @ q)[others]).all() and (high[others, c] == (np.where(met, values, next_one) @ q)[others]).all()
+            assert (low[others, c] <= (values @ q)[others]).all() and (high[others, c] >= (values @ q)[others]).all()
 
 
 def test_small_and_empty(spark):
@@ -74,8 +92,16 @@ def test_reading_stops_early():
     values = rng.integers(-3, 4, (5000, 4))
     values[:6] = [[90, 80, 70, 60]] * 6
     lists = topk.SortedLists(np.arange(5000), np.arange(5000), values)
-    bounds, depths = lists._bounds, []
-    lists._bounds = lambda *a: depths.append(a[-1]) or bounds(*a)
+    seen = watched(lists)
     (_, ids, scores), = lists.search(np.array([9999]), np.array([[9, 8, 7, 6]]), 5)
-    assert depths and max(depths) < 2600
+    assert [depth for depth, *_ in seen] == [2500] and lists.read == values.size  # half of each list, from either end
     assert ids.tolist() == [0, 1, 2, 3, 4] and len(set(scores.tolist())) == 1
+
+
+def test_entries_are_read_once():
+    """Whatever the values, each end of a list is read at most once."""
+    rng = np.random.default_rng(2)
+    values = rng.normal(0, 40, (700, 24)).round().astype(int)
+    lists = topk.SortedLists(np.arange(700), np.arange(700), values)
+    list(lists.search(np.arange(64), values[:64], 5))
+    assert values.size <= lists.read <= 2 * values.size
