@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlume.functions import windows as W
+from barlume.operators import candles
 from barlume.operators import kernels as K
 
 Spec = tuple[str, dict]
@@ -248,6 +249,14 @@ def _doji(keys=W.KEYS, share: float = 0.1):
     return {"CDLDOJI": F.when((wide > 0) & (F.abs(F.col("close") - F.col("open")) <= share * wide), 100).otherwise(0)}
 
 
+def _enter_pattern(name: str) -> None:
+    register(f"cdl{name}", _fixed(f"CDL{name}"), before=lambda keys=W.KEYS: candles.before([name], keys), group="pattern")(lambda keys=W.KEYS: {f"CDL{name}": candles.column(name, keys)})
+
+
+for _pattern in candles.PATTERNS:
+    _enter_pattern(_pattern)
+
+
 @register("rolling_mdd", _named("rolling_mdd", "window=20"), group="statistic")
 def _rolling_mdd(keys=W.KEYS, window: int = 20, source: str = "close"):
     """The worst drawdown inside each window: a fold with the running peak."""
@@ -390,6 +399,7 @@ FUNCTIONS: dict[str, tuple[str, dict[str, str], tuple[str, ...]]] = {
     "LINEARREG_INTERCEPT": ("linearreg_intercept", {}, ("real",)), "CORREL": ("correl", {}, ("real",)), "BETA": ("beta", {}, ("real",)),
     "CDLENGULFING": ("cdlengulfing", {}, ("integer",)), "CDLDOJI": ("cdldoji", {}, ("integer",)),
 }
+FUNCTIONS |= {f"CDL{name}": (f"cdl{name.lower()}", {}, ("integer",)) for name in candles.PATTERNS}
 
 
 def _by_function(name: str, settings: dict) -> tuple[Spec, dict[str, str]]:

@@ -234,3 +234,79 @@ def covered_calls(spark, sf_dir):
         F.col("p_brand").alias("symbol"), F.col("p_retailprice").alias("strike"), F.col("p_size").alias("days"), (F.lit(0.1) + F.col("p_size") / 100).alias("sigma"), (F.col("p_retailprice") / 50).alias("mid"),
     )
     return options.covered_calls(calls, SPOT)
+
+
+# Candlestick patterns, by the number of their bars
+
+# For bar i before the last: o h l c, body, top and bottom of it, shadows u and d; for patterns of n bars the usual body ub and range ur.
+_BARS_BACK = ", ".join(f"lag({x}, {i}) OVER w AS {x[0]}{i}" for i in range(3) for x in ("open", "high", "low", "close"))
+_USUAL = ", ".join(f"CASE WHEN count(*) OVER n{n} = 10 THEN avg({x}) OVER n{n} END AS {name}{n}" for n in (1, 2, 3) for x, name in (("abs(close - open)", "ub"), ("high - low", "ur")))
+_FRAMES = ", ".join(f"n{n} AS ({W_SQL} ROWS BETWEEN {9 + n} PRECEDING AND {n} PRECEDING)" for n in (1, 2, 3))
+_PARTS = ", ".join(f"abs(c{i} - o{i}) AS body{i}, greatest(o{i}, c{i}) AS t{i}, least(o{i}, c{i}) AS b{i}, h{i} - greatest(o{i}, c{i}) AS u{i}, least(o{i}, c{i}) - l{i} AS d{i}" for i in range(3))
+CANDLES = f"""WITH {BARS}, back AS (SELECT *, {_BARS_BACK}, {_USUAL} FROM bars WINDOW w AS ({W_SQL}), {_FRAMES}), x AS (SELECT *, {_PARTS} FROM back)"""
+# Name: (rises, falls).
+_CANDLE_SQL = {
+    1: {
+        "MARUBOZU": ("c0 > o0 AND body0 > ub1 AND u0 < 0.1 * ur1 AND d0 < 0.1 * ur1", "c0 < o0 AND body0 > ub1 AND u0 < 0.1 * ur1 AND d0 < 0.1 * ur1"),
+        "SPINNINGTOP": ("c0 > o0 AND body0 < ub1 AND u0 > body0 AND d0 > body0", "c0 < o0 AND body0 < ub1 AND u0 > body0 AND d0 > body0"),
+        "DRAGONFLYDOJI": ("body0 <= 0.1 * ur1 AND u0 < 0.1 * ur1 AND d0 >= 0.1 * ur1", None),
+        "GRAVESTONEDOJI": ("body0 <= 0.1 * ur1 AND d0 < 0.1 * ur1 AND u0 >= 0.1 * ur1", None),
+        "LONGLINE": ("c0 > o0 AND body0 > ub1 AND u0 < body0 / 2 AND d0 < body0 / 2", "c0 < o0 AND body0 > ub1 AND u0 < body0 / 2 AND d0 < body0 / 2"),
+        "BELTHOLD": ("c0 > o0 AND body0 > ub1 AND d0 < 0.1 * ur1", "c0 < o0 AND body0 > ub1 AND u0 < 0.1 * ur1"),
+    },
+    2: {
+        "HAMMER": ("body0 < ub2 AND d0 > 2 * body0 AND u0 < 0.1 * ur2 AND b0 <= l1 + 0.2 * ur2", None),
+        "HANGINGMAN": (None, "body0 < ub2 AND d0 > 2 * body0 AND u0 < 0.1 * ur2 AND b0 >= h1 - 0.2 * ur2"),
+        "INVERTEDHAMMER": ("body0 < ub2 AND u0 > 2 * body0 AND d0 < 0.1 * ur2 AND t0 < b1", None),
+        "SHOOTINGSTAR": (None, "body0 < ub2 AND u0 > 2 * body0 AND d0 < 0.1 * ur2 AND b0 > t1"),
+        "HARAMI": ("c1 < o1 AND body1 > ub2 AND body0 < ub2 AND t0 < o1 AND b0 > c1", "c1 > o1 AND body1 > ub2 AND body0 < ub2 AND t0 < c1 AND b0 > o1"),
+        "HARAMICROSS": ("c1 < o1 AND body1 > ub2 AND body0 <= 0.1 * ur2 AND t0 < o1 AND b0 > c1", "c1 > o1 AND body1 > ub2 AND body0 <= 0.1 * ur2 AND t0 < c1 AND b0 > o1"),
+        "PIERCING": ("c1 < o1 AND body1 > ub2 AND c0 > o0 AND body0 > ub2 AND o0 < l1 AND c0 > (o1 + c1) / 2 AND c0 < o1", None),
+        "DARKCLOUDCOVER": (None, "c1 > o1 AND body1 > ub2 AND c0 < o0 AND o0 > h1 AND c0 < (o1 + c1) / 2 AND c0 > o1"),
+        "KICKING": (
+            "c1 < o1 AND c0 > o0 AND l0 > h1 AND least(body0, body1) > ub2 AND greatest(u0, u1, d0, d1) < 0.1 * ur2",
+            "c1 > o1 AND c0 < o0 AND h0 < l1 AND least(body0, body1) > ub2 AND greatest(u0, u1, d0, d1) < 0.1 * ur2",
+        ),
+        "DOJISTAR": ("c1 < o1 AND body1 > ub2 AND body0 <= 0.1 * ur2 AND t0 < c1", "c1 > o1 AND body1 > ub2 AND body0 <= 0.1 * ur2 AND b0 > c1"),
+        "MATCHINGLOW": ("c1 < o1 AND c0 < o0 AND abs(c1 - c0) <= 0.2 * ur2", None),
+        "SEPARATINGLINES": ("c1 < o1 AND c0 > o0 AND abs(o1 - o0) <= 0.2 * ur2 AND body0 > ub2 AND d0 < 0.1 * ur2", "c1 > o1 AND c0 < o0 AND abs(o1 - o0) <= 0.2 * ur2 AND body0 > ub2 AND u0 < 0.1 * ur2"),
+    },
+    3: {
+        "3WHITESOLDIERS": ("least(c2 - o2, c1 - o1, c0 - o0) > 0 AND body2 > ub3 AND c2 < c1 AND c1 < c0 AND o1 > o2 AND o1 <= c2 AND o0 > o1 AND o0 <= c1 AND greatest(u0, u1, u2) < 0.1 * ur3", None),
+        "3BLACKCROWS": (None, "greatest(c2 - o2, c1 - o1, c0 - o0) < 0 AND body2 > ub3 AND c2 > c1 AND c1 > c0 AND o1 < o2 AND o1 >= c2 AND o0 < o1 AND o0 >= c1 AND greatest(d0, d1, d2) < 0.1 * ur3"),
+        "MORNINGSTAR": ("c2 < o2 AND body2 > ub3 AND body1 < ub3 AND t1 < c2 AND c0 > o0 AND c0 > c2 + 0.3 * body2", None),
+        "EVENINGSTAR": (None, "c2 > o2 AND body2 > ub3 AND body1 < ub3 AND b1 > c2 AND c0 < o0 AND c0 < c2 - 0.3 * body2"),
+        "MORNINGDOJISTAR": ("c2 < o2 AND body2 > ub3 AND body1 <= 0.1 * ur3 AND t1 < c2 AND c0 > o0 AND c0 > c2 + 0.3 * body2", None),
+        "EVENINGDOJISTAR": (None, "c2 > o2 AND body2 > ub3 AND body1 <= 0.1 * ur3 AND b1 > c2 AND c0 < o0 AND c0 < c2 - 0.3 * body2"),
+        "3INSIDE": ("c2 < o2 AND body2 > ub3 AND body1 < ub3 AND t1 < o2 AND b1 > c2 AND c0 > o0 AND c0 > o2", "c2 > o2 AND body2 > ub3 AND body1 < ub3 AND t1 < c2 AND b1 > o2 AND c0 < o0 AND c0 < o2"),
+        "3OUTSIDE": ("c2 < o2 AND c1 > o1 AND c1 > o2 AND o1 < c2 AND c0 > c1", "c2 > o2 AND c1 < o1 AND c1 < o2 AND o1 > c2 AND c0 < c1"),
+        "TRISTAR": ("greatest(body0, body1, body2) <= 0.1 * ur3 AND t1 < b2 AND t1 < b0", "greatest(body0, body1, body2) <= 0.1 * ur3 AND b1 > t2 AND b1 > t0"),
+    },
+}
+
+
+def _enter_candles(n: int, word: str) -> None:
+    of = _CANDLE_SQL[n]
+    cases = ", ".join(f"""CASE WHEN ur{n} IS NULL THEN 0{f' WHEN {up} THEN 100' if up else ''}{f' WHEN {down} THEN -100' if down else ''} ELSE 0 END AS "CDL{name}_integer\"""" for name, (up, down) in of.items())
+
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return add_indicators(daily(spark, sf_dir), [(f"CDL{name}", {}) for name in of]).select("symbol", "timestamp", *(f"CDL{name}_integer" for name in of))
+
+    found.__name__ = f"candles_of_{word}"
+    query(f"{CANDLES} SELECT symbol, timestamp, {cases} FROM x")(found)
+
+
+for _n, _word in ((1, "one_bar"), (2, "two_bars"), (3, "three_bars")):
+    _enter_candles(_n, _word)
+
+_HIKKAKE = """f AS (SELECT *, CASE WHEN ur3 IS NULL THEN 0 WHEN h1 < h2 AND l1 > l2 AND h0 < h1 AND l0 < l1 THEN 100 WHEN h1 < h2 AND l1 > l2 AND h0 > h1 AND l0 > l1 THEN -100 ELSE 0 END AS v,
+  row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS i FROM x),
+latest AS (SELECT b.symbol, b.i, b.close, b.v, p.v AS was, p.h1 AS top, p.l1 AS bottom, p.i AS since FROM f b LEFT JOIN f p ON p.symbol = b.symbol AND p.v <> 0 AND p.i BETWEEN b.i - 3 AND b.i - 1
+  QUALIFY row_number() OVER (PARTITION BY b.symbol, b.i ORDER BY p.i DESC NULLS LAST) = 1),
+beyond AS (SELECT l.symbol, l.i, l.was FROM latest l WHERE (l.was = 100 AND l.close > l.top OR l.was = -100 AND l.close < l.bottom)
+  AND NOT EXISTS (SELECT 1 FROM f m WHERE m.symbol = l.symbol AND m.i > l.since AND m.i < l.i AND (l.was = 100 AND m.close > l.top OR l.was = -100 AND m.close < l.bottom)))"""
+
+
+@query(f"""{CANDLES}, {_HIKKAKE} SELECT f.symbol, f.timestamp, (CASE WHEN f.v <> 0 THEN f.v ELSE coalesce(2 * beyond.was, 0) END)::INTEGER AS "CDLHIKKAKE_integer" FROM f LEFT JOIN beyond USING (symbol, i)""")
+def candle_confirmed(spark, sf_dir):
+    return add_indicators(daily(spark, sf_dir), [("CDLHIKKAKE", {})]).select("symbol", "timestamp", "CDLHIKKAKE_integer")
