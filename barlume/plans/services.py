@@ -11,14 +11,15 @@ from barlume.functions.times import instant, wall_of
 from barlume.operators import backtest as B
 from barlume.operators import learning, options
 from barlume.operators.indicators import add_indicators
-from barlume.plans.catalogue import BAR_COLUMNS, RATE, REVERSION, RUN, STATE, W_SQL, full, lagged, panel_sql, query, r
-from barlume.plans.tables import BARS, HOURS, SPOT, daily, read
+from barlume.plans.catalogue import BAR_COLUMNS, RATE, REVERSION, RUN, STATE, W_SQL, full, lagged, oracle_sql, panel_sql, query, r
+from barlume.plans.tables import BARS, HOURS, SPOT, daily, hourly, read
 from barlume.sources import lake_source
 from barlume.sources.contract import FIELDS, normalize
 from barlume.sources.lake import Lake
 from barlume.sources.providers import CachedProvider, FrameProvider, get_provider, register_provider
 from barlume.sources.shared import fresh_folder
 from barlume.streaming.bars import stream_bars
+from barlume.streaming.state import Rsi, Supertrend, state_store, stream_indicators
 
 START, END = "1995-01-01", "1996-12-31"
 
@@ -310,3 +311,48 @@ beyond AS (SELECT l.symbol, l.i, l.was FROM latest l WHERE (l.was = 100 AND l.cl
 @query(f"""{CANDLES}, {_HIKKAKE} SELECT f.symbol, f.timestamp, (CASE WHEN f.v <> 0 THEN f.v ELSE coalesce(2 * beyond.was, 0) END)::INTEGER AS "CDLHIKKAKE_integer" FROM f LEFT JOIN beyond USING (symbol, i)""")
 def candle_confirmed(spark, sf_dir):
     return add_indicators(daily(spark, sf_dir), [("CDLHIKKAKE", {})]).select("symbol", "timestamp", "CDLHIKKAKE_integer")
+
+
+# Recursive indicators from SQL and over streams
+
+
+def _over(bars: str, name: str) -> str:
+    """The SQL of a query over daily bars, over other bars."""
+    return oracle_sql()[name].replace(BARS, bars)
+
+
+_LAKE_BARS = f"{BARS.replace('bars AS', 'base AS', 1)}, {NEW.replace('FROM bars', 'FROM base')}, bars AS (SELECT * FROM new UNION ALL SELECT * FROM base ANTI JOIN new USING (symbol, timestamp))"
+INDICATORS = "SELECT symbol, timestamp, rsi_14, supertrend, supertrend_dir FROM indicator(TABLE(SELECT * FROM indicator(TABLE(SELECT symbol, timestamp, high, low, close FROM lake), name => 'rsi')), name => 'supertrend', period => 10)"
+
+
+@query(f"SELECT * FROM ({_over(_LAKE_BARS, 'rsi')}) a JOIN ({_over(_LAKE_BARS, 'supertrend')}) b USING (symbol, timestamp)")
+def lake_sql_indicators(spark, sf_dir):
+    found = _filled(spark, sf_dir).query(INDICATORS)
+    return found.withColumn("timestamp", wall_of(found))
+
+
+CHANCES = "SELECT symbol, norm_cdf(avg(close) / 1500 - 1) AS p, norm_pdf(avg(close) / 1500 - 1) AS density FROM lake GROUP BY symbol"
+
+
+@query(f"{LAKE}, q AS (SELECT symbol, avg(close) / 1500 - 1 AS x FROM lake GROUP BY symbol) SELECT symbol, {r(norm_cdf_sql('x'), 'p')}, {r('exp(-x * x / 2) / sqrt(2 * pi())', 'density')} FROM q")
+def lake_sql_normal(spark, sf_dir):
+    return _filled(spark, sf_dir).query(CHANCES)
+
+
+@query(f"SELECT * FROM ({_over(HOURS, 'rsi')}) a JOIN ({_over(HOURS, 'supertrend')}) b USING (symbol, timestamp)")
+def stream_state_indicators(spark, sf_dir):
+    """Hourly bars as a stream that stops half-way and goes on from its checkpoint."""
+    at = fresh_folder(spark, "bars-state")
+    bars = hourly(spark, sf_dir).withColumn("timestamp", instant(F.col("timestamp"), "timestamp_ntz"))
+    bars.write.parquet(f"{at}/all")
+    bars = spark.read.schema(bars.schema).parquet(f"{at}/all")
+    at_micros = F.unix_micros("timestamp")
+    middle = bars.agg(((F.min(at_micros) + F.max(at_micros)) / 2).cast("long")).first()[0]
+    first = F.coalesce(at_micros <= F.lit(middle), F.lit(True))
+    for part in (bars.filter(first), bars.filter(~first)):
+        part.write.mode("append").parquet(f"{at}/bars")
+        with state_store(spark):
+            found = stream_indicators(spark.readStream.schema(bars.schema).parquet(f"{at}/bars"), [Rsi(), Supertrend()])
+            found.writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{at}/found")
+    return out.withColumn("timestamp", wall_of(out))

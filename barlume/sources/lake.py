@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlume.sources import lake_functions
 from barlume.sources.contract import BARS_SCHEMA, FIELDS, check_timeframe, keep_last
 from barlume.sources.providers import Provider
 
@@ -100,6 +101,7 @@ class Lake:
         return self.write(provider.get_ohlcv_multi(symbols, start, end, timeframe), timeframe)
 
     def query(self, sql: str, timeframe: str = "1d") -> DataFrame:
-        """SQL over a view named lake; a trailing QUALIFY and ordered first() and last() are understood."""
+        """SQL over a view named lake; a trailing QUALIFY, ordered first() and last(), and the functions of ``lake_functions`` are understood."""
+        lake_functions.register(self.spark)
         self.scan(timeframe).createOrReplaceTempView("lake")
         return self.spark.sql(without_qualify(without_ordered(sql)))
