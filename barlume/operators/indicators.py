@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlume.functions import windows as W
-from barlume.operators import candles
+from barlume.operators import candles, cycles
 from barlume.operators import kernels as K
 
 Spec = tuple[str, dict]
@@ -324,8 +324,12 @@ def _kernel(name: str, columns: Callable[..., tuple[str, ...]], group: str) -> C
 
 
 @_kernel("ewma", _named("ewma", "span=20"), "overlap")
-def _ewma(span: int = 20, source: str = "close"):
-    return lambda bars: {f"ewma_{span}": K.ewma(*_array(bars, source), span)}
+def _ewma(span: int = 20, source: str = "close", seed: str = "first"):
+    """Seeded with the first value, or with the mean of the first ``span`` ones (``seed="mean"``), null before."""
+    if seed not in ("first", "mean"):
+        raise ValueError(f"seed must be first or mean, got {seed!r}")
+    average = K.ewma if seed == "first" else K.ewma_of_mean
+    return lambda bars: {f"ewma_{span}": average(*_array(bars, source), span)}
 
 
 @_kernel("rsi", _named("rsi", "window=14"), "momentum")
@@ -378,15 +382,37 @@ def _adosc(fastperiod: int = 3, slowperiod: int = 10):
     return lambda bars: {"ADOSC": K.adosc(*_array(bars, "high", "low", "close", "volume"), fastperiod, slowperiod)}
 
 
+@_kernel("ht_dcperiod", _fixed("HT_DCPERIOD"), "cycle")
+def _dcperiod(source: str = "close"):
+    return lambda bars: {"HT_DCPERIOD": cycles._warm(cycles.periods(*_array(bars, source)))}
+
+
+@_kernel("ht_dcphase", _fixed("HT_DCPHASE"), "cycle")
+def _dcphase(source: str = "close"):
+    return lambda bars: {"HT_DCPHASE": cycles.phase(*_array(bars, source))}
+
+
+@_kernel("ht_sine", _fixed("HT_SINE_sine", "HT_SINE_leadsine"), "cycle")
+def _ht_sine(source: str = "close"):
+    return lambda bars: dict(zip(("HT_SINE_sine", "HT_SINE_leadsine"), cycles.sines(*_array(bars, source)), strict=True))
+
+
+@_kernel("ht_trendline", _fixed("HT_TRENDLINE"), "cycle")
+def _ht_trendline(source: str = "close"):
+    return lambda bars: {"HT_TRENDLINE": cycles.trend_line(*_array(bars, source))}
+
+
+@_kernel("ht_trendmode", _fixed("HT_TRENDMODE"), "cycle")
+def _ht_trendmode(source: str = "close"):
+    return lambda bars: {"HT_TRENDMODE": cycles.trend_mode(*_array(bars, source))}
+
+
 #: Named spec lists.
 BUNDLES: dict[str, list[Spec]] = {
     "trend": [("sma", {"window": 20}), ("sma", {"window": 50}), ("ewma", {"span": 20})],
     "momentum": [("rsi", {"window": 14}), ("zscore", {"window": 20}), ("macd", {})],
     "volatility": [("std", {"window": 20}), ("atr", {"window": 14}), ("bbands", {})],
 }
-#: Known elsewhere, not offered here: they need spectral recurrences.
-UNSUPPORTED = ("ht_dcperiod", "ht_trendmode")
-
 
 # Usual names of functions, of their settings and of their outputs.
 FUNCTIONS: dict[str, tuple[str, dict[str, str], tuple[str, ...]]] = {
@@ -397,6 +423,8 @@ FUNCTIONS: dict[str, tuple[str, dict[str, str], tuple[str, ...]]] = {
     "ATR": ("wilder_atr", {"timeperiod": "window"}, ("real",)), "NATR": ("natr", {}, ("real",)), "TRANGE": ("trange", {}, ("real",)),
     "LINEARREG": ("linearreg", {}, ("real",)), "LINEARREG_SLOPE": ("linearreg_slope", {}, ("real",)), "LINEARREG_ANGLE": ("linearreg_angle", {}, ("real",)), "TSF": ("tsf", {}, ("real",)),
     "LINEARREG_INTERCEPT": ("linearreg_intercept", {}, ("real",)), "CORREL": ("correl", {}, ("real",)), "BETA": ("beta", {}, ("real",)),
+    "HT_DCPERIOD": ("ht_dcperiod", {}, ("real",)), "HT_DCPHASE": ("ht_dcphase", {}, ("real",)), "HT_SINE": ("ht_sine", {}, ("sine", "leadsine")),
+    "HT_TRENDLINE": ("ht_trendline", {}, ("real",)), "HT_TRENDMODE": ("ht_trendmode", {}, ("real",)),
     "CDLENGULFING": ("cdlengulfing", {}, ("integer",)), "CDLDOJI": ("cdldoji", {}, ("integer",)),
 }
 FUNCTIONS |= {f"CDL{name}": (f"cdl{name.lower()}", {}, ("integer",)) for name in candles.PATTERNS}
@@ -405,7 +433,7 @@ FUNCTIONS |= {f"CDL{name}": (f"cdl{name.lower()}", {}, ("integer",)) for name in
 def _by_function(name: str, settings: dict) -> tuple[Spec, dict[str, str]]:
     """The indicator behind a function's usual name, and how its columns are to be called."""
     name = name.upper()
-    if name.lower() in UNSUPPORTED or name.startswith(("CDL", "HT_")) and name not in FUNCTIONS:
+    if name.startswith(("CDL", "HT_")) and name not in FUNCTIONS:
         raise NotImplementedError(f"{name} is not supported")
     if name not in FUNCTIONS:
         raise KeyError(f"no function {name}; one of {sorted(FUNCTIONS)}")
@@ -417,7 +445,7 @@ def _by_function(name: str, settings: dict) -> tuple[Spec, dict[str, str]]:
 def by_function(name: str, df: DataFrame, **settings) -> DataFrame:
     """A function of the catalogue by its usual name and settings; its columns are NAME_output, like RSI_real.
 
-    EMA is seeded with the first value, not with an average.
+    EMA is seeded with the first value, or with an average by seed="mean".
     """
     (own, settings), names = _by_function(name, settings)
     return make(own, df, **settings).withColumnsRenamed(names)

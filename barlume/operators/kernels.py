@@ -35,6 +35,11 @@ def ewma(x: Series, span: float) -> Series:
     return _smooth(x, 2 / (span + 1), x[0], 0) if len(x) else np.zeros(0)
 
 
+def ewma_of_mean(x: Series, span: int) -> Series:
+    """The same, seeded with the mean of the first ``span`` values; NaN before those."""
+    return _smooth(x, 2 / (span + 1), float(np.mean(x[:span])), span - 1) if len(x) >= span else np.full(len(x), np.nan)
+
+
 def wilder(x: Series, n: int, start: int = 0) -> Series:
     """Wilder's average: the mean of n values from ``start``, then alpha 1 / n; NaN where there aren't more than n."""
     if len(x) - start < n:

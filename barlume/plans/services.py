@@ -10,7 +10,7 @@ from barlume.functions.scalar import norm_cdf_sql
 from barlume.functions.times import instant, wall_of
 from barlume.operators import backtest as B
 from barlume.operators import learning, options
-from barlume.operators.indicators import add_indicators
+from barlume.operators.indicators import add_indicators, by_function, combine
 from barlume.plans.catalogue import BAR_COLUMNS, RATE, REVERSION, RUN, STATE, W_SQL, full, lagged, oracle_sql, panel_sql, query, r
 from barlume.plans.tables import BARS, HOURS, SPOT, daily, hourly, read
 from barlume.sources import lake_source
@@ -356,3 +356,47 @@ def stream_state_indicators(spark, sf_dir):
             found.writeStream.format("parquet").option("path", f"{at}/found").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{at}/found")
     return out.withColumn("timestamp", wall_of(out))
+
+
+# Cycles
+
+_H = "(0.0962::DOUBLE * ({0} - {3}) + 0.5769::DOUBLE * ({1} - {2}))"
+_SMOOTH = f"f AS (SELECT *, first_value(close) OVER ({W_SQL}) AS c0, row_number() OVER ({W_SQL}) AS i FROM bars), sm AS (SELECT symbol, timestamp, i, close, (4 * close + 3 * coalesce({lagged('close')}, c0) + 2 * coalesce({lagged('close', 2)}, c0) + coalesce({lagged('close', 3)}, c0)) / 10.0::DOUBLE AS s FROM f)"
+_FILTERED = f"num AS (SELECT *, {_H.format('s', *(f'coalesce(lag(s, {k}) OVER ({W_SQL}), first_value(s) OVER ({W_SQL}))' for k in (2, 4, 6)))} AS hs FROM sm)"
+_ZEROS = "[" + ", ".join(["0.0::DOUBLE"] * 10) + "]"
+# Lists have the newest value first: d the filtered price, q that filtered again.
+_CYCLE_STEP = f"""SELECT symbol, i, d, q, i2, q2, re, im, period, 0.33::DOUBLE * period + 0.67::DOUBLE * slow AS slow FROM (
+  SELECT * EXCLUDE (period), 0.2::DOUBLE * greatest(least(greatest(least(CASE WHEN re <> 0 AND im <> 0 THEN 2 * pi() / atan(im / re) ELSE period END, 1.5::DOUBLE * period), 0.67::DOUBLE * period), 50), 6) + 0.8::DOUBLE * period AS period FROM (
+  SELECT symbol, i, d, q, ni AS i2, nq AS q2, 0.2::DOUBLE * (ni * i2 + nq * q2) + 0.8::DOUBLE * re AS re, 0.2::DOUBLE * (ni * q2 - nq * i2) + 0.8::DOUBLE * im AS im, period, slow FROM (
+  SELECT *, 0.2::DOUBLE * (d[4] - gain * {_H.format('q[1]', 'q[3]', 'q[5]', 'q[7]')}) + 0.8::DOUBLE * i2 AS ni, 0.2::DOUBLE * (q[1] + gain * {_H.format('d[4]', 'd[6]', 'd[8]', 'd[10]')}) + 0.8::DOUBLE * q2 AS nq FROM (
+  SELECT * EXCLUDE (q), list_prepend(gain * {_H.format('d[1]', 'd[3]', 'd[5]', 'd[7]')}, q[1:9]) AS q FROM (
+  SELECT c.symbol, c.i, list_prepend((0.075::DOUBLE * p.period + 0.54::DOUBLE) * c.hs, p.d[1:9]) AS d, p.q, p.i2, p.q2, p.re, p.im, p.period, p.slow, 0.075::DOUBLE * p.period + 0.54::DOUBLE AS gain
+  FROM cyc p JOIN num c ON c.symbol = p.symbol AND c.i = p.i + 1)))))"""
+_Z8 = ", ".join(f"0.0::DOUBLE AS {c}" for c in ("i2", "q2", "re", "im", "period", "slow"))
+_CYCLES = f"WITH RECURSIVE {BARS}, {_SMOOTH}, {_FILTERED}, cyc AS (SELECT DISTINCT symbol, 0::BIGINT AS i, {_ZEROS} AS d, {_ZEROS} AS q, {_Z8} FROM bars UNION ALL {_CYCLE_STEP}), per AS (SELECT num.*, slow AS p, floor(slow + 0.5::DOUBLE)::BIGINT AS n FROM num JOIN cyc USING (symbol, i))"
+
+
+@query(f"{_CYCLES} SELECT symbol, timestamp, {r('CASE WHEN i > 32 THEN p END', 'real')} FROM per".replace(" AS real", ' AS "HT_DCPERIOD_real"'))
+def cycle_period(spark, sf_dir):
+    return by_function("HT_DCPERIOD", daily(spark, sf_dir))
+
+
+_BACK = "list(s) OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
+_PHASE = f"""b AS (SELECT *, list_reverse({_BACK})[1:n] AS xs, list_reverse({_BACK.replace('list(s)', 'list(close)')})[1:greatest(n, 1)] AS cs FROM per),
+ri AS (SELECT *, list_sum(list_transform(xs, lambda x, k: x * sin(2 * pi() * (k - 1) / n))) AS re, list_sum(list_transform(xs, lambda x, k: x * cos(2 * pi() * (k - 1) / n))) AS im, list_avg(cs) AS mean FROM b),
+ang AS (SELECT *, CASE WHEN abs(im) > 0.001 THEN degrees(atan(re / im)) WHEN re >= 0 THEN 90.0::DOUBLE ELSE -90.0::DOUBLE END + 90 + 360 / p + CASE WHEN im < 0 THEN 180 ELSE 0 END AS a FROM ri),
+ph AS (SELECT *, CASE WHEN a > 315 THEN a - 360 ELSE a END AS phase, first_value(mean) OVER ({W_SQL}) AS m0 FROM ang),
+md AS (SELECT *, (4 * mean + 3 * coalesce({lagged('mean')}, m0) + 2 * coalesce({lagged('mean', 2)}, m0) + coalesce({lagged('mean', 3)}, m0)) / 10.0::DOUBLE AS line, sin(radians(phase)) - sin(radians(phase + 45)) > 0 AS over, phase - {lagged('phase')} AS pace FROM ph),
+cr AS (SELECT *, coalesce(max(i) FILTER (WHERE turned) OVER ({W_SQL} ROWS UNBOUNDED PRECEDING), 1) AS since FROM (SELECT *, over <> {lagged('over')} AS turned FROM md))"""
+_MODE = "CASE WHEN abs((s - line) / line) >= 0.015::DOUBLE THEN 1 WHEN i - since < p / 2 OR (pace > 0.67::DOUBLE * 360 / p AND pace < 1.5::DOUBLE * 360 / p) THEN 0 ELSE 1 END"
+_SHOWN = {"HT_TRENDLINE": "line", "HT_SINE_sine": "sin(radians(phase))", "HT_SINE_leadsine": "sin(radians(phase + 45))", "HT_TRENDMODE": f"({_MODE})::DOUBLE"}
+
+
+@query(f"""{_CYCLES}, {_PHASE} SELECT symbol, timestamp, {", ".join(r(f"CASE WHEN i > 32 THEN {x} END", f'"{name}"') for name, x in _SHOWN.items())} FROM cr""")
+def cycle_mode(spark, sf_dir):
+    return combine(daily(spark, sf_dir), [("ht_trendline", {}), ("ht_sine", {}), ("ht_trendmode", {})], join_input=False)
+
+
+@query(f"SELECT symbol, timestamp, ewma_20 AS \"EMA_real\" FROM (WITH RECURSIVE {BARS}, num AS (SELECT *, row_number() OVER ({W_SQL}) AS i, avg(close) OVER ({W_SQL} ROWS 19 PRECEDING) AS mean FROM bars), rec AS (SELECT symbol, i, mean AS y FROM num WHERE i = 20 UNION ALL SELECT c.symbol, c.i, p.y + 2 / 21.0::DOUBLE * (c.close - p.y) FROM rec p JOIN num c ON c.symbol = p.symbol AND c.i = p.i + 1) SELECT n.symbol, n.timestamp, {r('y', 'ewma_20')} FROM num n LEFT JOIN rec USING (symbol, i))")
+def ema_of_mean(spark, sf_dir):
+    return by_function("EMA", daily(spark, sf_dir), timeperiod=20, seed="mean")

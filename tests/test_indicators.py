@@ -54,7 +54,7 @@ def test_registry(panel):
     with pytest.raises(ValueError):
         I.combine(panel, [("sma", {"window": 20}), ("sma", {"window": 20, "source": "open"})])
     with pytest.raises(NotImplementedError):
-        I.by_function("HT_DCPERIOD", panel)
+        I.by_function("HT_PHASOR", panel)
 
     for name, (_, _, outputs) in I.FUNCTIONS.items():
         assert I.by_function(name, panel).columns[2:] == [f"{name}_{o}" for o in outputs]
