@@ -7,7 +7,10 @@ taken from the document frequencies of all terms over all documents. Templates
 are notices, by which files state a licence, and whole licence texts. A unit
 with a cosine of at least ``TEXT_THRESHOLD`` to a licence text has that licence;
 else the best template with a cosine of at least ``threshold`` is a document's
-own licence (ties: first name).
+own licence (ties: first name). A notice holds for a unit only if the unit has the
+numbers and the telling words (``TELLING``) of the notice and none that tells its
+neighbours apart (``GROUPS``): a licence of another version or family than those
+that are listed has no licence here rather than that of its permissive cousin.
 
 Terms that no template can do without are worked out from the idf values: by
 the Cauchy-Schwarz inequality a unit that shares only other terms with a
@@ -18,8 +21,8 @@ file named LICENSE, LICENCE, COPYING or NOTICE has its own: each directory is
 exploded into its ancestors, joined by path, and the longest match is kept.
 
 Edge cases: a null or empty text has no licence of its own, and one without a
-path inherits none; repeated rows are judged alike; an empty table gives an
-empty table; of several licence files in a directory the best match counts.
+path inherits none; repeated rows are judged alike; further columns are not
+read; ties go to the first name; an empty table gives an empty table; of several licence files in a directory the best match counts.
 """
 
 from __future__ import annotations
@@ -41,27 +44,43 @@ TEMPLATES = {
     "AGPL-3.0": "This program is free software: " + _GNU.format("Affero General Public", ",", "3"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 ": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "Artistic-2.0": "This program is distributed under the terms of the Artistic License 2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-4.0 ": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-NC-4.0 ": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-NC-ND-4.0 ": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-SA-4.0 ": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-ND-4.0 ": "Licensed under CC BY-ND 4.0",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-SA-4.0 ": "Licensed under CC BY-SA 4.0",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GFDL-1.3": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-2.0 ": "This program is free software; " + _GNU.format("General Public", ";", "2"),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0 ": "This program is free software: " + _GNU.format("General Public", ",", "3"),
+    "LGPL-2.0": "This library is free software; " + _GNU.format("Library General Public", ";", "2"),
+    "LGPL-2.0 ": "GNU Library General Public License, version 2",
     "LGPL-2.1": "This library is free software; " + _GNU.format("Lesser General Public", ";", "2.1"),
     "LGPL-3.0": "This program is free software: " + _GNU.format("Lesser General Public", ",", "3"),
     "LGPL-3.0 ": "GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",
     "MIT ": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "X11": "Released under the X11 License",
 }
+# Words that tell licences apart. A unit must have those of a notice, and its numbers; those of a
+# group that a notice has one's name of rule the notice out where it doesn't have them itself.
+TELLING = ("affero", "apache", "artistic", "boost", "documentation", "eclipse", "lesser", "mit", "mozilla", "nc", "nd", "noncommercial", "noderivatives", "sa", "sharealike", "x11")
+GROUPS = {"gnu": ("affero", "lesser"), "attribution": ("noncommercial", "noderivatives", "noderivs", "sharealike"), "cc": ("nc", "nd", "sa")}
 # Whole texts of short licences, without title and holder.
 _BSD = (
     TEMPLATES["BSD-3-Clause"] + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -106,6 +125,17 @@ def _templates(notices: dict[str, str], texts: dict[str, str]) -> list[tuple[str
     return [x for x in both if terms_of(x[1])]
 
 
+def _tells(templates: list[tuple[str, str, bool]]) -> list[dict[str, int]]:
+    """For each template the terms by which it is told from its neighbours: how often a unit must have the term at least, -1 where it must not."""
+    out = []
+    for _, text, whole in templates:
+        terms = [] if whole else terms_of(text)
+        has = set(terms)
+        must = {t for t in has if t.isdigit() or t in TELLING}
+        out.append(dict.fromkeys(sorted({t for name, group in GROUPS.items() if name in has for t in group} - has), -1) | {t: terms.count(t) for t in sorted(must)})
+    return out
+
+
 def _constant(value: object, kind: str) -> Column:
     """A constant of a nested type, as one small expression."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -157,18 +187,21 @@ def own_licenses(docs: DataFrame, notices: dict[str, str] = TEMPLATES, texts: di
     counted = units.select(*keys, "unit", F.explode("terms").alias("t")).groupBy(*keys, "unit", "t").agg(F.count("*").alias("tf"))
     weighed = counted.join(stand, "t").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     # a term's weight in each template that has it; -1 stands for the unit itself
-    held = {t: [{"i": i, "v": v[t]} for i, v in enumerate(vectors) if t in v] for t in vocabulary}
-    held = _constant(held, "map<string,array<struct<i:int,v:double>>>")
-    pairs = F.array_prepend(F.coalesce(F.element_at(held, F.col("t")), F.array()), F.struct(F.lit(-1).alias("i"), F.col("w").alias("v")))
-    dots = weighed.select(*keys, "unit", "w", F.inline(pairs)).groupBy(*keys, "unit", "i").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    vector = dots.groupBy(*keys, "unit").agg(F.sqrt(F.max(F.when(F.col("i") < 0, F.col("dot")))).alias("norm"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "dot"))).alias("dots"))
+    # and what the term tells of the template: how often it needs it, or -1 if it can't have it
+    tells = _tells(templates)
+    held = {t: [{"i": i, "v": v.get(t, 0.0), "m": m.get(t, 0)} for i, (v, m) in enumerate(zip(vectors, tells, strict=True)) if t in v or t in m] for t in sorted({*vocabulary, *(t for m in tells for t in m)})}
+    held = _constant(held, "map<string,array<struct<i:int,v:double,m:int>>>")
+    pairs = F.array_prepend(F.coalesce(F.element_at(held, F.col("t")), F.array()), F.struct(F.lit(-1).alias("i"), F.col("w").alias("v"), F.lit(0).alias("m")))
+    told = F.when(F.col("m") < 0, -1000).when((F.col("m") > 0) & (F.col("tf") >= F.col("m")), 1).otherwise(0)
+    dots = weighed.select(*keys, "unit", "w", "tf", F.inline(pairs)).groupBy(*keys, "unit", "i").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sum(told).alias("told"))
+    vector = dots.groupBy(*keys, "unit").agg(F.sqrt(F.max(F.when(F.col("i") < 0, F.col("dot")))).alias("norm"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "dot", "told"))).alias("dots"))
     # a licence text goes before notices; of equal cosines the first name wins
-    known = [{"size": math.sqrt(sum(w * w for w in v.values())), "name": name, "text": whole} for v, (name, _, whole) in zip(vectors, templates, strict=True)]
-    known = _constant(known, "array<struct<size:double,name:string,text:boolean>>")
+    known = [{"size": math.sqrt(sum(w * w for w in v.values())), "name": name, "text": whole, "needs": sum(x > 0 for x in tell.values())} for v, (name, _, whole), tell in zip(vectors, templates, tells, strict=True)]
+    known = _constant(known, "array<struct<size:double,name:string,text:boolean,needs:int>>")
 
     def judged(d: Column) -> Column:
         of = known[d["i"]]
-        cosine = F.round(d["dot"] / of["size"] / F.col("norm"), 6)
+        cosine = F.when(d["told"] == of["needs"], F.round(d["dot"] / of["size"] / F.col("norm"), 6)).otherwise(-1.0)  # a neighbour's notice is none
         return F.struct((of["text"] & (cosine >= TEXT_THRESHOLD)).alias("whole"), cosine.alias("similarity"), (-d["i"]).alias("order"), of["name"].alias("own"))
 
     best = vector.groupBy(*keys).agg(F.max(F.array_max(F.transform("dots", judged))).alias("best")).filter(F.col("best.similarity") >= threshold)
@@ -206,10 +239,13 @@ def scan(docs: DataFrame, notices: dict[str, str] = TEMPLATES, texts: dict[str,
 
 def scan_sql(table: str, notices: dict[str, str] = TEMPLATES, texts: dict[str, str] = TEXTS, threshold: float = THRESHOLD) -> str:
     """The scan in DuckDB SQL, relationally, without the shortcuts. ``table``: a query for doc_id, path, text."""
+    tells = ", ".join(f"({i}, '{t}', {x})" for i, tell in enumerate(_tells(_templates(notices, texts))) for t, x in tell.items()) or "(-1, '', 1)"
     rows = ", ".join("('{}', {}, {}, '{}')".format(name, i, whole, text.replace("'", "''")) for i, (name, text, whole) in enumerate(_templates(notices, texts)))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, path, coalesce(text, '') AS text FROM ({table})),
 templates(name, i, whole, text) AS (VALUES {rows}),
+tells(i, t, x) AS (VALUES {tells}),
+needs AS (SELECT i, count(*) FILTER (WHERE x > 0) AS needs FROM tells GROUP BY i),
 tpl AS (SELECT name, i, whole, t, count(*) AS tf FROM (SELECT name, i, whole, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM templates) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM docs),
 lines AS (SELECT r, terms, row_number() OVER (PARTITION BY r ORDER BY k) AS ln, sum(len(terms)) OVER (PARTITION BY r ORDER BY k) AS upto
@@ -223,10 +259,12 @@ last AS (SELECT r, max(ln) AS last FROM lines GROUP BY r),
 ends AS (SELECT a.r, a.ln AS head, k, min(b.ln) AS tail FROM lines a, sizes JOIN lines b ON b.r = a.r AND b.ln BETWEEN a.ln AND a.ln + k AND b.upto - a.upto + len(a.terms) >= k GROUP BY ALL),
 units AS (SELECT a.r, a.ln AS head, coalesce(e.tail, l.last) AS tail FROM lines a CROSS JOIN sizes s JOIN last l ON l.r = a.r LEFT JOIN ends e ON e.r = a.r AND e.head = a.ln AND e.k = s.k
           UNION SELECT r, 1, last FROM last),
-uw AS (SELECT u.r, head, tail, w.t, sum(tf) * any_value(idf) AS w FROM units u JOIN words w ON w.r = u.r AND w.ln BETWEEN head AND tail JOIN idf ON idf.t = w.t GROUP BY u.r, head, tail, w.t),
+uw AS (SELECT u.r, head, tail, w.t, sum(tf) AS tf, sum(tf) * any_value(idf) AS w FROM units u JOIN words w ON w.r = u.r AND w.ln BETWEEN head AND tail JOIN idf ON idf.t = w.t GROUP BY u.r, head, tail, w.t),
 ulen AS (SELECT r, head, tail, sqrt(sum(w * w)) AS len FROM uw GROUP BY ALL),
 dots AS (SELECT uw.r, head, tail, tw.name, tw.i, tw.whole, sum(uw.w * tw.w) AS dot FROM uw JOIN tw USING (t) GROUP BY ALL),
-cosine AS (SELECT r, name, i, whole, round(dot / tlen.len / ulen.len, 6) AS similarity FROM dots JOIN tlen USING (i) JOIN ulen USING (r, head, tail)),
+told AS (SELECT r, head, tail, i, count(*) FILTER (WHERE x > 0 AND tf >= x) AS has, count(*) FILTER (WHERE x < 0) AS unlike FROM uw JOIN tells USING (t) GROUP BY ALL),
+cosine AS (SELECT r, name, i, whole, round(dot / tlen.len / ulen.len, 6) AS similarity FROM dots JOIN tlen USING (i) JOIN ulen USING (r, head, tail) LEFT JOIN needs USING (i) LEFT JOIN told USING (r, head, tail, i)
+           WHERE coalesce(has, 0) = coalesce(needs, 0) AND coalesce(unlike, 0) = 0),
 best AS (SELECT r, name AS own, similarity FROM cosine
          QUALIFY row_number() OVER (PARTITION BY r ORDER BY whole AND similarity >= {TEXT_THRESHOLD} DESC, similarity DESC, i) = 1),
 own AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS directory, CASE WHEN similarity >= {threshold} THEN own END AS own, CASE WHEN similarity >= {threshold} THEN similarity END AS similarity

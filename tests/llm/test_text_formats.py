@@ -340,3 +340,23 @@ def test_licence_files(spark):
     out = licenses.scan(spark.createDataFrame(table, "doc_id long, path string, text string")).collect()
     assert {r["doc_id"]: r["license"] for r in out} == {i: name for i, (name, _) in enumerate(files + prose)}
     assert sorted((r["doc_id"], r["license"], r["origin"], r["similarity"]) for r in out) == _sql(table)
+
+
+def test_neighbours_of_a_licence_are_not_it(spark):
+    """Other versions and members of a family have their own name or none, not that of a permissive cousin."""
+    library = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    mozilla = licenses.TEMPLATES["MPL-1.1"]
+    cases = {
+        "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", mozilla: "MPL-1.1", library: "LGPL-2.0", "This program is distributed under the terms of the Artistic License 2.0.": "Artistic-2.0", "Licensed under the Artistic License, Version 2.0": "Artistic-2.0",
+        licenses.TEMPLATES["GFDL-1.3"]: "GFDL-1.3", "Released under the X11 License": "X11", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY 3.0": None, "Licensed under the Apache License, Version 1.1": None, mozilla.replace("1.1", "1.0"): None, "GNU Lesser General Public License, version 2": None, "Released under the Expat License": None,
+        "This work is licensed under a Creative Commons Attribution-NoDerivs 4.0 International License": None, "Distributed under the Pump Software License, Version 1.0": None,
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 1.0": None, "This work is licensed under the GNU Affero General Public License, version 2": None,
+        "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under the Apache License, Version 2.0 (see the file)": "Apache-2.0", "Released under the MIT license.": "MIT", "This work is licensed under the GNU General Public License, version 2": "GPL-2.0",
+    }
+    prose = [" ".join(["the", "quick", "brown", "dog", "of", "this", "and", "that", "software", "work"][k % 10 : k % 7 + 5]) + f" number{k}" for k in range(60)]
+    rows = [(i, f"d{i}/x.txt", f"{prose[i]}\n{text}\n{prose[-i]}") for i, text in enumerate(cases)] + [(100 + i, "p/x.txt", text) for i, text in enumerate(prose)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {text: r["license"] for r in out if r["doc_id"] < 100 for text in [list(cases)[r["doc_id"]]]} == cases
+    assert all(r["license"] is None for r in out if r["doc_id"] >= 100)
+    assert sorted((r["doc_id"], r["license"], r["origin"], r["similarity"]) for r in out) == _sql(rows)
