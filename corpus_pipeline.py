@@ -12,10 +12,17 @@ rows that repeat a doc_id with other texts are documents of their own, equal row
 one; a row without a source is of a source of its own. Very long texts are read
 whole. An empty table gives an empty result. Further columns, whatever their names,
 go along up to the last stage.
+
+Memory: a task holds the row group that it reads and the one that it writes. Stages
+hand whole texts on, so at Parquet's 128 MB each the heap would have to grow with the
+cores; a stage has the session write row groups of ``ROW_GROUP`` unless their size is set.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from barlume.llm import bpe, jaccard, mixing, quality, toxicity
@@ -23,28 +30,49 @@ from barlume.llm.common import Scratch, table
 
 #: No SQL: stages decode random fields, train classifiers and merge byte pairs. Tested against brute force.
 ORACLE_SQL = None
+#: Bytes of a row group between stages, and the setting that Spark hands on to Parquet's writer.
+ROW_GROUP, ROW_GROUP_KEY = 16 << 20, "parquet.block.size"
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def handed_on(stage: Stage) -> Stage:
+    """A stage whose result, which the caller writes, gets small row groups."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(ROW_GROUP_KEY, None) is None:
+            spark.conf.set(ROW_GROUP_KEY, str(ROW_GROUP))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@handed_on
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line labelling keeps."""
     return quality.keep_good(docs, quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+@handed_on
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
     return toxicity.keep_clean(docs, toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+@handed_on
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
     return jaccard.keep_one(docs, words=5, num=80, den=100)
 
 
+@handed_on
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of the sources, in shuffled order; a document's copies are rows of their own."""
     return mixing.mix(docs).select(docs.columns)
 
 
+@handed_on
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row of the mixture, and the text that they decode to."""
     return bpe.encode_decode(docs)
@@ -57,8 +85,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), str(k))
-        if k > 0:
-            scratch.drop(str(k - 1))
+    before = spark.conf.get(ROW_GROUP_KEY, None)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = scratch.put(stage(spark, docs, sf_dir), str(k))
+            if k > 0:
+                scratch.drop(str(k - 1))
+    finally:
+        if before is None:
+            spark.conf.unset(ROW_GROUP_KEY)
     return docs

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import glob
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +56,21 @@ def test_edge_cases(spark, docs, none, tmp_path):
         assert len(coded) == out.count() and (len(coded) > 0) == (k == 0)
         encoder, texts = bpe.Encoder(bpe.load()), [r["text"] for r in docs.collect() if r["text"]]
         assert {tuple(r["ids"]) for r in coded} <= {tuple(encoder.encode([t])[0].tolist()) for t in texts}
+
+
+def test_row_groups_between_stages(spark, tmp_path, monkeypatch):
+    """A stage's texts are written in small row groups, as a task holds one that it reads and one that it writes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
+    monkeypatch.setattr(P, "ROW_GROUP", 1 << 16)
+    try:
+        P.quality_rules(spark, docs, str(SF)).write.parquet(f"{tmp_path}/0")
+        (part,) = glob.glob(f"{tmp_path}/0/*.parquet")
+        held = pq.ParquetFile(part)
+        assert held.num_row_groups > 1 and held.metadata.num_rows > 100
+        spark.conf.set(P.ROW_GROUP_KEY, str(128 << 20))  # what the caller sets holds
+        P.quality_rules(spark, docs, str(SF)).write.parquet(f"{tmp_path}/1")
+        assert spark.conf.get(P.ROW_GROUP_KEY) == str(128 << 20)
+    finally:
+        spark.conf.unset(P.ROW_GROUP_KEY)
+    P.run(spark, str(SF))
+    assert spark.conf.get(P.ROW_GROUP_KEY, None) is None
