@@ -47,9 +47,10 @@ class ComboParams:
 
 
 def combo_features(bars: DataFrame, fasts: Iterable[int], slows: Iterable[int], rsi_window: int = 14, z_window: int = 20, keys: Sequence[str] = W.KEYS) -> DataFrame:
-    """One column for each distinct setting."""
+    """One column for each distinct setting. Where a close equals its mean, ``z <= 0`` hangs on the mean's last bit, so that is the SQL's."""
     specs = [("sma", {"window": n}) for n in sorted({*fasts, *slows})]
-    return combine(bars, [*specs, ("zscore", {"window": z_window}), ("rsi", {"window": rsi_window})], keys=keys)
+    z = W.zscore("close", z_window, keys=keys, mean=W.mean_in_blocks("close", z_window, keys))
+    return combine(bars.withColumn(f"zscore_{z_window}", z), [*specs, ("rsi", {"window": rsi_window})], keys=keys)
 
 
 def combo_condition(fast: Column, slow: Column, rsi: Column, z: Column, floor: Column | float, ceiling: Column | float, entry: Column | float) -> Column:
